@@ -4,11 +4,25 @@ from __future__ import annotations
 
 from .bitpack import op5_bit_packed_tokens
 from .decontam import op1_decontamination
+from .langid import op2_language_id
+from .licenses import op10_license_scan
+from .lm import op8_lm_scores
 from .packing import op4_mixture_packing
+from .quality import OP9_SQL, op9_quality_rules
+from .simhash import op3_simhash_near_dedup
+from .suffix_dedup import op6_suffix_dedup
+from .urls import op7_url_templates
 
 QUERIES = {
     "op1_decontamination": op1_decontamination,
+    "op2_language_id": op2_language_id,
+    "op3_simhash_near_dedup": op3_simhash_near_dedup,
     "op4_mixture_packing": op4_mixture_packing,
     "op5_bit_packed_tokens": op5_bit_packed_tokens,
+    "op6_suffix_dedup": op6_suffix_dedup,
+    "op7_url_templates": op7_url_templates,
+    "op8_lm_scores": op8_lm_scores,
+    "op9_quality_rules": op9_quality_rules,
+    "op10_license_scan": op10_license_scan,
 }
-ORACLE: dict[str, str] = {}
+ORACLE: dict[str, str] = {"op9_quality_rules": OP9_SQL}
