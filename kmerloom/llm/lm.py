@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 from .common import LOWER, column, map_arrow, slices, stored, texts_of, train_fold
 
 #: Pseudo-counts of the unigram distribution in each history.
-PRIOR = 500.0
+PRIOR = 100.0
 #: Pseudo-count of a word in the unigram distribution.
 ADD = 0.1
 #: Tokens after which a part is closed.

@@ -169,12 +169,12 @@ def _sql_fences() -> str:
 #: Exact quantiles: equal to the sketches as long as no group has more than SKETCH documents.
 OP9_SQL = f"""
 with w as (select doc_id, lang, source, coalesce(text, '') as t,
-    list_filter(regexp_split_to_array(coalesce(text, ''), '{_BLANK_SQL}+'), x -> x <> '') as ws from documents),
- l as (select doc_id, t, lang, source, ws, list_filter(string_split(t, chr(10)), x -> regexp_matches(x, '[^\\x20\\x09-\\x0D]')) as ls from w),
+    list_filter(regexp_split_to_array(coalesce(text, ''), '{_BLANK_SQL}+'), lambda x: x <> '') as ws from documents),
+ l as (select doc_id, t, lang, source, ws, list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '[^\\x20\\x09-\\x0D]')) as ls from w),
  g as (select doc_id, i, ws[i] || ' ' || ws[i + 1] || ' ' || ws[i + 2] as w3 from w, unnest(range(1, len(ws) - 1)) as r(i)),
  d as (select doc_id, i from (select doc_id, i, count(*) over (partition by doc_id, w3) as n from g) where n > 1),
  r as (select doc_id, count(distinct i + k) as n from d, unnest([0, 1, 2]) as o(k) group by doc_id),
- m as (select doc_id, lang, source, len(ws)::bigint as n_words, coalesce(list_sum(list_transform(ws, x -> length(x))), 0)::bigint as word_chars,
+ m as (select doc_id, lang, source, len(ws)::bigint as n_words, coalesce(list_sum(list_transform(ws, lambda x: length(x))), 0)::bigint as word_chars,
     length(regexp_replace(t, '[^#*$%&|<>]', '', 'g'))::bigint as n_symbols, (len(ls) - len(list_distinct(ls)))::bigint as n_dup_lines,
     coalesce(r.n, 0)::bigint as n_repeat_words from l left join r using (doc_id)),
  x as (select *, word_chars / nullif(n_words, 0)::double as mean_word, n_symbols / (word_chars + 1.0::double) as symbol_rate,

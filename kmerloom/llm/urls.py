@@ -58,8 +58,9 @@ def _segments(path: Column) -> Column:
 
 
 def _numeric(segment: Column) -> Column:
-    """At least half of the segment is digits."""
-    return F.length(F.regexp_replace(segment, "[^0-9]", "")) * 2 >= F.length(segment)
+    """At least half of the segment, without its file extension, is digits."""
+    stem = F.regexp_replace(segment, r"(?<=.)\.[A-Za-z]{1,5}$", "")
+    return F.length(F.regexp_replace(stem, "[^0-9]", "")) * 2 >= F.length(stem)
 
 
 def templates(urls: DataFrame) -> DataFrame:
