@@ -1,6 +1,553 @@
-"""Registered queries and their DuckDB SQL."""
+"""Registered queries over the given tables, and their DuckDB SQL.
+
+Sequences are derived from the documents' texts, taxonomy from their languages and sources, probabilities from the
+embeddings, assembly summaries from the pages.
+"""
 
 from __future__ import annotations
 
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from ..functions import names as fn
+from ..functions import sequence as fs
+from ..functions.scores import accepts, argmax, clamp_threshold, ladder
+from ..operators import classify, consensus, manifest, models, profile, relational, report, taxonomy
+from ..operators import windows as w
+SIZE, K = 300, 4
+MASK = [1, 1, 0, 1, 1]
+#: Windows of a sequence: of the flagship profile, and of queries that return each window's rows.
+MANY, FEW = 10, 4
+KEYS = ["doc_id", "win_idx"]
+
+
+# ---- inputs ----------------------------------------------------------------------------------------------------------
+def docs(spark: SparkSession, sf: str) -> DataFrame:
+    return spark.read.parquet(f"{sf}/documents.parquet")
+
+
+def dna(spark: SparkSession, sf: str, fold: str = "plain") -> DataFrame:
+    return docs(spark, sf).select("doc_id", fs.derived_sequence(F.col("text"), fold).alias("seq"))
+
+
+def wins(spark: SparkSession, sf: str, fold: str = "plain", sampling: int = FEW) -> DataFrame:
+    return w.windows(dna(spark, sf, fold), SIZE, sampling)
+
+
+def _n():
+    return F.expr("cast(substr(source, 4) as int)")
+
+
+def genome_names(spark: SparkSession, sf: str) -> DataFrame:
+    n, block = _n(), F.expr("doc_id div 20") % 2
+    name = F.concat_ws("_", "lang", F.concat("lang", F.lit("p"), n % 2), F.concat("lang", F.lit("g"), n % 4), F.concat("lang", F.lit("o"), n),
+                       F.concat("lang", F.lit("f"), n, F.lit("x"), block), F.concat(F.lit("sp"), "doc_id"))
+    return docs(spark, sf).select("doc_id", F.concat(F.lit("x/"), name, F.lit(".fna")).alias("path"))
+
+
+def named(spark: SparkSession, sf: str) -> DataFrame:
+    got = genome_names(spark, sf).select("doc_id", F.col("doc_id").alias("file_ord"), fn.parse_taxonomy(F.col("path")).alias("t"))
+    return got.select("doc_id", "file_ord", "t.*")
+
+
+def probs(spark: SparkSession, sf: str) -> DataFrame:
+    e = F.transform(F.slice("embedding", 1, 6), lambda x: F.round(x * 1000).cast("bigint"))
+    q = F.transform(e, lambda x: x * x)
+    total = F.aggregate(q, F.lit(0).cast("bigint"), lambda a, y: a + y).cast("double")
+    return spark.read.parquet(f"{sf}/embeddings.parquet").select(
+        F.expr("vec_id div 10").alias("read_id"), (F.col("vec_id") % 10).alias("win_idx"), F.transform(q, lambda x: x.cast("double") / total).alias("p")
+    )
+
+
+def doc_profile(spark: SparkSession, sf: str, fold: str = "plain", sampling: int = FEW, pattern: list[int] | None = None, semantics: str = "reference"):
+    return profile.kmer_profile(wins(spark, sf, fold, sampling), KEYS, K, pattern or [1] * K, semantics)
+
+
+# ---- SQL pieces --------------------------------------------------------------------------------------------------------
+def sql_dna(fold: str = "plain") -> str:
+    return f"""dna as (select doc_id, translate(upper(regexp_replace(text, '[^A-Za-z]', '', 'g')),
+ 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', '{fs.FOLDS[fold]}') as seq from documents)"""
+
+
+def sql_wins(fold: str = "plain", sampling: int = FEW) -> str:
+    return f"""{sql_dna(fold)}, wins as (select doc_id, i::int as win_idx, (((length(seq) - {SIZE}) // {sampling}) * i)::int as start,
+ substr(seq, ((length(seq) - {SIZE}) // {sampling}) * i + 1, {SIZE}) as win from dna, unnest(range({sampling})) as r(i) where length(seq) >= {SIZE})"""
+
+
+def sql_kmers(width: int = K, fold: str = "plain", sampling: int = FEW, short: int = 2) -> str:
+    last = SIZE - width - short + 1
+    return f"""{sql_wins(fold, sampling)}, kmers as (select doc_id, win_idx, j::int as pos, substr(win, j, {width}) as kmer
+ from wins, unnest(range(1, {last} + 1)) as s(j))"""
+
+
+def sql_rc(col: str) -> str:
+    return f"reverse(translate({col}, '{fs.LETTERS}', '{fs.COMPLEMENTS}'))"
+
+
+def sql_mask(col: str, pattern: list[int]) -> str:
+    return " || ".join(f"substr({col}, {i + 1}, 1)" for i, keep in enumerate(pattern) if keep)
+
+
+def sql_counts(width: int = K, fold: str = "plain", sampling: int = FEW, short: int = 2) -> str:
+    return f"""{sql_kmers(width, fold, sampling, short)}, counted as (select doc_id, win_idx, kmer, count(*) as cnt, min(pos) as first_pos
+ from kmers group by all)"""
+
+
+def sql_merged(width: int = K, fold: str = "plain", sampling: int = FEW, semantics: str = "reference") -> str:
+    other = "arg_max(c, o)" if semantics == "reference" else "sum(c)"
+    return f"""{sql_counts(width, fold, sampling, 2 if semantics == "reference" else 0)},
+ strands as (select doc_id, win_idx, 0 as s, kmer as k, cnt as c, first_pos as o from counted
+  union all select doc_id, win_idx, 1, {sql_rc("kmer")}, cnt, first_pos from counted),
+ merged as (select doc_id, win_idx, k as kmer, (coalesce(sum(c) filter (s = 0), 0) + coalesce({other} filter (s = 1), 0))::bigint as cnt,
+  min(s * 1000000 + o) as ord from strands group by all)"""
+
+
+def sql_masked(pattern: list[int], fold: str = "plain", sampling: int = FEW, semantics: str = "reference") -> str:
+    before = sql_merged(len(pattern), fold, sampling, semantics)
+    if 0 not in pattern:
+        return f"{before}, masked as (select doc_id, win_idx, kmer, cnt from merged)"
+    how = "arg_max(cnt, ord)" if semantics == "reference" else "sum(cnt)"
+    return f"""{before}, masked as (select doc_id, win_idx, k2 as kmer, {how}::bigint as cnt
+ from (select *, {sql_mask("kmer", pattern)} as k2 from merged) group by all)"""
+
+
+def sql_bases(col: str) -> str:
+    cases = " ".join(f"when '{c}' then '{b}'" for c, b in fs.BASES.items())
+    return f"string_split(case {col} {cases} else '{fs.ANY_BASE}' end, '')"
+
+
+HOMO = ", ".join(f"'{c * K}'" for c in "ATCG")
+
+
+def sql_expanded(source: str) -> str:
+    """CTEs from `source`(doc_id, win_idx, kmer, cnt) of plain k-mers with counts."""
+    steps, at = [], f"(select doc_id, win_idx, kmer, cnt from {source} where regexp_matches(kmer, '[^ACGT]'))"
+    steps.append(f"x0 as (select doc_id, win_idx, kmer, cnt, '' as word, 1 as n from {at})")
+    for i in range(K):
+        b = sql_bases(f"substr(kmer, {i + 1}, 1)")
+        steps.append(f"x{i + 1} as (select doc_id, win_idx, kmer, cnt, word || unnest({b}) as word, n * len({b}) as n from x{i})")
+    steps.append(f"""expanded as (select doc_id, win_idx, kmer, sum(cnt)::bigint as cnt from
+ (select doc_id, win_idx, word as kmer, cnt // n as cnt from x{K} union all select doc_id, win_idx, kmer, cnt from {source} where not regexp_matches(kmer, '[^ACGT]'))
+ group by all)""")
+    return ", ".join(steps)
+
+
+def sql_profile(fold: str = "plain", sampling: int = FEW, pattern: list[int] | None = None, semantics: str = "reference") -> str:
+    out = f"""{sql_masked(pattern or [1] * K, fold, sampling, semantics)}, kept as (select * from masked where kmer not in ({HOMO})), {sql_expanded("kept")}"""
+    where = f" where kmer not in ({HOMO})" if semantics == "clean" else ""
+    return f"{out}, profile as (select *, translate(kmer, 'ACGT', '0123')::bigint as code from expanded{where})"
+
+
+SQL_NAMES = """named as (select doc_id, doc_id as file_ord, lang as domain, lang || 'p' || n % 2 as phylum, lang || 'g' || n % 4 as "group",
+ lang || 'o' || n as "order", lang || 'f' || n || 'x' || (doc_id // 20) % 2 as family
+ from (select *, cast(substr(source, 4) as int) as n from documents))"""
+SQL_PAIRS = f"""{SQL_NAMES}, pairs as (
+ select file_ord as ord, 1 as level_idx, 'domain' as level, domain as name, 'Root' as parent from named
+ union all select file_ord, 2, 'phylum', phylum, domain from named
+ union all select file_ord, 3, 'group', "group", phylum from named
+ union all select file_ord, 4, 'order', "order", "group" from named
+ union all select file_ord, 5, 'family', family, "order" from named)"""
+SQL_TREE = f"""{SQL_PAIRS}, nodes as (select level_idx, level, lower(name) as key, arg_min(name, ord) as name, arg_min(parent, ord) as parent from pairs group by all),
+ tree as (select level_idx, level, key || '_' || level as node_id, name, parent,
+  lower(parent) || '_' || (['root', 'domain', 'phylum', 'group', 'order', 'family'])[level_idx] as parent_id from nodes
+  union all select 0, 'root', 'root_root', 'Root', null, null)"""
+SQL_CODES = f"""{SQL_PAIRS}, codes as (select level, name, (row_number() over (partition by level order by first_ord, name) - 1)::int as code
+ from (select level, name, min(ord) as first_ord from pairs group by all))"""
+SQL_PROBS = """probs as (select vec_id // 10 as read_id, vec_id % 10 as win_idx, list_transform(q, lambda x: x::double / list_sum(q)::double) as p
+ from (select vec_id, list_transform(embedding[1:6], lambda x: (round(x * 1000)::bigint) * (round(x * 1000)::bigint)) as q from embeddings))"""
+
+
+def sql_consensus(func: str, t: float = 0.8) -> str:
+    rungs = "[" + ", ".join(f"{x!r}::double" for x in ladder(t)) + "]"
+    total, top = "list_reduce(p, lambda a, x: a + x)", "list_max(p)"
+    second = f"list_max(list_filter(p, lambda x: x <> {top}))"
+    test = {
+        "delta_mean": f"{top} - {total} / len(p) > t",
+        "min_max": f"coalesce({top} - {second} > t, false)",
+        "delta_sum": f"{top} > ({total} - {top}) + t",
+    }[func]
+    flat = f"{second} is null" if func == "min_max" else "false"
+    return f"""{SQL_PROBS}, stepped as (select read_id, win_idx, (list_position(p, {top}) - 1)::int as class,
+  nullif(coalesce(list_position(list_transform({rungs}, lambda t: {test}), true), 0), 0) as step, {flat} as flat from probs),
+ voted as (select read_id, win_idx, class, case when bool_or(flat) over g or min(step) filter (class <> 0) over g is null
+  or step <= min(step) filter (class <> 0) over g then class end as vote from stepped window g as (partition by read_id)),
+ votes as (select read_id, case when vote is null or vote = 0 then 0 else vote end as vote, count(*) as votes, arg_min(vote is not null, win_idx) as counts
+  from voted group by read_id, case when vote is null or vote = 0 then 0 else vote end)"""
+
+
+LEVEL_COLUMNS = ['domain', 'phylum', '"group"', '"order"', 'family']
+
+
+def sql_descent(threshold: float) -> str:
+    n = 4**K
+    pairs = " union all ".join(
+        f"select {i} as level_idx, {LEVEL_COLUMNS[i - 1] if i else repr('Root')} as parent, {c} as child, code, cnt from leaf" for i, c in enumerate(LEVEL_COLUMNS)
+    )
+    out = f"""{sql_profile()}, {SQL_NAMES},
+ leaf as (select domain, phylum, "group", "order", family, code, sum(cnt) as cnt from profile join named using (doc_id) group by all),
+ cells as (select level_idx, parent, child, code, sum(cnt) as n from ({pairs}) group by all),
+ kids as (select level_idx, parent, child, sum(n) as total, round(1e6 * ln(1 / (sum(n) + {n})))::bigint as rest from cells group by all),
+ weights as materialized (select c.level_idx, c.parent, c.child, c.code, round(1e6 * ln((c.n + 1) / (k.total + {n})))::bigint as wt, k.rest
+  from cells c join kids k using (level_idx, parent, child)),
+ feats as materialized (select doc_id as read_id, win_idx, code, cnt from profile),
+ act0 as (select distinct read_id, 'Root' as parent from feats)"""
+    for i in range(5):
+        out += f""",
+ sc{i} as (select f.read_id, f.win_idx, k.parent, k.child, sum(f.cnt * coalesce(g.wt, k.rest)) as score
+  from act{i} a join kids k on k.level_idx = {i} and k.parent = a.parent join feats f on f.read_id = a.read_id
+  left join weights g on g.level_idx = {i} and g.parent = k.parent and g.child = k.child and g.code = f.code group by all),
+ bs{i} as (select read_id, win_idx, parent, arg_min(child, struct_pack(s := -score, c := child)) as child from sc{i} group by all),
+ vt{i} as materialized (select read_id, {i} as level_idx, parent, child, count(*) as votes from bs{i} group by all),
+ act{i + 1} as (select distinct read_id, child as parent from (select *, sum(votes) over (partition by read_id, parent) as total from vt{i}) where votes > {threshold!r}::double * total)"""
+    return out + ", descent as (" + " union all ".join(f"select * from vt{i}" for i in range(5)) + ")"
+
+
+SQL_FLOWS = f"""{sql_descent(0.6)}, {SQL_TREE.replace(SQL_NAMES + ", ", "")},
+ flow as (select d.read_id, d.level_idx, d.parent as source, d.child as target, d.votes::bigint as value from descent d
+  where d.votes >= 2 and exists (select 1 from tree t where t.name = d.child and t.level_idx = d.level_idx + 1)
+  union all select doc_id, 0, 'Root', 'REJECTED', {FEW} from dna where length(seq) < {SIZE}),
+ totals as (select coalesce(t.level_idx, 0) as depth, coalesce(t.name, 'REJECTED') as node, sum(value)::bigint as value
+  from flow f left join tree t on t.name = f.target and t.level_idx = f.level_idx + 1 group by all)"""
+
 QUERIES: dict = {}
 ORACLE: dict[str, str] = {}
+
+
+def query(name: str, sql: str | None = None):
+    def add(f):
+        QUERIES[name] = f
+        if sql:
+            ORACLE[name] = sql
+        return f
+
+    return add
+
+
+# ---- scalar functions --------------------------------------------------------------------------------------------------
+@query("e1_parse_taxonomy", f"with {SQL_NAMES} select doc_id, domain, phylum, \"group\", \"order\", family from named")
+def e1(spark, sf):
+    return named(spark, sf).drop("file_ord")
+
+
+@query("e2_windows", f"with {sql_wins('plain', MANY)} select doc_id, win_idx, start, win from wins")
+def e2(spark, sf):
+    return wins(spark, sf, "plain", MANY).withColumn("win", F.col("win").cast("string"))
+
+
+@query("e3_kmers", f"""with {sql_kmers()} select doc_id, win_idx, count(*) as n, count(distinct kmer) as kinds, arg_min(kmer, pos) as first_kmer,
+ arg_max(kmer, pos) as last_kmer, max(pos) as last_pos from kmers group by all""")
+def e3(spark, sf):
+    return w.kmers(wins(spark, sf), K).groupBy(*KEYS).agg(
+        F.count("*").alias("n"), F.count_distinct("kmer").alias("kinds"), F.min_by("kmer", "pos").alias("first_kmer"),
+        F.max_by("kmer", "pos").alias("last_kmer"), F.max("pos").alias("last_pos"),
+    )
+
+
+@query("e4_revcomp", f"with {sql_wins('iupac')} select doc_id, win_idx, {sql_rc('win')} as rc from wins")
+def e4(spark, sf):
+    return wins(spark, sf, "iupac").select(*KEYS, fs.revcomp(F.col("win").cast("string")).alias("rc"))
+
+
+@query("e5_pattern", f"with {sql_kmers(5)} select kmer, {sql_mask('kmer', MASK)} as masked, count(*) as n from kmers group by all")
+def e5(spark, sf):
+    k = w.kmers(wins(spark, sf), 5).groupBy("kmer").agg(F.count("*").alias("n"))
+    return k.select("kmer", fs.pattern_filter(F.col("kmer"), MASK).alias("masked"), "n")
+
+
+@query("e6_encode", f"with {sql_kmers()} select kmer, translate(kmer, 'ACGT', '0123')::bigint as code, count(*) as n from kmers group by all")
+def e6(spark, sf):
+    k = w.kmers(wins(spark, sf), K).groupBy("kmer").agg(F.count("*").alias("n"))
+    return k.select("kmer", fs.encode_kmer(F.col("kmer")).alias("code"), "n")
+
+
+SQL_ENCODER = """words as (select i::int as code_rank, (i // 64) * 1000 + (i // 16 % 4) * 100 + (i // 4 % 4) * 10 + i % 4 as code,
+ substr('ACGT', (i // 64) % 4 + 1, 1) || substr('ACGT', (i // 16) % 4 + 1, 1) || substr('ACGT', (i // 4) % 4 + 1, 1) || substr('ACGT', i % 4 + 1, 1) as kmer
+ from unnest(range(256)) as r(i))"""
+
+
+@query("e7_encoder", f"""with {sql_kmers()}, {SQL_ENCODER} select w.kmer, code, code_rank, count(k.kmer) as n from words w left join kmers k on w.kmer = k.kmer group by all""")
+def e7(spark, sf):
+    k = w.kmers(wins(spark, sf), K).groupBy("kmer").agg(F.count("*").alias("n"))
+    return F.broadcast(fs.encoder(spark, K)).join(k, "kmer", "left").select("kmer", "code", "code_rank", F.coalesce("n", F.lit(0)).alias("n"))
+
+
+@query("e8_iupac", f"""with {sql_counts(K, 'iupac')}, {sql_expanded('counted')} select doc_id, win_idx, kmer, cnt from expanded""")
+def e8(spark, sf):
+    c = profile.count_kmers(w.kmers(wins(spark, sf, "iupac"), K), KEYS)
+    return profile.sum_expanded(c, KEYS)
+
+
+@query("e9_argmax", f"with {SQL_PROBS} select read_id, win_idx, (list_position(p, list_max(p)) - 1)::int as class from probs")
+def e9(spark, sf):
+    return probs(spark, sf).select("read_id", "win_idx", argmax(F.col("p")).alias("class"))
+
+
+SQL_STEP = "list_reduce(p, lambda a, x: a + x)"
+
+
+@query("e10_delta_mean", f"with {SQL_PROBS} select read_id, win_idx, round(list_max(p) - {SQL_STEP} / len(p), 9) as score, list_max(p) - {SQL_STEP} / len(p) > 0.5::double as ok from probs")
+def e10(spark, sf):
+    from ..functions.scores import score_delta_mean
+
+    p, t = F.col("p"), F.lit(clamp_threshold(0.5))
+    return probs(spark, sf).select("read_id", "win_idx", F.round(score_delta_mean(p), 9).alias("score"), accepts("delta_mean", p, t).alias("ok"))
+
+
+@query("e11_min_max", f"with {SQL_PROBS} select read_id, win_idx, round(list_max(p) - list_max(list_filter(p, lambda x: x <> list_max(p))), 9) as score from probs")
+def e11(spark, sf):
+    from ..functions.scores import score_min_max
+
+    return probs(spark, sf).select("read_id", "win_idx", F.round(score_min_max(F.col("p")), 9).alias("score"))
+
+
+@query("e12_delta_sum", f"with {SQL_PROBS} select read_id, win_idx, list_max(p) > ({SQL_STEP} - list_max(p)) + 0.2::double as ok from probs")
+def e12(spark, sf):
+    return probs(spark, sf).select("read_id", "win_idx", accepts("delta_sum", F.col("p"), F.lit(0.2)).alias("ok"))
+
+
+SQL_MANIFEST = """lines as (select page_id as i, concat_ws(chr(9), concat('GCF_', page_id), case when page_id % 3 = 0 then 'representative genome' else 'na' end,
+ concat('https://ftp.example.org/all/GCF_', page_id, '_v', page_id % 4)) as line from pages)"""
+
+
+@query("e14_manifest", f"""with {SQL_MANIFEST} select i, 'GCF_' || i as accession, 'https://ftp.example.org/all/GCF_' || i || '_v' || i % 4 as url,
+ 'https://ftp.example.org/all/GCF_' || i || '_v' || i % 4 || '/GCF_' || i || '_v' || i % 4 || '_genomic.fna.gz' as fna_url from lines where i > 0 and line like '%representative genome%'""")
+def e14(spark, sf):
+    line = F.concat_ws("\t", F.concat(F.lit("GCF_"), "page_id"), F.when(F.col("page_id") % 3 == 0, F.lit("representative genome")).otherwise(F.lit("na")),
+                       F.concat(F.lit("https://ftp.example.org/all/GCF_"), "page_id", F.lit("_v"), F.col("page_id") % 4))
+    lines = spark.read.parquet(f"{sf}/pages.parquet").select(F.col("page_id").alias("i"), line.alias("line"))
+    return manifest.manifest_urls(manifest.representative_only(lines, 0))
+
+
+@query("e15_lineage", """with l as (select doc_id, lang as domain, 'Ph' || n % 2 as phylum,
+  case when doc_id % 3 = 0 then 'Gr' || n % 4 || 'ales' else 'Gr' || n % 4 end as third, case when doc_id % 5 = 0 then 'none' else 'Or' || n || 'ales' end as fourth,
+  'Gen' || n as genus, 'sp' || doc_id as species from (select *, cast(substr(source, 4) as int) as n from documents)),
+ m as (select doc_id, domain, phylum, case when third like '%ales' then phylum else third end as "group",
+  case when fourth like '%ales' then fourth when third like '%ales' then third end as "order", genus, species from l)
+ select *, concat_ws('_', domain, phylum, "group", "order", genus, species) || '.fna' as file_name from m where "order" is not null""")
+def e15(spark, sf):
+    n = _n()
+    lineage = F.array(F.col("lang"), F.concat(F.lit("Ph"), n % 2),
+                      F.when(F.col("doc_id") % 3 == 0, F.concat(F.lit("Gr"), n % 4, F.lit("ales"))).otherwise(F.concat(F.lit("Gr"), n % 4)),
+                      F.when(F.col("doc_id") % 5 == 0, F.lit("none")).otherwise(F.concat(F.lit("Or"), n, F.lit("ales"))))
+    rows = docs(spark, sf).select("doc_id", lineage.alias("lineage"), F.concat(F.lit("Gen"), n, F.lit(" sp"), "doc_id").alias("organism"))
+    return manifest.lineage_to_taxonomy(rows)
+
+
+@query("e16_accession", "select doc_id, source || '_' || doc_id as accession, lang || '_' || doc_id % 5 as node from documents")
+def e16(spark, sf):
+    header = F.concat(F.lit(">"), "source", F.lit("_"), "doc_id", F.lit(".1 sequence of "), "lang")
+    return docs(spark, sf).select("doc_id", fn.accession_of_header(header).alias("accession"), fn.node_key(F.col("lang"), F.col("doc_id") % 5).alias("node"))
+
+
+@query("e19_count_map", f"with {sql_profile()} select doc_id, win_idx, count(*) as entries, sum(cnt)::bigint as total, sum(code * cnt)::bigint as weighted from profile group by all")
+def e19(spark, sf):
+    maps = profile.count_map(profile.with_codes(doc_profile(spark, sf)), KEYS)
+    return profile.explode_map(maps, KEYS).groupBy(*KEYS).agg(
+        F.count("*").alias("entries"), F.sum("cnt").alias("total"), F.sum(F.col("code") * F.col("cnt")).alias("weighted")
+    )
+
+
+@query("e20_vector", f"""with {sql_profile()}, {SQL_ENCODER} select doc_id, win_idx, sum(code_rank * cnt)::bigint as ranked, sum(cnt * cnt)::bigint as squares
+ from profile join words using (code) group by all""")
+def e20(spark, sf):
+    vec = relational.vectors(profile.with_codes(doc_profile(spark, sf)), KEYS, K)
+    total = lambda f: F.aggregate(F.transform("x", f), F.lit(0).cast("long"), lambda a, b: a + b)
+    return vec.select(*KEYS, total(lambda x, i: x * i).alias("ranked"), total(lambda x, i: x * x).alias("squares"))
+
+
+# ---- filters -----------------------------------------------------------------------------------------------------------
+@query("f1_min_length", f"with {sql_dna()} select doc_id, length(seq) as len from dna where length(seq) >= {SIZE}")
+def f1(spark, sf):
+    return w.min_length_genomes(dna(spark, sf), SIZE).select("doc_id", F.length("seq").alias("len"))
+
+
+@query("f2_rejected", f"with {sql_dna()} select doc_id, case when length(seq) < {SIZE} then 'REJECTED' end as status from dna")
+def f2(spark, sf):
+    return w.reject_short_reads(dna(spark, sf), SIZE).select("doc_id", "status")
+
+
+@query("f3_homopolymer", f"with {sql_masked([1] * K)} select doc_id, win_idx, kmer, cnt from masked where kmer not in ({HOMO})")
+def f3(spark, sf):
+    c = profile.count_kmers(w.kmers(wins(spark, sf), K), KEYS)
+    return profile.drop_homopolymers(profile.merge_strands(c, KEYS).select(*KEYS, "kmer", "cnt"), K)
+
+
+# ---- counters ----------------------------------------------------------------------------------------------------------
+@query("a1_count", f"with {sql_counts()} select doc_id, win_idx, kmer, cnt, first_pos from counted")
+def a1(spark, sf):
+    return profile.count_kmers(w.kmers(wins(spark, sf), K), KEYS)
+
+
+@query("a2_strands", f"with {sql_merged(K, 'iupac')} select doc_id, win_idx, kmer, cnt from merged")
+def a2(spark, sf):
+    c = profile.count_kmers(w.kmers(wins(spark, sf, "iupac"), K), KEYS)
+    return profile.merge_strands(c, KEYS).drop("ord")
+
+
+def _a3(semantics):
+    def run(spark, sf):
+        c = profile.count_kmers(w.kmers(wins(spark, sf), len(MASK), semantics), KEYS)
+        return profile.apply_pattern_counts(profile.merge_strands(c, KEYS, semantics), KEYS, MASK, semantics)
+
+    return run
+
+
+for _s in ("reference", "clean"):
+    query(f"a3_pattern_{_s}", f"with {sql_masked(MASK, 'plain', FEW, _s)} select doc_id, win_idx, kmer, cnt from masked")(_a3(_s))
+
+
+@query("a5_profile", f"with {sql_profile('iupac', MANY)} select doc_id, win_idx, kmer, cnt, code from profile")
+def a5(spark, sf):
+    return profile.with_codes(doc_profile(spark, sf, "iupac", MANY))
+
+
+@query("a5_profile_clean", f"with {sql_profile('iupac', FEW, MASK, 'clean')} select doc_id, win_idx, kmer, cnt, code from profile")
+def a5_clean(spark, sf):
+    return profile.with_codes(doc_profile(spark, sf, "iupac", FEW, MASK, "clean"))
+
+
+@query("u1_add_counters", f"with {sql_profile()} select kmer, (sum(cnt) * 2)::bigint as cnt from profile group by all")
+def u1(spark, sf):
+    c = doc_profile(spark, sf).groupBy("kmer").agg(F.sum("cnt").alias("cnt"))
+    return profile.add_counters(c, c, ["kmer"])
+
+
+# ---- taxonomy ----------------------------------------------------------------------------------------------------------
+@query("a6_codes", f"with {SQL_CODES} select c.level, name, code, n.number_taxa from codes c join (select level, count(*) as number_taxa from codes group by all) n using (level)")
+def a6(spark, sf):
+    codes = taxonomy.taxa_codes(named(spark, sf))
+    return codes.join(taxonomy.taxa_counts(codes), "level")
+
+
+@query("a7_tree", f"with {SQL_TREE} select * from tree")
+def a7(spark, sf):
+    return taxonomy.taxa_tree(named(spark, sf))
+
+
+@query("a11_nodes", f"with {SQL_TREE} select level_idx, level, name from tree where level_idx <= 4")
+def a11(spark, sf):
+    return taxonomy.nodes_per_level(taxonomy.taxa_tree(named(spark, sf)))
+
+
+@query("j1_labels", f"with {SQL_CODES} select doc_id, family, code as label from named join codes on codes.level = 'family' and codes.name = named.family")
+def j1(spark, sf):
+    n = named(spark, sf)
+    return taxonomy.label_rows(n, taxonomy.taxa_codes(n), "family").select("doc_id", "family", "label")
+
+
+@query("f4_node_rows", f"with {SQL_NAMES} select doc_id, domain, phylum from named where domain = 'en'")
+def f4(spark, sf):
+    return models.node_training_rows(named(spark, sf), "domain", "en").select("doc_id", "domain", "phylum")
+
+
+# ---- votes -------------------------------------------------------------------------------------------------------------
+def _m4(func):
+    return lambda spark, sf: consensus.consensus(probs(spark, sf), ["read_id"], func)
+
+
+for _f in ("delta_mean", "min_max", "delta_sum"):
+    query(f"m4_{_f}", f"with {sql_consensus(_f)} select read_id, win_idx, class, vote from voted")(_m4(_f))
+
+
+@query("a8_votes", f"with {sql_consensus('delta_mean')} select read_id, vote, votes, (sum(votes) over (partition by read_id))::bigint as total from votes where counts")
+def a8(spark, sf):
+    votes = consensus.count_votes(consensus.consensus(probs(spark, sf), ["read_id"]), ["read_id"])
+    return consensus.share_of_parent(votes, ["read_id"])
+
+
+@query("f6_keep", f"""with {sql_consensus('delta_mean')} select * from (select read_id, vote, votes, (sum(votes) over (partition by read_id))::bigint as total
+ from votes where counts) where votes > 0.3::double * total""")
+def f6(spark, sf):
+    votes = consensus.count_votes(consensus.consensus(probs(spark, sf), ["read_id"]), ["read_id"])
+    return consensus.keep_taxa(votes, ["read_id"], 0.3)
+
+
+@query("q3_zero_class", f"with {sql_consensus('min_max')} select read_id, vote, votes from votes where counts and vote = 0")
+def q3(spark, sf):
+    voted = consensus.consensus(probs(spark, sf), ["read_id"], "min_max")
+    return consensus.count_votes(voted, ["read_id"]).where("vote = 0")
+
+
+@query("j4_decode_votes", f"""with {sql_consensus('delta_mean')}, {SQL_CODES} select read_id, name as child, votes from votes join codes on level = 'phylum' and code = vote where counts""")
+def j4(spark, sf):
+    votes = consensus.count_votes(consensus.consensus(probs(spark, sf), ["read_id"]), ["read_id"])
+    return classify.decode_votes(votes, taxonomy.taxa_codes(named(spark, sf)), "phylum").select("read_id", "child", "votes")
+
+
+# ---- models and pipelines ----------------------------------------------------------------------------------------------
+def _votes(spark, sf):
+    prof = profile.with_codes(doc_profile(spark, sf)).withColumnRenamed("doc_id", "read_id").checkpoint(eager=True)
+    rows = prof.select(F.col("read_id").alias("doc_id"), fs.code_rank(F.col("code"), K).alias("code_rank"), "cnt").join(named(spark, sf), "doc_id")
+    weights = relational.node_weights(rows, K)
+    return relational.descend(relational.vectors(prof, ["read_id", "win_idx"], K), weights, 0.6)
+
+
+@query("m5_descent_relational", f"with {sql_descent(0.6)} select read_id, level_idx, parent, child, votes from descent")
+def m5(spark, sf):
+    return _votes(spark, sf)
+
+
+def _model_rows(spark, sf):
+    counts = profile.count_map(profile.with_codes(doc_profile(spark, sf)), KEYS)
+    return models.to_vector(counts.join(named(spark, sf), "doc_id"), K)
+
+
+def _root_model(spark, sf, rows):
+    codes = taxonomy.taxa_codes(named(spark, sf))
+    return models.fit_node(rows, codes, "root", "Root", kind="gbt", rounds=3, max_depth=4), codes
+
+
+@query("m1_fit")
+def m1(spark, sf):
+    """The root's model as a table: one row per class with its ensemble's number of trees and nodes."""
+    rows = _model_rows(spark, sf).persist()
+    model, codes = _root_model(spark, sf, rows)
+    rows.unpersist()
+    trees = [(i, m.getNumTrees, m.totalNumNodes) for i, m in enumerate(model.models)]
+    got = spark.createDataFrame(trees, "code int, trees int, nodes int")
+    return codes.where("level = 'domain'").join(got, "code")
+
+
+@query("m3_predict")
+def m3(spark, sf):
+    """Every window's probabilities by the root's model and the class of the highest."""
+    rows = _model_rows(spark, sf).persist()
+    model, codes = _root_model(spark, sf, rows)
+    p = models.predict_node(rows.select(*KEYS, "features"), model, codes.where("level = 'domain'").count())
+    return p.select(*KEYS, "p", argmax(F.col("p")).alias("class"))
+
+
+def _report(spark, sf):
+    reads = w.reject_short_reads(dna(spark, sf), SIZE).select(F.lit("documents").alias("file"), F.col("doc_id").alias("read_id"), "status")
+    votes = _votes(spark, sf).withColumn("file", F.lit("documents"))
+    return classify.report_levels(votes, reads)
+
+
+def _flows(spark, sf):
+    rows, taxa = _report(spark, sf), taxonomy.taxa_tree(named(spark, sf))
+    return report.flows(report.report_rows(rows), rows, taxa, cutoff=2, reads_per_sample=FEW, show_rejected=True), taxa
+
+
+@query("p3_flows", f"with {SQL_FLOWS} select *, value / {FEW}.0::double * 100 as percent from flow")
+def p3(spark, sf):
+    return _flows(spark, sf)[0]
+
+
+@query("a10_totals", f"with {SQL_FLOWS} select * from totals")
+def a10(spark, sf):
+    return report.taxon_totals(*_flows(spark, sf))
+
+
+@query("j5_endpoints", f"""with {SQL_FLOWS} select read_id, f.level_idx, source, target, value, s.node_id as source_id, t.node_id as target_id from flow f
+ left join tree s on s.name = f.source and s.level_idx = f.level_idx left join tree t on t.name = f.target and t.level_idx = f.level_idx + 1""")
+def j5(spark, sf):
+    flow, taxa = _flows(spark, sf)
+    return report.flow_endpoints(flow.drop("percent"), taxa)
+
+
+@query("j6_hierarchy", f"""with {SQL_FLOWS}, every as (select name as node, level_idx as depth, parent from tree where level_idx > 0 union all select 'REJECTED', 0, 'Root')
+ select e.node, e.depth, e.parent, coalesce(t.value, 0)::bigint as value from every e left join totals t using (node, depth)""")
+def j6(spark, sf):
+    flow, taxa = _flows(spark, sf)
+    return report.hierarchy_totals(taxa, report.taxon_totals(flow, taxa))
+
