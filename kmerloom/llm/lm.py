@@ -23,6 +23,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
+import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -40,6 +41,16 @@ END, START = xxhash.xxh3_64_intdigest(b" end"), xxhash.xxh3_64_intdigest(b" star
 _PART = "part long, doc_ids array<long>, train binary, counts binary, ids binary, words binary"
 
 
+def _planes(values: np.ndarray) -> bytes:
+    """Bytes of equal weight side by side, so that compression finds the zeros."""
+    return np.ascontiguousarray(values.view(np.uint8).reshape(len(values), values.itemsize).T).tobytes()
+
+
+def _from_planes(raw: bytes, kind: str) -> np.ndarray:
+    width = int(kind[2])
+    return np.ascontiguousarray(np.frombuffer(raw, np.uint8).reshape(width, -1).T).view(kind).ravel()
+
+
 def _encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     from pyspark import TaskContext
 
@@ -58,7 +69,7 @@ def _encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             "doc_ids": pa.array([docs], pa.list_(pa.int64())),
             "train": pa.array([np.asarray(train, dtype=np.uint8).tobytes()]),
             "counts": pa.array([np.asarray([len(x) for x in ids], dtype="<i8").tobytes()]),
-            "ids": pa.array([np.concatenate(ids).astype("<i4").tobytes()]),
+            "ids": pa.array([zstandard.compress(_planes(np.concatenate(ids).astype("<i4")), 3)]),
             "words": pa.array([hashes.tobytes()]),
         }
         numbers, docs, train, ids, total, seq = {}, [], [], [], 0, seq + 1
@@ -91,7 +102,7 @@ class Part:
         self.tokens = np.full(int(self.sizes.sum()), end, dtype=np.int64)
         inside = np.ones(len(self.tokens), dtype=bool)
         inside[self.first + counts] = False
-        self.tokens[inside] = np.frombuffer(row["ids"], dtype="<i4")
+        self.tokens[inside] = _from_planes(zstandard.decompress(row["ids"]), "<i4")
         self.states = np.empty_like(self.tokens)
         self.states[1:] = self.tokens[:-1]
         self.states[self.first] = start
@@ -113,16 +124,6 @@ class Part:
         return np.bincount(of[self.train], minlength=len(self.hashes) - 1 if kind == 0 else len(self.pairs))
 
 
-def _planes(values: np.ndarray) -> bytes:
-    """Bytes of equal weight side by side, so that the shuffle's compression finds the zeros."""
-    return np.ascontiguousarray(values.view(np.uint8).reshape(len(values), values.itemsize).T).tobytes()
-
-
-def _from_planes(raw: bytes, kind: str) -> np.ndarray:
-    width = int(kind[2])
-    return np.ascontiguousarray(np.frombuffer(raw, np.uint8).reshape(width, -1).T).view(kind).ravel()
-
-
 def _bucket_rows(buckets: int):
     edges = np.asarray([(b << 64) // buckets for b in range(1, buckets)], dtype=np.uint64)
 
