@@ -462,9 +462,9 @@ def f6(spark, sf):
     return consensus.keep_taxa(votes, ["read_id"], 0.3)
 
 
-@query("q3_zero_class", f"with {sql_consensus('min_max')} select read_id, vote, votes from votes where counts and vote = 0")
+@query("q3_zero_class", f"with {sql_consensus('min_max', 0.2)} select read_id, vote, votes from votes where counts and vote = 0")
 def q3(spark, sf):
-    voted = consensus.consensus(probs(spark, sf), ["read_id"], "min_max")
+    voted = consensus.consensus(probs(spark, sf), ["read_id"], "min_max", 0.2)
     return consensus.count_votes(voted, ["read_id"]).where("vote = 0")
 
 
