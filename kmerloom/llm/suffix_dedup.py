@@ -8,9 +8,9 @@ same distance in each copy of the window.  So:
 2. Anchors whose run occurs once in all the corpus are dropped.  The context of an anchor is all that windows over it can
    reach.  Anchors with equal contexts are copies throughout; one of each such class goes on, as does each
    anchor with a context of its own, where its run has several classes.  These are the borders of repeated passages.
-3. Contexts of the same runs meet in a task, in batches of bounded size.  There their windows are put in suffix order
-   (rank doubling), previous and next smaller positions give each window's longest earlier match up to `length`
-   (the longest-previous-factor array), and windows that have one, or are one, are marked.
+3. Contexts of the same runs meet in a task, in batches of bounded size.  There the suffixes at their anchors are sorted,
+   which puts their windows in suffix order; previous and next smaller positions give each window's longest earlier
+   match up to `length` (the longest-previous-factor array), and windows that have one, or are one, are marked.
    Runs with very many classes are split: their windows are counted one by one by a hash, in a distributed aggregate.
 4. Marked windows of a document are joined into spans.
 
@@ -35,9 +35,11 @@ from .common import column, map_arrow, slices, small_side, stored, texts_of
 #: Bytes of text of which anchors are found at once.
 STRETCH = 1 << 20
 #: Context bytes that are sorted at once.
-SORT_BYTES = 4 << 20
+SORT_BYTES = 1 << 20
 #: Runs with more classes than this are split over tasks.
-SPLIT_CLASSES = 4096
+SPLIT_CLASSES = 32768
+#: Windows that are put in order at once.
+WINDOWS = 1 << 18
 
 _rng = np.random.default_rng(20)
 _BYTE = _rng.integers(1, 1 << 63, 256, dtype=np.uint64)
@@ -126,21 +128,34 @@ def _anchor_rows(length: int, gram: int):
     return run
 
 
-def suffix_ranks(data: np.ndarray, depth: int) -> np.ndarray:
-    """Ranks of all suffixes by their first `depth` bytes (a power of two, 8 at least), by rank doubling."""
-    padded = np.concatenate([data, np.zeros(7, dtype=np.uint8)]).astype(np.uint64)
-    n = len(data)
-    key = np.zeros(n, dtype=np.uint64)
-    for j in range(8):
-        key = (key << np.uint64(8)) | padded[j : j + n]
-    rank = np.unique(key, return_inverse=True)[1].astype(np.int64)
-    size = 8
-    while size < depth:
-        after = np.zeros(n, dtype=np.int64)
-        after[: n - size] = rank[size:] + 1 if size < n else 0
-        rank = np.unique(rank * (n + 1) + after, return_inverse=True)[1].astype(np.int64)
-        size *= 2
-    return rank
+def sorted_rows(rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Rows of bytes (as byte + 1, 0 behind the end) in lexicographic order, and each one's common length with the one before."""
+    order = np.argsort(np.ascontiguousarray(rows.astype(">u2")).view(f"S{2 * rows.shape[1]}").ravel(), kind="stable")
+    common = np.zeros(len(order), dtype=np.int32)
+    for at in range(1, len(order), 4096):
+        a, b = rows[order[at - 1 : at + 4095]], rows[order[at : at + 4096]]
+        differ = (a[: len(b)] != b) | (b == 0)
+        common[at : at + 4096] = np.where(differ.any(1), differ.argmax(1), rows.shape[1])
+    return order, common
+
+
+class RangeMin:
+    """Minima of ranges of an array, by a sparse table."""
+
+    def __init__(self, values: np.ndarray):
+        self.table = [values]
+        while 2 ** len(self.table) <= len(values):
+            last, size = self.table[-1], 2 ** (len(self.table) - 1)
+            self.table.append(np.minimum(last[:-size], last[size:]))
+
+    def __call__(self, lo: np.ndarray, hi: np.ndarray) -> np.ndarray:
+        """min of values[lo..hi], for lo <= hi."""
+        out = np.empty(len(lo), dtype=self.table[0].dtype)
+        level = np.frexp(hi - lo + 1)[1] - 1
+        for k in np.unique(level):
+            m = np.flatnonzero(level == k)
+            out[m] = np.minimum(self.table[k][lo[m]], self.table[k][hi[m] - 2**k + 1])
+        return out
 
 
 def nearest_smaller(values: np.ndarray) -> np.ndarray:
@@ -161,67 +176,89 @@ def longest_previous_factor(order: np.ndarray, place: np.ndarray, lcp: np.ndarra
     n = len(order)
     at = place[order]
     prev, nxt = nearest_smaller(at), n - 1 - nearest_smaller(at[::-1])[::-1]
-    # The common length with a neighbour is the least lcp between: a sparse table gives range minima.
-    table = [lcp]
-    while 2 ** len(table) <= n:
-        last, size = table[-1], 2 ** (len(table) - 1)
-        table.append(np.minimum(last[:-size], last[size:]))
-
-    def least(lo: np.ndarray, hi: np.ndarray, ok: np.ndarray) -> np.ndarray:
-        """min of lcp[lo + 1 .. hi] where ok, else 0."""
-        out = np.zeros(n, dtype=lcp.dtype)
-        lo, hi, where = lo[ok] + 1, hi[ok], np.flatnonzero(ok)
-        level = np.frexp(np.maximum(hi - lo + 1, 1))[1] - 1
-        for k in np.unique(level):
-            m = level == k
-            out[where[m]] = np.minimum(table[k][lo[m]], table[k][hi[m] - 2**k + 1])
-        return out
-
-    i = np.arange(n)
-    best = np.maximum(least(prev, i, prev >= 0), least(i, nxt, nxt < n))
+    least, i = RangeMin(lcp), np.arange(n)
+    best = np.zeros(n, dtype=lcp.dtype)
+    ok = prev >= 0
+    best[ok] = least(prev[ok] + 1, i[ok])
+    ok = nxt < n
+    best[ok] = np.maximum(best[ok], least(i[ok] + 1, nxt[ok]))
     out = np.zeros(n, dtype=lcp.dtype)
     out[order] = best
     return out
 
 
-def marked_windows(texts: list[bytes], docs: np.ndarray, starts: np.ndarray, length: int) -> tuple[np.ndarray, ...]:
-    """Windows of texts (each a part of document docs[i] from byte starts[i]) that are repeated among them.
+def marked_windows(
+    texts: list[bytes], docs: np.ndarray, starts: np.ndarray, at: np.ndarray, runs: np.ndarray, length: int, gram: int
+) -> tuple[np.ndarray, ...]:
+    """Windows over the anchors of contexts that are repeated in contexts of the same run.
 
-    Returns document, byte, has an earlier match; a window that lies in several texts counts once.
+    Context i is a part of document docs[i] from byte starts[i]; its anchor lies at byte at[i] of it.  Returns document,
+    byte, has an earlier match, in the order of document and byte.
+
+    The suffixes at the anchors are sorted (a sparse suffix array), and so are the texts before them, read backwards.
+    Windows that start x bytes before their anchors are in suffix order once they are grouped by the x bytes (equal places
+    in the backward order) and sorted by the anchors' suffixes.
     """
+    n, reach = len(texts), length - gram
     sizes = np.asarray([len(t) for t in texts], dtype=np.int64)
     data = np.frombuffer(b"".join(texts), dtype=np.uint8)
-    base = np.concatenate([[0], np.cumsum(sizes)])[:-1]
-    n_windows = np.maximum(sizes - length + 1, 0)
-    owner = np.repeat(np.arange(len(texts)), n_windows)
-    inside = np.arange(len(owner)) - np.repeat(np.cumsum(n_windows) - n_windows, n_windows)
-    at = base[owner] + inside
-    doc, byte = docs[owner], starts[owner] + inside
-    order = np.lexsort((byte, doc))
-    fresh = np.ones(len(order), dtype=bool)
-    fresh[1:] = (np.diff(doc[order]) != 0) | (np.diff(byte[order]) != 0)
-    keep = order[fresh]  # in the order of (document, byte): the place of a window is its index
-    at, doc, byte = at[keep], doc[keep], byte[keep]
-    if len(at) < 2:
-        return doc[:0], byte[:0], np.zeros(0, dtype=bool)
-    if length >= 8:
-        depth = 8
-        while depth * 2 <= length:
-            depth *= 2
-        rank = suffix_ranks(data, depth)
-        first, second = rank[at], rank[at + length - depth]
-        place = np.arange(len(at))
-        order = np.lexsort((place, second, first))
-        same = (np.diff(first[order]) == 0) & (np.diff(second[order]) == 0)
-    else:
-        raise ValueError("length must be 8 at least")
-    lcp = np.concatenate([[0], np.where(same, length, 0)]).astype(np.int32)  # only "length or more" matters here
-    later = longest_previous_factor(order, place, lcp) >= length
-    run = np.cumsum(np.concatenate([[True], ~same])) - 1
-    many = np.bincount(run)[run] > 1
-    repeated = np.zeros(len(at), dtype=bool)
-    repeated[order] = many
-    return doc[repeated], byte[repeated], later[repeated]
+    base = np.cumsum(sizes) - sizes
+    group = np.unique(runs, return_inverse=True)[1]
+    tags = np.stack([group // 32768 + 1, group % 32768 + 1], axis=1).astype(np.uint16)
+
+    def rows(from_anchor: np.ndarray) -> np.ndarray:
+        """A row per context: its tags, then the bytes at these distances from its anchor, plus 1; 0 outside."""
+        out = np.zeros((n, 2 + len(from_anchor)), dtype=np.uint16)
+        out[:, :2] = tags
+        for i in range(0, n, 2048):
+            offset = at[i : i + 2048, None] + from_anchor
+            inside = (offset >= 0) & (offset < sizes[i : i + 2048, None])
+            out[i : i + 2048, 2:] = np.where(inside, data[np.where(inside, base[i : i + 2048, None] + offset, 0)].astype(np.uint16) + 1, 0)
+        return out
+
+    order_r, lcp_r = sorted_rows(rows(np.arange(length)))
+    order_l, lcp_l = sorted_rows(rows(-1 - np.arange(reach)))
+    # The tags are two places ahead of the bytes; other runs share nothing.
+    lcp_r, lcp_l = np.maximum(lcp_r - 2, 0), np.maximum(lcp_l - 2, 0)
+    rank_r, rank_l = np.empty(n, dtype=np.int64), np.empty(n, dtype=np.int64)
+    rank_r[order_r] = rank_l[order_l] = np.arange(n)
+    near = lambda lcp, rank: np.maximum(lcp, np.append(lcp[1:], 0))[rank]
+    # No window can match that needs more on a side than the nearest neighbour there has in common.
+    first = np.maximum(length - near(lcp_r, rank_r), 0)
+    last = np.minimum(np.minimum(near(lcp_l, rank_l), reach), at)
+    least, where = RangeMin(lcp_r), (np.unique(docs, return_inverse=True)[1] << 40) + starts + at
+    per_x = np.bincount(first[first <= last], minlength=reach + 2) - np.bincount(last[first <= last] + 1, minlength=reach + 2)
+    due, found = np.cumsum(np.cumsum(per_x)), []
+    x0 = 0
+    while x0 <= reach:  # windows of as many distances as make about WINDOWS of them; distances don't meet
+        x1 = max(x0 + 1, int(np.searchsorted(due, (due[x0 - 1] if x0 else 0) + WINDOWS, "right")))
+        lo, hi = np.maximum(first, x0), np.minimum(last, x1 - 1)
+        many = np.maximum(hi - lo + 1, 0)
+        owner = np.repeat(np.arange(n), many)
+        x = np.arange(len(owner)) - np.repeat(np.cumsum(many) - many, many) + lo[owner]
+        depths, x0 = np.arange(x0, min(x1, reach + 1)), x1
+        if not len(x):
+            continue
+        # Of each depth and place in the backward order: where the run of texts with the same bytes to that depth begins.
+        head = np.maximum.accumulate(np.where(lcp_l[None, :] < depths[:, None], np.arange(n, dtype=np.int32), 0), axis=1)
+        same = x * n + head[x - depths[0], rank_l[owner]]
+        order = np.argsort(same * n + rank_r[owner], kind="stable")
+        lcp = np.zeros(len(order), dtype=np.int32)
+        pair = np.flatnonzero(np.diff(same[order]) == 0)
+        before, after = rank_r[owner[order[pair]]], rank_r[owner[order[pair + 1]]]
+        lcp[pair + 1] = np.minimum(x[order[pair]] + least(before + 1, after), length)
+        place = where[owner] - x
+        later = longest_previous_factor(order, place, lcp) >= length
+        run = np.cumsum(lcp < length) - 1
+        repeated = np.zeros(len(order), dtype=bool)
+        repeated[order] = np.bincount(run)[run] > 1
+        keep = np.flatnonzero(repeated)
+        found.append((place[keep], owner[keep], (starts + at)[owner[keep]] - x[keep], later[keep]))
+    if not found:
+        return np.empty(0, dtype=np.int64), np.empty(0, dtype=np.int64), np.empty(0, dtype=bool)
+    place, owner, byte, later = (np.concatenate(f) for f in zip(*found, strict=True))
+    order = np.argsort(place, kind="stable")
+    return docs[owner[order]], byte[order], later[order]
 
 
 def spans_of(doc: np.ndarray, byte: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -235,34 +272,35 @@ def spans_of(doc: np.ndarray, byte: np.ndarray, length: int) -> tuple[np.ndarray
     return doc[first], byte[first], byte[last] + length
 
 
-def _sort_contexts(length: int, later_only: bool):
+def _sort_contexts(length: int, gram: int, later_only: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         texts: list[bytes] = []
         docs: list[int] = []
         starts: list[int] = []
+        places: list[int] = []
         runs: list[int] = []
         size = 0
 
-        def flush(n: int) -> pa.RecordBatch:
-            nonlocal texts, docs, starts, runs, size
-            doc, byte, later = marked_windows(texts[:n], np.asarray(docs[:n]), np.asarray(starts[:n]), length)
+        def flush() -> pa.RecordBatch:
+            nonlocal texts, docs, starts, places, runs, size
+            doc, byte, later = marked_windows(texts, *map(np.asarray, (docs, starts, places, runs)), length, gram)
             if later_only:
                 doc, byte = doc[later], byte[later]
-            texts, docs, starts, runs = texts[n:], docs[n:], starts[n:], runs[n:]
-            size = sum(map(len, texts))
+            texts, docs, starts, places, runs, size = [], [], [], [], [], 0
             return pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in spans_of(doc, byte, length)], names=["key", "s", "e"])
 
         for batch in batches:
-            for run_, doc, start, text in zip(*(column(batch, c).to_pylist() for c in ("run", "key", "start", "context_text")), strict=True):
+            for run_, doc, start, place, text in zip(*(column(batch, c).to_pylist() for c in ("run", "key", "start", "at", "context_text")), strict=True):
                 if size >= SORT_BYTES and runs[-1] != run_:
-                    yield flush(len(texts))
+                    yield flush()
                 texts.append(text)
                 docs.append(doc)
                 starts.append(start)
+                places.append(place)
                 runs.append(run_)
                 size += len(text)
         if texts:
-            yield flush(len(texts))
+            yield flush()
 
     return run
 
@@ -273,7 +311,7 @@ def _contexts(length: int, gram: int, hashed: bool):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "text", 4 << 20):
-            runs, keys, starts, texts = [], [], [], []
+            runs, keys, starts, places, texts = [], [], [], [], []
             for key, text, need in zip(column(batch, "key").to_pylist(), texts_of(batch, "text"), column(batch, "need").to_pylist(), strict=True):
                 for x in need:
                     s = max(0, x["p"] - reach)
@@ -283,15 +321,18 @@ def _contexts(length: int, gram: int, hashed: bool):
                             runs.append(xxhash.xxh3_64_intdigest(got[i : i + length]) - (1 << 63))
                             keys.append(key)
                             starts.append(s + i)
+                            places.append(0)
                             texts.append(xxhash.xxh64_intdigest(got[i : i + length]) - (1 << 63))
                     else:
                         runs.append(x["run"])
                         keys.append(key)
                         starts.append(s)
+                        places.append(x["p"] - s)
                         texts.append(got)
             yield pa.RecordBatch.from_arrays(
-                [pa.array(runs, pa.int64()), pa.array(keys, pa.int64()), pa.array(starts, pa.int64()), pa.array(texts, pa.int64() if hashed else pa.binary())],
-                names=["run", "key", "start", "context_text"],
+                [pa.array(runs, pa.int64()), pa.array(keys, pa.int64()), pa.array(starts, pa.int64()), pa.array(places, pa.int64()),
+                 pa.array(texts, pa.int64() if hashed else pa.binary())],
+                names=["run", "key", "start", "at", "context_text"],
             )
 
     return run
@@ -318,7 +359,8 @@ def repeated_spans(docs: DataFrame, length: int = 400, keep: str = "none") -> Da
     gram = length // 2
     reach = length - gram
     found = stored(map_arrow(docs, _anchor_rows(length, gram), "key long, p long, span int, run long, context long"), "anchors")
-    often = found.groupBy("run").count().where("count > 1").select("run")
+    # Stored on its own, so that the join shuffles both sides and Spark can split a run that is everywhere.
+    often = stored(found.groupBy("run").count().where("count > 1").select("run"), "repeated-runs")
     found = stored(found.join(often, "run"), "repeated-anchors")
     classes = found.groupBy("run", "context").agg(F.count("*").alias("n"), F.min(F.struct("key", "p")).alias("first"))
     classes = stored(classes, "context-classes")
@@ -327,7 +369,7 @@ def repeated_spans(docs: DataFrame, length: int = 400, keep: str = "none") -> Da
         copies = copies.where(F.struct("key", "p") != F.col("first"))
     whole = copies.select("key", F.greatest(F.lit(0), F.col("p") - reach).alias("s"), (F.col("p") + F.col("span")).alias("e"))
 
-    borders = classes.groupBy("run").agg(F.count("*").alias("kinds")).where("kinds > 1")
+    borders = stored(classes.groupBy("run").agg(F.count("*").alias("kinds")).where("kinds > 1"), "run-kinds")
     borders = stored(classes.join(borders, "run").select("run", "kinds", "first.key", "first.p"), "borders")
 
     def contexts(part: DataFrame, hashed: bool, schema: str) -> DataFrame:
@@ -337,10 +379,10 @@ def repeated_spans(docs: DataFrame, length: int = 400, keep: str = "none") -> Da
         need = small_side(need, 48 + 32 * max(1, rows // max(1, need.count())))
         return map_arrow(docs.join(need, "key").select("key", "text", "need"), _contexts(length, gram, hashed), schema)
 
-    schema = "run long, key long, start long, context_text "
+    schema = "run long, key long, start long, at long, context_text "
     few = contexts(borders.where(F.col("kinds") <= SPLIT_CLASSES), False, schema + "binary")
     few = few.repartition("run").sortWithinPartitions("run")
-    spans = map_arrow(few, _sort_contexts(length, keep == "first"), "key long, s long, e long")
+    spans = map_arrow(few, _sort_contexts(length, gram, keep == "first"), "key long, s long, e long")
     many = borders.where(F.col("kinds") > SPLIT_CLASSES)
     if not many.isEmpty():
         windows = stored(contexts(many, True, schema + "long").distinct(), "split-windows")

@@ -119,10 +119,11 @@ def passages(seed):
     return docs
 
 
-@pytest.mark.parametrize("split", [4096, 1])
+@pytest.mark.parametrize("split", [32768, 1])
 def test_suffix_dedup(spark, monkeypatch, split):
     monkeypatch.setattr(suffix_dedup, "SPLIT_CLASSES", split)
     monkeypatch.setattr(suffix_dedup, "SORT_BYTES", 2000)
+    monkeypatch.setattr(suffix_dedup, "WINDOWS", 100)
     monkeypatch.setattr(suffix_dedup, "STRETCH", 64)
     docs = passages(6)
     frame = spark.createDataFrame(docs, "doc_id long, text string").repartition(3)
