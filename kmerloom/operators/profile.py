@@ -79,9 +79,19 @@ def explode_map(df: DataFrame, keys: list[str]) -> DataFrame:
 
 
 def dense_counts(counts: Column, k: int) -> Column:
-    """Array of all 4^k counts of a code -> count map, by rank of the code."""
-    ranked = F.transform_keys(counts, lambda c, _: code_rank(c, k))
-    return F.transform(F.sequence(F.lit(0), F.lit(4**k - 1)), lambda i: F.coalesce(F.try_element_at(ranked, i.cast("int")), F.lit(0).cast("long")))
+    """Array of all 4^k counts of a code -> count map, by rank of the code.
+
+    One pass over the sorted entries, with zeros put between them: a lambda that looked codes up in the map would
+    evaluate the map anew for each of them.
+    """
+    zeros = lambda n: F.array_repeat(F.lit(0).cast("long"), n)
+    ranked = F.sort_array(F.transform(F.map_entries(counts), lambda e: F.struct(code_rank(e["key"], k).alias("r"), e["value"].cast("long").alias("c"))))
+    return F.aggregate(
+        ranked,
+        F.array().cast("array<bigint>"),
+        lambda acc, e: F.concat(acc, zeros(e["r"] - F.size(acc)), F.array(e["c"])),
+        lambda acc: F.concat(acc, zeros(F.lit(4**k) - F.size(acc))),
+    )
 
 
 def with_codes(df: DataFrame) -> DataFrame:

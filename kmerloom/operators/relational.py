@@ -31,22 +31,25 @@ def node_weights(features: DataFrame, k: int) -> DataFrame:
     return node.select("level_idx", "parent", "child", F.transform(F.sequence(F.lit(0), F.lit(n - 1)), weight).alias("w"))
 
 
-def descend(vecs: DataFrame, weights: DataFrame, threshold: float) -> DataFrame:
-    """vecs(read_id, win_idx, x) -> read_id, level_idx, parent, child, votes over five levels.
+def weight_rows(weights: DataFrame) -> DataFrame:
+    """node_weights() in long form: level_idx, parent, child, code_rank, w."""
+    return weights.select("level_idx", "parent", "child", F.posexplode("w").alias("code_rank", "w"))
+
+
+def descend(features: DataFrame, weights: DataFrame, threshold: float) -> DataFrame:
+    """features(read_id, win_idx, code_rank, cnt), weight_rows() -> read_id, level_idx, parent, child, votes.
 
     At each level every window votes for the child of the highest score (the first name where equal) under each active
-    parent; children with more than a share of their parent's votes are active next.  The active set is a table of reads
-    and parents and only prunes the next level's join.
+    parent; children with more than a share of their parent's votes are active next.  Reads meet only the weights of
+    their active parents, and each level's votes are cut off from their lineage.
     """
-    active = vecs.select("read_id").distinct().withColumn("parent", F.lit("Root"))
+    active = features.select("read_id").distinct().withColumn("parent", F.lit("Root"))
     out = None
     for i in range(len(LEVELS)):
-        level = weights.where(F.col("level_idx") == i)
-        pairs = vecs.join(active, "read_id").join(level, "parent")
-        score = F.aggregate(F.zip_with("x", "w", lambda a, b: a * b), F.lit(0).cast("long"), lambda a, b: a + b)
-        scored = pairs.select("read_id", "win_idx", "parent", "child", score.alias("score"))
-        best = scored.groupBy("read_id", "win_idx", "parent").agg(F.max("score").alias("score"))
-        won = scored.join(best, ["read_id", "win_idx", "parent", "score"]).groupBy("read_id", "win_idx", "parent").agg(F.min("child").alias("child"))
+        level = weights.where(F.col("level_idx") == i).drop("level_idx")
+        scored = features.join(active, "read_id").join(level, ["parent", "code_rank"])
+        scored = scored.groupBy("read_id", "win_idx", "parent", "child").agg(F.sum(F.col("cnt") * F.col("w")).alias("score"))
+        won = scored.groupBy("read_id", "win_idx", "parent").agg(F.min_by("child", F.struct((-F.col("score")).alias("s"), "child")).alias("child"))
         votes = won.groupBy("read_id", "parent", "child").agg(F.count("*").alias("votes")).withColumn("level_idx", F.lit(i))
         votes = votes.select("read_id", "level_idx", "parent", "child", "votes").checkpoint(eager=True)
         total = F.sum("votes").over(Window.partitionBy("read_id", "parent"))

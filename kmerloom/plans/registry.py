@@ -476,10 +476,11 @@ def j4(spark, sf):
 
 # ---- models and pipelines ----------------------------------------------------------------------------------------------
 def _votes(spark, sf):
-    prof = profile.with_codes(doc_profile(spark, sf)).withColumnRenamed("doc_id", "read_id").checkpoint(eager=True)
-    rows = prof.select(F.col("read_id").alias("doc_id"), fs.code_rank(F.col("code"), K).alias("code_rank"), "cnt").join(named(spark, sf), "doc_id")
-    weights = relational.node_weights(rows, K)
-    return relational.descend(relational.vectors(prof, ["read_id", "win_idx"], K), weights, 0.6)
+    prof = profile.with_codes(doc_profile(spark, sf)).select(F.col("doc_id").alias("read_id"), "win_idx", fs.code_rank(F.col("code"), K).alias("code_rank"), "cnt")
+    prof = prof.checkpoint(eager=True)
+    rows = prof.withColumnRenamed("read_id", "doc_id").join(named(spark, sf), "doc_id")
+    weights = relational.weight_rows(relational.node_weights(rows, K)).checkpoint(eager=True)
+    return relational.descend(prof, weights, 0.6)
 
 
 @query("m5_descent_relational", f"with {sql_descent(0.6)} select read_id, level_idx, parent, child, votes from descent")
