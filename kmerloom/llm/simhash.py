@@ -95,7 +95,8 @@ def pigeonring_links(prints: DataFrame) -> DataFrame:
     for i in range(SEGMENTS):
         chain = _turned(x, i).bitwiseAND(F.lit((1 << 3 * WIDTH) - 1))
         three = three | ((start == i) & (F.bit_count(chain) <= 3 * DISTANCE // SEGMENTS))
-    found = left.join(right, "k").where((F.col("a") < F.col("b")) & three & (F.bit_count(x) <= DISTANCE))
+    # By merging: the planner takes the exploded side for as small as its source and would broadcast it.
+    found = left.hint("merge").join(right.hint("merge"), "k").where((F.col("a") < F.col("b")) & three & (F.bit_count(x) <= DISTANCE))
     return found.select("a", "b")
 
 
