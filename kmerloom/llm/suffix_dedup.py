@@ -103,7 +103,7 @@ def _anchor_rows(length: int, gram: int):
     reach = length - gram
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, "text", 8 << 20):
+        for batch in slices(batches, "text"):
             keys, places, runs, contexts, spans = [], [], [], [], []
             for key, text in zip(column(batch, "key").to_pylist(), texts_of(batch, "text"), strict=True):
                 place, hashes = anchors(text, length, gram)
@@ -310,7 +310,7 @@ def _contexts(length: int, gram: int, hashed: bool):
     reach = length - gram
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, "text", 4 << 20):
+        for batch in slices(batches, "text"):
             runs, keys, starts, places, texts = [], [], [], [], []
             for key, text, need in zip(column(batch, "key").to_pylist(), texts_of(batch, "text"), column(batch, "need").to_pylist(), strict=True):
                 for x in need:
@@ -374,9 +374,8 @@ def repeated_spans(docs: DataFrame, length: int = 400, keep: str = "none") -> Da
 
     def contexts(part: DataFrame, hashed: bool, schema: str) -> DataFrame:
         need = part.groupBy("key").agg(F.collect_list(F.struct("p", "run")).alias("need"))
-        need = stored(need, "context-needs")
-        rows = part.count()
-        need = small_side(need, 48 + 32 * max(1, rows // max(1, need.count())))
+        # No broadcast: borders grow with the corpus, and the plan is to be the same at every size.
+        need = stored(need, "context-needs").hint("merge")
         return map_arrow(docs.join(need, "key").select("key", "text", "need"), _contexts(length, gram, hashed), schema)
 
     schema = "run long, key long, start long, at long, context_text "
