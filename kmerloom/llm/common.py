@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import uuid
 from collections.abc import Callable, Iterable, Iterator
@@ -20,6 +21,8 @@ LOWER_ALNUM = bytes(
 BLANK = "[\\x20\\x09-\\x0D]"
 #: A side of at most this many bytes may be broadcast; larger sides take the shuffle path.
 BROADCAST_BYTES = 32 << 20
+#: Rows of an Arrow batch; Python workers idle between tasks, so what they hold counts for long.
+ROWS_PER_BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -48,10 +51,21 @@ def small_side(df: DataFrame, row_bytes: int, limit: int = BROADCAST_BYTES) -> D
 
 
 def map_arrow(df: DataFrame, fn: Callable[[Iterator[pa.RecordBatch]], Iterable[pa.RecordBatch]], schema: str) -> DataFrame:
-    return df.mapInArrow(fn, schema)
+    """mapInArrow in batches of few rows, as texts are long; what a task has freed goes back to the system at its end."""
+    if df.sparkSession.conf.get(ROWS_PER_BATCH, "10000") == "10000":
+        df.sparkSession.conf.set(ROWS_PER_BATCH, "2000")
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from fn(batches)
+        pa.default_memory_pool().release_unused()
+        trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # of glibc only
+        if trim:
+            trim(0)
 
-def slices(batches: Iterator[pa.RecordBatch], column: str, limit: int = 16 << 20) -> Iterator[pa.RecordBatch]:
+    return df.mapInArrow(run, schema)
+
+
+def slices(batches: Iterator[pa.RecordBatch], column: str, limit: int = 4 << 20) -> Iterator[pa.RecordBatch]:
     """Cut record batches where the text column exceeds about `limit` bytes, so memory follows bytes, not rows."""
     for batch in batches:
         n = batch.num_rows

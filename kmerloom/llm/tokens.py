@@ -13,7 +13,7 @@ from array import array
 from functools import lru_cache
 
 #: Words that one Python process remembers; further ones are encoded each time. This bounds memory, not results.
-CACHE_WORDS = 300_000
+CACHE_WORDS = 450_000
 #: Literal strings of special tokens that the library looks for in a text; such texts take the plain path.
 _MARK = "<|"
 #: Any character that either Python or the files count as white space.
