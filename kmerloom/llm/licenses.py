@@ -12,8 +12,8 @@ A licence file (LICENSE*, LICENCE*, COPYING*, NOTICE*) with a licence gives it t
 path); a file without an own one takes that of its nearest ancestor directory.  Every file is joined by its ancestor
 paths, a handful of rows each; a directory is one row on the other side.
 
-Everything is DataFrame functions.  Null text: no units; null path: no directory.  Rows with equal ids and paths are judged each by
-their own text.  An empty table gives no rows.  The templates are a small fixed table, so joins to them are broadcast.
+Everything is DataFrame functions.  Null text: no units; null path: no directory.  Every row has a key of its own in a stored table, so rows with equal or
+null ids and paths are judged each by their own text.  An empty table gives no rows.  The templates are a small fixed table, so joins to them are broadcast.
 """
 
 from __future__ import annotations
@@ -82,19 +82,23 @@ def _weights(spark: SparkSession, files: DataFrame, templates) -> tuple[DataFram
     return table, sorted(ahead), sum(idf.values()) / max(1, len(idf))
 
 
-def own_licenses(files: DataFrame, templates=TEMPLATES) -> DataFrame:
-    """files(id, path, text) -> stored (id, path, license, score), one row per file whose best unit reaches CUT."""
+def own_licenses(files: DataFrame, templates=TEMPLATES) -> tuple[DataFrame, DataFrame]:
+    """files(id, path, text) -> two stored tables: (row, id, path), one row per row of files; (row, path, license, score), one
+    row per row of files whose best unit reaches CUT."""
     spark = files.sparkSession
     weights, ahead, other = _weights(spark, files, templates)
+    hint = "(?i)\\b(" + "|".join(ahead) + ")\\b" if ahead else "(?!)"
+    # A cheap test on whole texts first, then on lines; both only leave out what can't match.
+    keyed = files.select(F.monotonically_increasing_id().alias("row"), "id", "path", F.when(F.col("text").rlike(hint), F.col("text")).alias("text"))
+    keyed = stored(keyed, "license-files")
+    texts = keyed.where("text is not null")
     named = F.regexp_extract(F.col("path"), "([^/]*)$", 1).rlike(LICENSE_NAME)
     lines = F.split(F.col("text"), "\n")
     units = F.when(named, F.concat(F.array("text"), lines)).otherwise(lines)
-    hint = "(?i)\\b(" + "|".join(ahead) + ")\\b" if ahead else "(?!)"
-    # A cheap test on whole texts first, then on lines; both only leave out what can't match.
-    rows = files.where(F.col("text").rlike(hint)).select("id", "path", F.explode(units).alias("unit"))
-    rows = rows.where(F.col("unit").rlike(hint)).select("id", "path", _words(F.col("unit")).alias("w"), F.xxhash64("unit").alias("u"))
-    # Equal lines are scored once, however many files hold them.
-    rows = stored(rows, "license-lines")
+    rows = texts.select("row", F.explode(units).alias("unit")).where(F.col("unit").rlike(hint))
+    rows = rows.select("row", _words(F.col("unit")).alias("w"))
+    # Equal units are scored once, however many files hold them.
+    rows = stored(rows.withColumn("u", F.xxhash64(F.array_join("w", " "))), "license-units")
     line = rows.groupBy("u").agg(F.any_value("w").alias("w"))
     terms = line.select("u", F.size("w").alias("size"), F.explode("w").alias("word")).groupBy("u", "size", "word").agg(F.count("*").alias("tf"))
     idf = weights.groupBy("word").agg(F.first("idf").alias("idf"))
@@ -106,13 +110,11 @@ def own_licenses(files: DataFrame, templates=TEMPLATES) -> DataFrame:
         F.sum(F.col("tf") * F.col("idf") * F.col("weight")).alias("dot")
     )
     scored = dots.join(inner, "u").withColumn("score", F.round(F.col("dot") / F.sqrt("norm2"), 6)).where(F.col("score") >= CUT)
-    best = scored.groupBy("u").agg(F.max(F.struct("score", (-F.col("template")).alias("t"), "license")).alias("b"))
-    best = stored(best.select("u", "b.score", "b.t", "b.license"), "line-scores")
-    found = rows.join(small_side(best, 64), "u")
-    return stored(
-        found.groupBy("id", "path").agg(F.max(F.struct("score", "t", "license")).alias("b")).select("id", "path", "b.license", "b.score"),
-        "own-licenses",
-    )
+    scored = stored(scored.select("u", "template", "score", (-F.col("template")).alias("t"), "license"), "unit-scores")
+    found = rows.select("row", "u").join(small_side(scored, 64), "u")
+    best = found.groupBy("row").agg(F.max(F.struct("score", "t", "license")).alias("b"))
+    best = best.join(keyed.select("row", "path"), "row").select("row", "path", "b.license", "b.score")
+    return keyed.select("row", "id", "path"), stored(best, "own-licenses")
 
 
 def _directory(path: Column) -> Column:
@@ -120,24 +122,19 @@ def _directory(path: Column) -> Column:
 
 
 def scan(files: DataFrame, templates=TEMPLATES) -> DataFrame:
-    """files(id, path, text) -> (id, path, own_license, score, license, inherited_from), one row per file."""
-    own = own_licenses(files, templates)
+    """files(id, path, text) -> (id, path, own_license, score, license, inherited_from), one row per row of files."""
+    every, own = own_licenses(files, templates)
     named = F.regexp_extract(F.col("path"), "([^/]*)$", 1).rlike(LICENSE_NAME)
     dirs = own.where(named).select(_directory(F.col("path")).alias("dir"), "path", "license", "score")
     dirs = dirs.groupBy("dir").agg(F.min_by("license", F.struct((-F.col("score")).alias("s"), "path")).alias("dir_license"))
     dirs = small_side(stored(dirs, "directory-licenses"), 256)
-    every = files.select("id", "path").distinct()
-    rows = every.join(
-        own.select(F.col("id").alias("__i"), F.col("path").alias("__p"), F.col("license").alias("own_license"), "score"),
-        F.col("id").eqNullSafe(F.col("__i")) & F.col("path").eqNullSafe(F.col("__p")), "left",
-    ).drop("__i", "__p")
+    rows = every.join(own.select("row", F.col("license").alias("own_license"), "score"), "row", "left")
     rows = stored(rows, "file-licenses")
     parts = F.split(_directory(F.col("path")), "/")
     prefixes = F.transform(F.sequence(F.lit(0), F.size(parts)), lambda n: F.array_join(F.slice(parts, 1, n), "/"))
-    chain = rows.where("own_license is null and path is not null").select("id", "path", F.explode(F.array_distinct(prefixes)).alias("dir"))
-    near = chain.join(dirs, "dir").groupBy("id", "path").agg(F.max(F.struct(F.length("dir").alias("l"), "dir", "dir_license")).alias("n"))
-    near = near.select(F.col("id").alias("__i"), F.col("path").alias("__p"), "n")
-    out = rows.join(near, F.col("id").eqNullSafe(F.col("__i")) & F.col("path").eqNullSafe(F.col("__p")), "left")
+    chain = rows.where("own_license is null and path is not null").select("row", F.explode(F.array_distinct(prefixes)).alias("dir"))
+    near = chain.join(dirs, "dir").groupBy("row").agg(F.max(F.struct(F.length("dir").alias("l"), "dir", "dir_license")).alias("n"))
+    out = rows.join(near, "row", "left")
     return out.select(
         "id", "path", "own_license", "score", F.coalesce("own_license", "n.dir_license").alias("license"), F.col("n.dir").alias("inherited_from")
     )
