@@ -1,12 +1,16 @@
 """Operator 10: licence scans by sparse TF-IDF cosine to templates, and inheritance from the nearest ancestor directory.
 
-Units are all lines of all files and, for files with a licence file's name, also the whole text.  A unit's vector has tf * idf for the words
+Units are all lines of all files and, for files with a licence file's name, also the whole text; these are held against all
+templates.  Notices are wrapped over lines, so for each template all runs of as many words as it has, over line ends, are
+units for it too (a shorter text is one run).  A unit's vector has tf * idf for the words
 of the templates and, for each other word, the mean idf of the templates' words in its length only.  idf comes from the
 document frequencies over all files.  A unit takes the template of the highest cosine, the first id where equal; a file
 takes its best unit's if the cosine reaches CUT.
 
 Prefix filtering: per template, words in falling weight are set aside until the rest can't reach CUT alone; a unit
 without any word set aside by some template can't match and goes no further.  So few lines are exploded, however many there are.
+Runs of words are looked for only in stretches that hold such a word; a run goes on if its cosine could reach CUT with
+every word counted as if it occurred once.
 
 A licence file (LICENSE*, LICENCE*, COPYING*, NOTICE*) with a licence gives it to its directory (several: the highest cosine, then the first
 path); a file without an own one takes that of its nearest ancestor directory.  Every file is joined by its ancestor
@@ -25,7 +29,7 @@ from pyspark.sql import functions as F
 
 from .common import small_side, stored
 
-#: Licence notices by SPDX id; several texts for an id are several templates.
+#: Licence notices by SPDX id; several texts for an id are several templates.  Whole licences are known by their titles and notices.
 TEMPLATES = (
     ("Apache-2.0", "Licensed under the Apache License, Version 2.0."),
     ("Apache-2.0", "Licensed under the Apache License, Version 2.0 (the License); you may not use this file except in compliance with the License."),
@@ -37,6 +41,17 @@ TEMPLATES = (
     ("LGPL-3.0", "This library is licensed under the GNU Lesser General Public License, version 3."),
     ("BSD-3-Clause", "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met"),
     ("MPL-2.0", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0."),
+    ("GPL-2.0", "This program is free software; you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation; either version 2 of the License"),
+    ("LGPL-3.0", "This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation; either version 3 of the License"),
+    ("LGPL-2.1", "This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation; either version 2.1 of the License"),
+    ("AGPL-3.0", "This program is free software: you can redistribute it and/or modify it under the terms of the GNU Affero General Public License as published by the Free Software Foundation, either version 3 of the License"),
+    ("Apache-2.0", "Apache License Version 2.0, January 2004"),
+    ("GPL-3.0", "GNU GENERAL PUBLIC LICENSE Version 3, 29 June 2007"),
+    ("GPL-2.0", "GNU GENERAL PUBLIC LICENSE Version 2, June 1991"),
+    ("LGPL-3.0", "GNU LESSER GENERAL PUBLIC LICENSE Version 3, 29 June 2007"),
+    ("LGPL-2.1", "GNU LESSER GENERAL PUBLIC LICENSE Version 2.1, February 1999"),
+    ("AGPL-3.0", "GNU AFFERO GENERAL PUBLIC LICENSE Version 3, 19 November 2007"),
+    ("MPL-2.0", "Mozilla Public License Version 2.0"),
     ("CC-BY-4.0", "Licensed under CC BY 4.0."),
     ("CC-BY-4.0", "This work is licensed under a Creative Commons Attribution 4.0 International License."),
     ("CC-BY-NC-4.0", "Licensed under CC BY-NC 4.0."),
@@ -56,8 +71,9 @@ def _words(text: Column) -> Column:
     return F.filter(F.split(low, "[^a-z0-9]+"), lambda w: w != "")
 
 
-def _weights(spark: SparkSession, files: DataFrame, templates) -> tuple[DataFrame, list[str], float]:
-    """Stored (template, license, word, weight, idf) with unit-length weights; the words set aside; the other words' idf."""
+def _weights(spark: SparkSession, files: DataFrame, templates) -> tuple[DataFrame, DataFrame, dict[str, float], list[str], float]:
+    """(template, license, word, weight, idf) with unit-length weights; (template, n, ahead, gains) with each template's number
+    of words, its words set aside and idf * weight by word; idf by word; all words set aside; the other words' idf."""
     vocab = sorted({w for _, t in templates for w in words(t)})
     known = F.array(*(F.lit(w) for w in vocab))
     seen = files.select(F.explode(F.array_intersect(_words(F.col("text")), known)).alias("word"))
@@ -66,27 +82,51 @@ def _weights(spark: SparkSession, files: DataFrame, templates) -> tuple[DataFram
     import math
 
     idf = {w: math.log((total + 1) / (counts.get(w, 0) + 1)) + 1 for w in vocab}
-    rows, ahead = [], set()
+    rows, runs, ahead = [], [], set()
     for k, (lic, text) in enumerate(templates):
         w = words(text)
         raw = {x: w.count(x) * idf[x] for x in dict.fromkeys(w)}
         norm = math.sqrt(sum(v * v for v in raw.values()))
         rows += [(k, lic, x, v / norm, idf[x]) for x, v in raw.items()]
-        left = 1.0
+        own, left = [], 1.0
         for x, v in sorted(raw.items(), key=lambda p: (-p[1], p[0])):
             if math.sqrt(max(left, 0.0)) < CUT - 1e-9:
                 break
-            ahead.add(x)
+            own.append(x)
             left -= (v / norm) ** 2
+        ahead.update(own)
+        runs.append((k, len(w), own, {x: idf[x] * v / norm for x, v in raw.items()}))
     table = spark.createDataFrame(rows, "template int, license string, word string, weight double, idf double")
-    return table, sorted(ahead), sum(idf.values()) / max(1, len(idf))
+    plan = spark.createDataFrame(runs, "template int, n int, ahead array<string>, gains map<string,double>")
+    return table, plan, idf, sorted(ahead), sum(idf.values()) / max(1, len(idf))
+
+
+def _runs(texts: DataFrame, plan: DataFrame, idf: dict[str, float], ahead: list[str], other: float, most: int) -> DataFrame:
+    """texts(row, text) -> row, template, w: runs of each template's number of words that may reach CUT with it."""
+    w = texts.select("row", _words(F.col("text")).alias("w"))
+    # Stretches of twice the longest template, each beginning in the middle of the one before: every run lies in the one where it starts.
+    at = F.sequence(F.lit(0), F.greatest(F.floor((F.size("w") - 1) / most), F.lit(0)).cast("int"))
+    set_aside = F.array(*(F.lit(x) for x in ahead)).cast("array<string>")
+    cut = F.transform(at, lambda k: F.struct(k.alias("k"), F.slice("w", k * most + 1, 2 * most - 1).alias("w")))
+    cut = F.filter(cut, lambda s: F.arrays_overlap(s["w"], set_aside))
+    some = w.select("row", F.explode(cut).alias("s")).select("row", "s.k", "s.w")
+    costs = F.create_map(*(F.lit(x) for p in idf.items() for x in (p[0], p[1] ** 2)))
+    some = some.withColumn("cost", F.transform("w", lambda x: F.coalesce(F.try_element_at(costs, x), F.lit(other * other))))
+    each = some.join(F.broadcast(plan), F.arrays_overlap(some["w"], plan["ahead"]))
+    each = each.where((F.size("w") >= F.col("n")) | (F.col("k") == 0))
+    each = each.withColumn("gain", F.transform("w", lambda x: F.coalesce(F.try_element_at("gains", x), F.lit(0.0))))
+    total = lambda c, s: F.aggregate(F.slice(c, s, F.col("n")), F.lit(0.0), lambda a, x: a + x)
+    last = F.least(F.lit(most), F.greatest(F.size("w") - F.col("n") + 1, F.lit(1)))
+    # A word's squared count is at least its count, so this cosine is at least the true one.
+    may = F.filter(F.sequence(F.lit(1), last), lambda s: total("gain", s) >= F.lit(CUT - 1e-6) * F.sqrt(total("cost", s)))
+    return each.select("row", "template", "w", "n", F.explode(may).alias("s")).select("row", "template", F.slice("w", F.col("s"), F.col("n")).alias("w"))
 
 
 def own_licenses(files: DataFrame, templates=TEMPLATES) -> tuple[DataFrame, DataFrame]:
     """files(id, path, text) -> two stored tables: (row, id, path), one row per row of files; (row, path, license, score), one
     row per row of files whose best unit reaches CUT."""
     spark = files.sparkSession
-    weights, ahead, other = _weights(spark, files, templates)
+    weights, plan, idfs, ahead, other = _weights(spark, files, templates)
     hint = "(?i)\\b(" + "|".join(ahead) + ")\\b" if ahead else "(?!)"
     # A cheap test on whole texts first, then on lines; both only leave out what can't match.
     keyed = files.select(F.monotonically_increasing_id().alias("row"), "id", "path", F.when(F.col("text").rlike(hint), F.col("text")).alias("text"))
@@ -96,7 +136,11 @@ def own_licenses(files: DataFrame, templates=TEMPLATES) -> tuple[DataFrame, Data
     lines = F.split(F.col("text"), "\n")
     units = F.when(named, F.concat(F.array("text"), lines)).otherwise(lines)
     rows = texts.select("row", F.explode(units).alias("unit")).where(F.col("unit").rlike(hint))
-    rows = rows.select("row", _words(F.col("unit")).alias("w"))
+    rows = rows.select("row", F.lit(None).cast("int").alias("only"), _words(F.col("unit")).alias("w"))
+    most = max((len(words(t)) for _, t in templates), default=1)
+    if ahead:
+        runs = _runs(texts.select("row", "text"), plan, idfs, ahead, other, most)
+        rows = rows.unionByName(runs.select("row", F.col("template").alias("only"), "w"))
     # Equal units are scored once, however many files hold them.
     rows = stored(rows.withColumn("u", F.xxhash64(F.array_join("w", " "))), "license-units")
     line = rows.groupBy("u").agg(F.any_value("w").alias("w"))
@@ -111,7 +155,7 @@ def own_licenses(files: DataFrame, templates=TEMPLATES) -> tuple[DataFrame, Data
     )
     scored = dots.join(inner, "u").withColumn("score", F.round(F.col("dot") / F.sqrt("norm2"), 6)).where(F.col("score") >= CUT)
     scored = stored(scored.select("u", "template", "score", (-F.col("template")).alias("t"), "license"), "unit-scores")
-    found = rows.select("row", "u").join(small_side(scored, 64), "u")
+    found = rows.select("row", "only", "u").join(small_side(scored, 64), "u").where("only is null or only = template")
     best = found.groupBy("row").agg(F.max(F.struct("score", "t", "license")).alias("b"))
     best = best.join(keyed.select("row", "path"), "row").select("row", "path", "b.license", "b.score")
     return keyed.select("row", "id", "path"), stored(best, "own-licenses")

@@ -14,3 +14,20 @@ def test_license_rows_with_equal_or_null_ids(spark):
     want = [(1, "a/x", "MIT", "MIT"), (1, "a/x", "Apache-2.0", "Apache-2.0"), (1, "a/x", None, "MIT"), (None, "s/en", "MIT", "MIT"), (None, "s/en", None, None),
             (None, None, None, None), (None, None, None, None), (2, "a/LICENSE", "MIT", "MIT")]
     assert sorted(map(str, ((r.id, r.path, r.own_license, r.license) for r in got))) == sorted(map(str, want))
+
+
+WRAPPED = {
+    "bsd.c": ("BSD-3-Clause", "/* Copyright someone\n * Redistribution and use in source and binary forms, with or without\n * modification, are permitted provided that the following conditions are met:\n * 1. Redistributions"),
+    "gpl3.py": ("GPL-3.0", "# some words ahead\n#\n# This program is free software: you can redistribute it and/or modify\n# it under the terms of the GNU General Public License as published by\n# the Free Software Foundation, either version 3 of the License, or\n# any later one.\n\nimport os"),
+    "gpl2.py": ("GPL-2.0", "# This program is free software; you can redistribute it and/or modify\n# it under the terms of the GNU General Public License as published by\n# the Free Software Foundation; either version 2 of the License, or\n# any later one."),
+    "narrow.txt": ("Apache-2.0", "Licensed\nunder\nthe Apache\nLicense,\nVersion\n2.0."),
+    "d/LICENCE": ("MIT", "Copyright (c) 2024 someone\n\nPermission is hereby granted, free of charge, to any person obtaining a copy\nof this software and associated documentation files (the \"Software\"), to deal\n" + "in the software without restriction and so on\n" * 30),
+    "e/COPYING": ("GPL-2.0", "GNU GENERAL PUBLIC LICENSE\nVersion 2, June 1991\n\n" + "Everyone is permitted to copy and distribute verbatim copies of this document\n" * 20),
+    "far.txt": ("BSD-3-Clause", "filler words here\n" * 2000 + "Redistribution and use in source and binary forms, with\nor without modification, are permitted provided that\nthe following conditions are met"),
+    "none.txt": (None, "the source of this work is\nfree and the version\nof the program is public"),
+}
+
+
+def test_license_notices_over_line_ends(spark):
+    files = spark.createDataFrame([(i, p, t) for i, (p, (_, t)) in enumerate(WRAPPED.items())], "id long, path string, text string")
+    assert {r.path: r.own_license for r in licenses.scan(files).collect()} == {p: lic for p, (lic, _) in WRAPPED.items()}
