@@ -1,0 +1,24 @@
+"""The commands on what they once left out."""
+
+from test_pipelines import PARAMS, fasta_text, folders  # noqa: F401
+
+from kmerloom.plans.pipelines import build, predict, report_tables
+from kmerloom.sources import tables
+
+
+def test_reads_descend_through_single_children(spark, folders, tmp_path):  # noqa: F811
+    root, _ = folders
+    db = str(tmp_path / "db")
+    registry = build(spark, f"{root}/genomes", db, PARAMS, kind="forest", rounds=5, max_depth=4)
+    only = {(r.level, r.name): r.only_child for r in registry.collect()}
+    assert only["domain", "Da"] == "Dap" and only["group", "Dbg"] == "Dbo" and only["order", "Dao"] is None and only["root", "Root"] is None
+    out = predict(spark, db, f"{root}/reads", None, PARAMS)
+    levels = {r.read_id: r.levels for r in out.collect()}
+    for d in "ab":
+        for read in (f"D{d}0", f"D{d}1"):
+            got = levels[read]
+            assert [set(x) for x in got] == [{"Root"}, {f"D{d}"}, {f"D{d}p"}, {f"D{d}g"}, {f"D{d}o"}]
+            assert [set(got[i][p]) for i, p in ((1, f"D{d}"), (2, f"D{d}p"), (3, f"D{d}g"))] == [{f"D{d}p"}, {f"D{d}g"}, {f"D{d}o"}]
+            assert got[4][f"D{d}o"].keys() <= {f"D{d}f0", f"D{d}f1"}
+    flow, _ = report_tables(tables.read_taxa(spark, db)[0], out, cutoff=1, reads_per_sample=PARAMS.sampling)
+    assert {"Dap", "Dag", "Dao"} <= {x for r in flow.collect() for x in map(str, r)}
