@@ -7,8 +7,9 @@ kernel ridge regression in that space.  Scoring is two matrix products per batch
 by weights.
 
 Training reads only text and non-null language of the training fold.  It takes at most SAMPLE_PER_LANGUAGE texts of each of at most
-MAX_LANGUAGES languages, the first ones by a hash of the text, of at most SAMPLE_BYTES each; these bounds are parameters.  Every text
-is scored whole.
+MAX_LANGUAGES languages, the first ones by a hash of the text, of SHORT_BYTES to SAMPLE_BYTES each; these bounds are parameters.
+Copies count once.  A language with fewer such texts is filled up from its shorter texts and from stretches at the beginning
+of its longer ones, so each of these languages is learned.  Every text is scored whole.
 
 Letters beyond the ALPHABET most common of the sample share the remaining codes by code point.  `und` with score 0: a
 text that is null, has no letter, or where nothing could be learned.  Equal texts get equal predictions; an empty table gives no rows.
@@ -29,7 +30,7 @@ from pyspark.sql import functions as F
 from .common import column, map_arrow, slices, train_fold
 
 SAMPLE_PER_LANGUAGE = 400
-SAMPLE_BYTES = 8192
+SHORT_BYTES, SAMPLE_BYTES = 200, 8192
 MAX_LANGUAGES = 200
 LANDMARKS = 160
 ALPHABET = 96
@@ -152,19 +153,27 @@ class Model:
 
 def fit(labelled: DataFrame) -> Model:
     """labelled(text, lang): the training fold. What reaches the driver is bounded by the sample's parameters."""
-    usable = labelled.where("text is not null and lang is not null").where(F.octet_length("text").between(200, SAMPLE_BYTES))
-    langs = [r["lang"] for r in labelled.where("text is not null and lang is not null").groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(MAX_LANGUAGES).collect()]
-    if usable.isEmpty():
-        usable = labelled.where("text is not null and lang is not null").where(F.octet_length("text") <= SAMPLE_BYTES)
+    usable = labelled.where("text is not null and lang is not null")
+    langs = [r["lang"] for r in usable.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(MAX_LANGUAGES).collect()]
     shared = max(8, min(SAMPLE_PER_LANGUAGE, 8192 // max(1, len(langs))))
-    ranked = usable.where(F.col("lang").isin(langs)).select("lang", "text", F.xxhash64("text").alias("h"))
-    counts = {r["lang"]: r["n"] for r in ranked.groupBy("lang").agg(F.count("*").alias("n")).collect()}
-    share = F.lit(1.0)
+    far = ~F.octet_length("text").between(SHORT_BYTES, SAMPLE_BYTES)
+    ranked = usable.where(F.col("lang").isin(langs)).select("lang", "text", far.alias("far"), F.xxhash64("text").alias("h"))
+    # Distinct texts of each language within and beyond the lengths; copies don't count.
+    counts: dict[str, dict[bool, int]] = {}
+    for r in ranked.groupBy("lang", "far").agg(F.approx_count_distinct("h", 0.02).alias("n")).collect():
+        counts.setdefault(r["lang"], {})[r["far"]] = r["n"]
+    shares = []
     for lang, n in sorted(counts.items()):
-        share = F.when(F.col("lang") == lang, F.lit(min(1.0, 4.0 * shared / n))).otherwise(share)
+        shares.append((lang, False, min(1.0, 4.0 * shared / max(1, n.get(False, 0)))))
+        if n.get(False, 0) < 2 * shared:  # beyond the lengths only where within them there may be too few
+            shares.append((lang, True, min(1.0, 4.0 * shared / max(1, n.get(True, 0)))))
+    share = labelled.sparkSession.createDataFrame(shares, "lang string, far boolean, share double")
     # A hash keeps about four times the sample, which then is sorted.
-    near = ranked.where(F.pmod(F.col("h"), F.lit(1 << 30)) < share * float(1 << 30)).dropDuplicates(["h"])
-    top = near.withColumn("r", F.row_number().over(Window.partitionBy("lang").orderBy("h"))).where(F.col("r") <= shared)
+    near = ranked.join(F.broadcast(share), ["lang", "far"]).where(F.pmod(F.col("h"), F.lit(1 << 30)) < F.col("share") * float(1 << 30))
+    # A long text's stretch: so many letters are at most SAMPLE_BYTES in UTF-8.
+    stretch = F.when(F.octet_length("text") > SAMPLE_BYTES, F.substring("text", 1, SAMPLE_BYTES // 4)).otherwise(F.col("text"))
+    near = near.select("lang", "far", "h", stretch.alias("text")).dropDuplicates(["lang", "h"])
+    top = near.withColumn("r", F.row_number().over(Window.partitionBy("lang").orderBy("far", "h"))).where(F.col("r") <= shared)
     rows = sorted((r["lang"], r["h"], r["text"]) for r in top.select("lang", "h", "text").collect())
     return Model([t for _, _, t in rows], [lang for lang, _, _ in rows])
 

@@ -4,7 +4,7 @@ import pytest
 
 pytest.importorskip("public_tokenizers")
 
-from kmerloom.llm import licenses  # noqa: E402
+from kmerloom.llm import langid, licenses  # noqa: E402
 
 
 def test_license_rows_with_equal_or_null_ids(spark):
@@ -31,3 +31,17 @@ WRAPPED = {
 def test_license_notices_over_line_ends(spark):
     files = spark.createDataFrame([(i, p, t) for i, (p, (_, t)) in enumerate(WRAPPED.items())], "id long, path string, text string")
     assert {r.path: r.own_license for r in licenses.scan(files).collect()} == {p: lic for p, (lic, _) in WRAPPED.items()}
+
+
+def test_language_with_odd_lengths_or_copies(spark):
+    import random
+
+    rng = random.Random(4)
+    letters = {"en": "abcdefgh", "sh": "ijklmn", "lo": "opqrst", "co": "uvwxyz"}
+    text = lambda lang, n: " ".join("".join(rng.choice(letters[lang]) for _ in range(5)) for _ in range(n))
+    rows = [(text("en", 60), "en") for _ in range(60)] + [(text("sh", 8), "sh") for _ in range(60)] + [(text("lo", 3000), "lo") for _ in range(12)]
+    copies = [text("co", 60) for _ in range(3)]
+    rows += [(t, "co") for t in copies for _ in range(40000)]
+    model = langid.fit(spark.createDataFrame(rows, "text string, lang string"))
+    assert model.langs == sorted(letters)
+    assert model.predict([text(lang, 40) for lang in model.langs])[0] == model.langs
