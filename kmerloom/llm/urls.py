@@ -2,10 +2,12 @@
 
 Tree.  Per host, a path is its segments.  A segment is variable if it is mostly digits (ids, dates, hashes), or if at its place under its
 parent the host has more than BRANCHES distinct values, none of which holds more than a SHARE of the parent's urls; variable
-segments become `*`.  Segments are generalised from the root down, each level one aggregate, to DEPTH levels; deeper segments are `**`.
+segments become `*`.  Segments are generalised from the root down, each level one aggregate, until no path goes on or all
+that go on are at parents of at most BRANCHES paths, below which nothing can vary.
 
-Merging.  Sibling templates of a host that differ in one fixed segment are merged to `*` there if their labelled purities
-are statistically alike: the difference of their smoothed purities lies within MERGE_Z standard errors of the two.
+Merging.  Sibling templates of a host that differ in one fixed segment, whichever it is, are merged to `*` there if their labelled purities
+are statistically alike: the difference of a template's smoothed purity and that of its siblings together lies within MERGE_Z standard errors of the two.
+Of several such places a template takes the one with the most siblings alike, the last where equal; it is merged at one place at most.
 
 Purity.  Labels are 1 (block) or 0 (allow).  A template's purity is smoothed towards its host's, that towards the same
 path template over all hosts, and that towards the overall share, each with PRIOR pseudo-labels.  A url is blocked if its template's purity is at least CUT.
@@ -26,7 +28,6 @@ from .common import small_side, stored
 
 #: Rules of the contract: verdict, host, path.
 RULES = (("block", "net", "/"), ("allow", "example.net", "/en/"), ("block", "example.com", "/de/"), ("allow", "org", "/fr/"))
-DEPTH = 4
 BRANCHES = 20
 SHARE = 0.2
 MERGE_Z = 1.0
@@ -65,35 +66,33 @@ def _numeric(segment: Column) -> Column:
 
 def templates(urls: DataFrame) -> DataFrame:
     """urls(host, path, n, blocked, labelled), one row per host and path -> the same with template, an array of segments."""
-    tree = urls.withColumn("__s", _segments(F.col("path")))
-    level = lambda i: F.when(F.size("__s") > i, F.when(_numeric(F.get("__s", F.lit(i))), F.lit("*")).otherwise(F.get("__s", F.lit(i))))
-    for i in range(DEPTH):
-        tree = tree.withColumn(f"__t{i}", level(i))
-    # One row per host and prefix pattern: what varies is found on these counts, from the root down.
-    counts = stored(tree.groupBy("host", *(f"__t{i}" for i in range(DEPTH))).agg(F.sum("n").alias("n")), "paths")
-    wide = counts
-    for i in range(DEPTH):
-        parent = ["host", *(f"__g{j}" for j in range(i))]
+    tree = urls.withColumn("__s", F.transform(_segments(F.col("path")), lambda s: F.when(_numeric(s), F.lit("*")).otherwise(s)))
+    # One row per host and segments: what varies is found on these counts, from the root down.
+    live = tree.groupBy("host", "__s").agg(F.sum("n").alias("n")).withColumn("__g", F.array().cast("array<string>"))
+    live, done, i = stored(live, "paths"), [], 0
+    while True:
+        on = live.where(F.size("__s") > i)
         # First per value, then per parent: a parent of very many values is summed in parts.
-        per_value = wide.groupBy(*parent, f"__t{i}").agg(F.sum("n").alias("vn"))
-        per_parent = per_value.where(F.col(f"__t{i}").isNotNull()).groupBy(*parent).agg(
-            F.count("*").alias("kinds"), F.sum("vn").alias("all"), F.max("vn").alias("top")
+        per_value = on.groupBy("host", "__g", F.get("__s", F.lit(i)).alias("__v")).agg(F.sum("n").alias("vn"), F.count("*").alias("paths"))
+        per_parent = per_value.groupBy("host", "__g").agg(
+            F.count("*").alias("kinds"), F.sum("vn").alias("all"), F.max("vn").alias("top"), F.sum("paths").alias("paths")
         )
-        varies = per_parent.where((F.col("kinds") > BRANCHES) & (F.col("top") <= SHARE * F.col("all")))
-        varies = varies.select(*(F.col(c).alias(f"__p{k}") for k, c in enumerate(parent)))
-        varies = small_side(stored(varies, "varying"), 64 * (i + 2))
-        same = reduce(lambda a, b: a & b, (wide[c].eqNullSafe(varies[f"__p{k}"]) for k, c in enumerate(parent)))
-        wide = wide.join(varies.withColumn("__v", F.lit(True)), same, "left")
-        wide = wide.withColumn(f"__g{i}", F.when(F.col("__v") & F.col(f"__t{i}").isNotNull(), F.lit("*")).otherwise(F.col(f"__t{i}")))
-        wide = wide.drop("__v", *(f"__p{k}" for k in range(i + 1)))
-    shape = F.filter(F.array(*(F.col(f"__g{i}") for i in range(DEPTH))), lambda s: s.isNotNull()).alias("template")
-    learned = stored(wide.select(F.col("host").alias("__host"), *(F.col(f"__t{i}").alias(f"__k{i}") for i in range(DEPTH)), shape), "templates")
-    same = tree["host"] == learned["__host"]
-    for i in range(DEPTH):
-        same = same & tree[f"__t{i}"].eqNullSafe(learned[f"__k{i}"])
-    out = tree.join(learned, same)
-    deep = F.when(F.size("__s") > DEPTH, F.concat("template", F.array(F.lit("**")))).otherwise(F.col("template"))
-    return out.select(*urls.columns, deep.alias("template"))
+        varies = (F.col("kinds") > BRANCHES) & (F.col("top") <= SHARE * F.col("all"))
+        wide = per_parent.where(F.col("paths") > BRANCHES).select(F.col("host").alias("__h"), F.col("__g").alias("__p"), varies.alias("__varies"))
+        wide = small_side(stored(wide, "wide-parents"), 64 * (i + 2))
+        rows = live.join(wide, (live["host"] == wide["__h"]) & (live["__g"] == wide["__p"]), "left").drop("__h", "__p")
+        going = F.col("__varies").isNotNull() & (F.size("__s") > i)
+        step = F.concat("__g", F.array(F.when(F.col("__varies"), F.lit("*")).otherwise(F.get("__s", F.lit(i)))))
+        rest = F.concat("__g", F.slice("__s", i + 1, F.greatest(F.size("__s"), F.lit(1))))
+        rows = stored(rows.select("host", "__s", "n", going.alias("__going"), F.when(going, step).otherwise(rest).alias("__g")), "path-level")
+        done.append(rows.where(~F.col("__going")))
+        live = rows.where("__going").drop("__going")
+        i += 1
+        if live.isEmpty():
+            break
+    learned = reduce(DataFrame.unionByName, done).select(F.col("host").alias("__host"), F.col("__s").alias("__k"), F.col("__g").alias("template"))
+    out = tree.join(learned, (tree["host"] == learned["__host"]) & (tree["__s"] == learned["__k"]))
+    return out.select(*urls.columns, "template")
 
 
 def _smooth(blocked: Column, labelled: Column, prior: Column) -> Column:
@@ -106,26 +105,27 @@ def purities(found: DataFrame) -> DataFrame:
     leaf = stored(leaf, "template-counts")
     total = leaf.agg(F.sum("blocked").alias("b"), F.sum("labelled").alias("l")).first()
     overall = (total["b"] or 0) / total["l"] if total["l"] else 0.0
-    shape = F.transform("template", lambda s: F.when(s.isin("*", "**"), s).otherwise(s))
-    by_path = leaf.groupBy(shape.alias("template")).agg(F.sum("blocked").alias("pb"), F.sum("labelled").alias("pl"))
+    by_path = leaf.groupBy("template").agg(F.sum("blocked").alias("pb"), F.sum("labelled").alias("pl"))
     by_host = leaf.groupBy("host").agg(F.sum("blocked").alias("hb"), F.sum("labelled").alias("hl"))
     path_p = _smooth(F.col("pb"), F.col("pl"), F.lit(overall))
     host_p = F.when(F.col("hl") > 0, _smooth(F.col("hb"), F.col("hl"), path_p)).otherwise(path_p)
     rated = leaf.join(by_path, "template").join(by_host, "host")
     rated = rated.withColumn("prior", host_p).withColumn("purity", _smooth(F.col("blocked"), F.col("labelled"), F.col("prior")))
-    # Siblings: templates alike but for their last fixed segment; each is held against all of its siblings together.
-    at = F.aggregate(F.transform("template", lambda s, i: F.when(s.isin("*", "**"), F.lit(-1)).otherwise(i)), F.lit(-1), lambda a, i: F.greatest(a, i))
-    rated = stored(rated.withColumn("at", at), "rated")
-    general = F.transform("template", lambda s, i: F.when(i == F.col("at"), F.lit("*")).otherwise(s))
-    rated = rated.withColumn("general", general)
-    family = rated.groupBy("host", "general").agg(
+    # Siblings: templates alike but for one fixed segment; at each place a template is held against all of its siblings together.
+    rated = stored(rated.select("host", "template", "blocked", "labelled", "prior", "purity"), "rated")
+    places = rated.select("*", F.posexplode("template").alias("at", "segment")).where("segment != '*'").drop("segment")
+    places = places.withColumn("general", F.transform("template", lambda s, i: F.when(i == F.col("at"), F.lit("*")).otherwise(s)))
+    place = ["host", "at", "general"]
+    family = places.groupBy(*place).agg(
         F.count("*").alias("kin"), F.sum("blocked").alias("fb"), F.sum("labelled").alias("fl"), F.avg("prior").alias("fp")
     )
-    joined = rated.join(family, ["host", "general"])
     kin_p = _smooth(F.col("fb"), F.col("fl"), F.col("fp"))
     error = F.sqrt(kin_p * (1 - kin_p) * (1 / (F.col("labelled") + PRIOR) + 1 / (F.col("fl") + PRIOR)))
-    alike = (F.col("kin") > 1) & (F.col("at") >= 0) & (F.abs(F.col("purity") - kin_p) <= MERGE_Z * error)
-    joined = joined.withColumn("merged", F.when(alike, F.col("general")).otherwise(F.col("template")))
+    alike = places.join(family.where("kin > 1"), place).where(F.abs(F.col("purity") - kin_p) <= MERGE_Z * error)
+    alike = stored(alike.select(*place, "template"), "alike")
+    allies = alike.groupBy(*place).agg(F.count("*").alias("allies")).where("allies > 1")
+    pick = alike.join(allies, place).groupBy("host", "template").agg(F.max_by("general", F.struct("allies", "at")).alias("general"))
+    joined = rated.join(pick, ["host", "template"], "left").withColumn("merged", F.coalesce("general", "template"))
     group = joined.groupBy("host", "merged").agg(
         F.sum("blocked").alias("mb"), F.sum("labelled").alias("ml"), F.max("prior").alias("mp")
     )

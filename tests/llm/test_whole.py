@@ -4,7 +4,7 @@ import pytest
 
 pytest.importorskip("public_tokenizers")
 
-from kmerloom.llm import langid, licenses  # noqa: E402
+from kmerloom.llm import langid, licenses, urls  # noqa: E402
 
 
 def test_license_rows_with_equal_or_null_ids(spark):
@@ -45,3 +45,32 @@ def test_language_with_odd_lengths_or_copies(spark):
     model = langid.fit(spark.createDataFrame(rows, "text string, lang string"))
     assert model.langs == sorted(letters)
     assert model.predict([text(lang, 40) for lang in model.langs])[0] == model.langs
+
+
+def test_url_templates_below_the_fourth_segment(spark):
+    rows, labels = [], []
+    for i in range(30):
+        for kind in ("spam", "news"):
+            rows.append((len(rows), f"http://h.test/2024/05/01/en/{kind}/{'abcdefghijklmnopqrstuvwxyz'[i % 26]}{'xy'[i // 26]}"))
+            if i < 20:
+                labels.append((rows[-1][0], int(kind == "spam")))
+    deep = "/".join("abcdefgh")
+    rows += [(1000 + i, f"http://h.test/{deep}/k{'abcdefghijklmnopqrstuvwxyz'[i % 26]}{'xy'[i // 26]}/end") for i in range(40)]
+    pages = spark.createDataFrame(rows, "page_id long, url string")
+    got = {r.page_id: r for r in urls.judge_urls(pages, spark.createDataFrame(labels, "page_id long, label int"), rules=()).collect()}
+    assert len(got) == len(rows)
+    assert {(got[p].template, got[p].verdict) for p, u in rows if "/spam/" in u} == {("/*/*/*/en/spam/*", "block")}
+    assert {(got[p].template, got[p].verdict) for p, u in rows if "/news/" in u} == {("/*/*/*/en/news/*", "allow")}
+    assert {got[p].template for p, _ in rows if p >= 1000} == {f"/{deep}/*/end"}
+
+
+def test_url_templates_merge_at_any_segment(spark):
+    rows, labels = [], []
+    for lang in ("en", "de"):
+        for leaf, label in (("list", 1), ("view", 0)):
+            for i in range(12):
+                rows.append((len(rows), f"http://m.test/{lang}/{leaf}?n={i}"))
+                labels.append((len(rows) - 1, label))
+    pages = spark.createDataFrame(rows, "page_id long, url string")
+    got = urls.judge_urls(pages, spark.createDataFrame(labels, "page_id long, label int"), rules=()).collect()
+    assert {(r.path, r.template, r.verdict) for r in got} == {(f"/{g}/{leaf}", f"/*/{leaf}", v) for g in ("en", "de") for leaf, v in (("list", "block"), ("view", "allow"))}
