@@ -11,7 +11,8 @@ Within a queue, documents stand in the order of the stored table.  Cuts are free
 All windows but the last are full.
 Null text: no ids but the end id.  Null source: a queue of its own.  Repeated rows: packed each.  No rows: no pieces.
 Shares default to the queues' tokens, so that all run dry together; targets for some queues may be given.
-Beyond MAX_QUEUES distinct sources, sources share queues by hash, so what each task holds stays bounded.
+Every source is a queue of its own.  Beyond MAX_QUEUES of them no task holds all: tokens, as (queue, number) rows, are sorted by due time
+in ranges, their ranks give each window's runs of each queue, and these are joined with the documents by stretches of the queue.
 """
 
 from __future__ import annotations
@@ -26,7 +27,7 @@ from pyspark.sql import functions as F
 
 from .common import column, map_arrow, slices, small_side, stored
 
-#: Most queues; each task holds a share and a total for each.
+#: Most queues of which each task holds a share and a total; with more, windows come from a distributed sort.
 MAX_QUEUES = 1024
 
 
@@ -68,12 +69,10 @@ class DeficitRoundRobin:
         return -(-self.all // self.size)
 
 
-def encode_documents(docs: DataFrame, tokenizer: str, end_id: int, max_queues: int = MAX_QUEUES) -> DataFrame:
+def encode_documents(docs: DataFrame, tokenizer: str, end_id: int) -> DataFrame:
     """Stored table: part, queue, doc_id, ids (little-endian, `width` bytes each), n_tokens, before (tokens of the queue
     ahead in this part)."""
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.col("source").cast("string").alias("source"))
-    if docs.select("source").distinct().limit(max_queues + 1).count() > max_queues:
-        rows = rows.withColumn("source", F.pmod(F.xxhash64("source"), F.lit(max_queues)).cast("string"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
@@ -188,25 +187,97 @@ def _cut(queues: list, totals: list[int], shares: list[float], size: int):
     return run
 
 
+#: Tokens of a queue to a row while queues are spread out, and to a stretch by which documents meet runs.
+BLOCK = 4096
+
+
+def _queue_runs(totals: DataFrame, targets: dict | None, size: int) -> DataFrame:
+    """totals(queue, n) -> stored runs(queue, window, start, count, offset): the tokens of each queue in each window, by their due times."""
+    spark = totals.sparkSession
+    every = totals.agg(F.sum("n").alias("n")).first()["n"]
+    given = spark.createDataFrame([(q, float(x)) for q, x in (targets or {}).items()], "q string, share double")
+    shares = totals.join(F.broadcast(given), F.col("queue").eqNullSafe(F.col("q")), "left")
+    shares = stored(shares.select("queue", "n", F.coalesce("share", F.col("n") / F.lit(float(every))).alias("share")), "pack-shares")
+    p = F.col("share") / F.lit(shares.agg(F.sum("share").alias("s")).first()["s"])
+    blocks = shares.select("queue", "n", p.alias("p"), F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("n") - 1) / BLOCK))).alias("b"))
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-every // 4_000_000))
+    blocks = blocks.repartition(parts)
+    tokens = F.sequence(F.col("b") * BLOCK, F.least(F.col("n"), (F.col("b") + 1) * BLOCK) - 1)
+    tokens = blocks.select("queue", "p", F.explode(tokens).alias("t")).select("queue", "t", ((F.col("t") + 0.5) / F.col("p")).alias("due"))
+    order = ["due", F.asc_nulls_first("queue"), "t"]
+    tokens = tokens.repartitionByRange(parts, *order).sortWithinPartitions(*order)
+    # The id's upper bits are the range, its lower 33 the place in it.
+    tokens = stored(tokens.select("queue", "t", F.monotonically_increasing_id().alias("id")), "pack-order")
+    part, place = F.shiftright("id", 33), F.col("id").bitwiseAND(F.lit((1 << 33) - 1))
+    ahead, starts = 0, []
+    for r in sorted(tokens.groupBy(part.alias("part")).agg(F.count("*").alias("n")).collect()):  # one row for each range
+        starts.append((r["part"], ahead))
+        ahead += r["n"]
+    starts = F.broadcast(spark.createDataFrame(starts, "part long, ahead long"))
+    ranked = tokens.withColumn("part", part).join(starts, "part").select("queue", "t", F.floor((place + F.col("ahead")) / size).alias("window"))
+    runs = ranked.groupBy("window", "queue").agg(F.min("t").alias("start"), F.count("*").alias("count"))
+    before = Window.partitionBy("window").orderBy(F.asc_nulls_first("queue")).rowsBetween(Window.unboundedPreceding, -1)
+    return stored(runs.withColumn("offset", F.coalesce(F.sum("count").over(before), F.lit(0).cast("long"))), "pack-runs")
+
+
+def _cut_many(placed: DataFrame, totals: DataFrame, targets: dict | None, size: int) -> DataFrame:
+    """What _cut() gives, for any number of queues.  A document is known by its queue and first token, as each has a token."""
+    runs = _queue_runs(totals, targets, size)
+    stretches = lambda at, n: F.explode(F.sequence(F.floor(at / BLOCK), F.floor((at + n - 1) / BLOCK))).alias
+    docs = placed.select("queue", "first", "n_tokens", stretches(F.col("first"), F.col("n_tokens"))("b"))
+    runs = runs.select(F.col("queue").alias("q"), "window", "start", "count", "offset", stretches(F.col("start"), F.col("count"))("rb"))
+    begin, end = F.greatest("first", "start"), F.least(F.col("first") + F.col("n_tokens"), F.col("start") + F.col("count"))
+    # Both meet in each stretch that they share; the one where their common part begins counts.
+    met = docs.join(runs, docs["queue"].eqNullSafe(runs["q"]) & (docs["b"] == runs["rb"])).where((begin < end) & (F.col("b") == F.floor(begin / BLOCK)))
+    piece = F.struct((begin - F.col("first")).alias("at"), (end - begin).alias("length"), "window", (F.col("offset") + begin - F.col("start")).alias("offset"))
+    cuts = met.groupBy(F.col("queue").alias("q"), F.col("first").alias("f")).agg(F.collect_list(piece).alias("cuts"))
+    whole = placed.join(cuts, placed["queue"].eqNullSafe(cuts["q"]) & (placed["first"] == cuts["f"])).drop("q", "f")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for big in batches:
+            for batch in slices(iter([big]), "ids"):
+                out = []
+                for source, doc, raw, width, n, cuts in zip(
+                    *(column(batch, c).to_pylist() for c in ("queue", "doc_id", "ids", "width", "n_tokens", "cuts")), strict=True
+                ):
+                    ids = np.frombuffer(raw, dtype=f"<u{width}").astype("<u4")
+                    out += [
+                        (doc, source, c["at"], c["length"], zlib.crc32(ids[c["at"] : c["at"] + c["length"]]), n, c["window"], c["offset"])
+                        for c in cuts
+                    ]
+                kinds = [pa.int64(), pa.string(), *[pa.int64()] * 6]
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(v, kind) for v, kind in zip(zip(*out, strict=True), kinds, strict=True)],
+                    names=["doc_id", "source", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"],
+                )
+
+    return map_arrow(whole, run, PIECES)
+
+
+PIECES = "doc_id long, source string, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
+
+
 def pack_documents(docs: DataFrame, tokenizer: str, end_id: int = 1, size: int = 2048, targets: dict | None = None) -> DataFrame:
     """Pieces of documents in windows of `size` tokens: doc_id, source, start, length, ids_crc32, doc_tokens,
     sequence_id, offset.  targets: shares by source (any positive numbers); sources without one share by their tokens."""
     spark = docs.sparkSession
     ids = encode_documents(docs, tokenizer, end_id)
     parts = ids.groupBy("part", "queue").agg(F.sum("n_tokens").alias("n"))
-    parts = stored(parts, "pack-parts")
-    # Bounded by MAX_QUEUES rows.
-    found = sorted(parts.groupBy("queue").agg(F.sum("n").alias("n")).collect(), key=lambda r: (r["queue"] is not None, r["queue"]))
-    queues, totals = [r["queue"] for r in found], [r["n"] for r in found]
-    shares = [float((targets or {}).get(q, n / max(1, sum(totals)))) for q, n in zip(queues, totals, strict=True)]
+    parts = parts_n = stored(parts, "pack-parts")
     ahead = Window.partitionBy("queue").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     parts = parts.select("part", "queue", F.coalesce(F.sum("n").over(ahead), F.lit(0).cast("long")).alias("ahead"))
     parts = small_side(stored(parts, "pack-starts"), 64)
     placed = ids.join(parts, (ids["part"] == parts["part"]) & ids["queue"].eqNullSafe(parts["queue"]), "inner").select(
         ids["queue"], "doc_id", "ids", "width", "n_tokens", (F.col("before") + F.col("ahead")).alias("first")
     )
-    schema = "doc_id long, source string, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
-    return map_arrow(placed, _cut(queues, totals, shares, size), schema) if queues else spark.createDataFrame([], schema)
+    totals = stored(parts_n.groupBy("queue").agg(F.sum("n").alias("n")), "pack-queues")
+    if totals.count() > MAX_QUEUES:
+        return _cut_many(placed, totals, targets, size)
+    # Bounded by MAX_QUEUES rows.
+    found = sorted(totals.collect(), key=lambda r: (r["queue"] is not None, r["queue"]))
+    queues, sums = [r["queue"] for r in found], [r["n"] for r in found]
+    shares = [float((targets or {}).get(q, n / max(1, sum(sums)))) for q, n in zip(queues, sums, strict=True)]
+    return map_arrow(placed, _cut(queues, sums, shares, size), PIECES) if queues else spark.createDataFrame([], PIECES)
 
 
 def op4_mixture_packing(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -4,7 +4,7 @@ import pytest
 
 pytest.importorskip("public_tokenizers")
 
-from kmerloom.llm import langid, licenses, urls  # noqa: E402
+from kmerloom.llm import langid, licenses, packing, urls  # noqa: E402
 
 
 def test_license_rows_with_equal_or_null_ids(spark):
@@ -74,3 +74,24 @@ def test_url_templates_merge_at_any_segment(spark):
     pages = spark.createDataFrame(rows, "page_id long, url string")
     got = urls.judge_urls(pages, spark.createDataFrame(labels, "page_id long, label int"), rules=()).collect()
     assert {(r.path, r.template, r.verdict) for r in got} == {(f"/{g}/{leaf}", f"/*/{leaf}", v) for g in ("en", "de") for leaf, v in (("list", "block"), ("view", "allow"))}
+
+
+def test_packing_keeps_every_source_a_queue(spark, monkeypatch):
+    import public_tokenizers
+    from test_tokens import check_pieces
+
+    tok = public_tokenizers.path("byte_bpe_50k.json")
+    rows = [(i, "w x y z " * (1 + i * 7 % 40), f"host{i % 13}" if i % 14 else None) for i in range(90)] + [(90, "long text " * 6000, "host3"), (91, None, "host4")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(5, "doc_id")
+    docs = docs.localCheckpoint()
+    targets = {"host1": 0.5, "host2": 0.2, None: 0.1}
+    key = lambda ps: sorted(map(str, ps))
+    for given in (None, targets):
+        want = packing.pack_documents(docs, tok, size=64, targets=given).collect()
+        with monkeypatch.context() as m:
+            m.setattr(packing, "MAX_QUEUES", 4)
+            m.setattr(packing, "BLOCK", 128)
+            got = packing.pack_documents(docs, tok, size=64, targets=given).collect()
+        check_pieces(docs.collect(), got, 64)
+        assert {(p.doc_id, p.source) for p in got} == {(d, s) for d, _, s in rows}
+        assert key(got) == key(want)
