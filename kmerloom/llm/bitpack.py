@@ -113,12 +113,11 @@ def _write_files(path: str, tokenizer: str, end_id: int):
 
         enc = encoder(tokenizer)
         width = bit_width(max(enc.vocab, end_id + 1))
-        end = np.asarray([end_id], dtype="<u4").tobytes()
         store, root = fs.FileSystem.from_uri(path)
         part, seq = TaskContext.get().partitionId(), 0
         docs: list[int | None] = []
         counts: list[int] = []
-        raw: list[bytes] = []
+        raw: list[np.ndarray] = []
         total = 0
 
         def flush() -> pa.RecordBatch:
@@ -126,19 +125,22 @@ def _write_files(path: str, tokenizer: str, end_id: int):
             name = f"part-{part:07d}-{seq:05d}.tok"
             temp = f"{root}/_{name}-{uuid.uuid4().hex}"
             with store.open_output_stream(temp) as out:
-                out.write(file_bytes(docs, counts, np.frombuffer(b"".join(raw), dtype="<u4"), width))
+                out.write(file_bytes(docs, counts, np.concatenate(raw), width))
             store.move(temp, f"{root}/{name}")
             row = pa.RecordBatch.from_pydict({"file": [name], "docs": [len(docs)], "ids": [total]})
             docs, counts, raw, total, seq = [], [], [], 0, seq + 1
             return row
 
         for batch in slices(batches, "text"):
-            for doc, text in zip(column(batch, "doc_id").to_pylist(), column(batch, "text").to_pylist(), strict=True):
-                got = enc.encode(text or "") + end
-                docs.append(doc)
-                counts.append(len(got) // 4)
-                raw.append(got)
-                total += len(got) // 4
+            ids, sizes = enc.encode_closed(column(batch, "text"), end_id)
+            doc, ends, at = column(batch, "doc_id").to_pylist(), np.cumsum(sizes), 0
+            while at < len(doc):  # as many documents as fill the file
+                before = int(ends[at - 1]) if at else 0
+                to = min(len(doc), int(np.searchsorted(ends, before + FILE_IDS - total)) + 1)
+                docs += doc[at:to]
+                counts += sizes[at:to].tolist()
+                raw.append(ids[before : ends[to - 1]])
+                total, at = total + int(ends[to - 1]) - before, to
                 if total >= FILE_IDS:
                     yield flush()
         if docs:

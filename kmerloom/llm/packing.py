@@ -29,6 +29,11 @@ from .common import column, map_arrow, slices, small_side, stored
 
 #: Most queues of which each task holds a share and a total; with more, windows come from a distributed sort.
 MAX_QUEUES = 1024
+#: Windows of a block, whose states are worked out at once for all queues; bytes of blocks that a task keeps.
+WINDOWS = 256
+KEEP_BYTES = 32 << 20
+#: Tokens between two documents of a batch beyond which the windows between them are not looked at.
+GAP = 1 << 14
 
 
 class DeficitRoundRobin:
@@ -49,7 +54,7 @@ class DeficitRoundRobin:
     def sent(self, windows: np.ndarray) -> np.ndarray:
         """Tokens that each queue has sent before each window: windows x queues, rows summing to window * size."""
         want = np.minimum(np.asarray(windows, dtype=np.int64) * self.size, self.all)
-        lo, hi = np.zeros(len(want)), np.full(len(want), self.end)
+        lo, hi = np.zeros(len(want)), np.where(want > 0, self.end, 0.0)
         while True:  # lo: fewer than wanted are due; hi: enough are
             mid = (lo + hi) / 2
             open_ = (mid > lo) & (mid < hi)
@@ -68,6 +73,37 @@ class DeficitRoundRobin:
     def windows(self) -> int:
         return -(-self.all // self.size)
 
+    def window_of(self, queues: np.ndarray, tokens: np.ndarray) -> np.ndarray:
+        """The window that holds each token of a queue: near its rank by due time, found by bisection."""
+        last = self.windows()
+        near = self._due((tokens + 0.5) / self.p[queues]).sum(1) // self.size
+        lo, hi = np.clip(near - 2, 0, last - 1), np.clip(near + 3, 1, last)
+        at = lambda w: self.sent(w)[np.arange(len(w)), queues]
+        lo, hi = np.where(at(lo) <= tokens, lo, 0), np.where(at(hi) > tokens, hi, last)
+        while (hi - lo > 1).any():
+            mid = (lo + hi) // 2
+            below = at(mid) <= tokens
+            lo, hi = np.where(below, mid, lo), np.where(below, hi, mid)
+        return lo
+
+
+class Schedule:
+    """Blocks of windows' states, of which a bounded number of bytes is kept."""
+
+    def __init__(self, drr: DeficitRoundRobin):
+        self.drr, self.known = drr, {}
+        self.most = max(2, KEEP_BYTES // ((WINDOWS + 1) * len(drr.totals) * 16))
+
+    def block(self, b: int) -> tuple[np.ndarray, np.ndarray]:
+        """Tokens sent by each queue before windows b * WINDOWS and on, and what earlier queues put into each window."""
+        if b not in self.known:
+            if len(self.known) >= self.most:
+                self.known.clear()
+            sent = self.drr.sent(np.arange(b * WINDOWS, (b + 1) * WINDOWS + 1))
+            part = np.diff(sent, axis=0)
+            self.known[b] = sent, np.cumsum(part, 1) - part
+        return self.known[b]
+
 
 def encode_documents(docs: DataFrame, tokenizer: str, end_id: int) -> DataFrame:
     """Stored table: part, queue, doc_id, ids (little-endian, `width` bytes each), n_tokens, before (tokens of the queue
@@ -81,24 +117,23 @@ def encode_documents(docs: DataFrame, tokenizer: str, end_id: int) -> DataFrame:
 
         enc = encoder(tokenizer)
         kind = "<u2" if max(enc.vocab, end_id + 1) <= 1 << 16 else "<u4"
-        end = np.asarray([end_id], dtype="<u4").tobytes()
         part, ahead = TaskContext.get().partitionId(), {}
         for batch in slices(batches, "text"):
             sources = column(batch, "source").to_pylist()
-            ids, counts, before = [], [], []
-            for source, text in zip(sources, column(batch, "text").to_pylist(), strict=True):
-                got = np.frombuffer(enc.encode(text or "") + end, dtype="<u4")
-                ids.append(got.astype(kind).tobytes())
-                counts.append(len(got))
+            ids, counts = enc.encode_closed(column(batch, "text"), end_id)
+            ids = np.ascontiguousarray(ids.astype(kind))
+            ends = np.concatenate([[0], np.cumsum(counts) * ids.itemsize]).astype(np.int32)
+            before = []
+            for source, n in zip(sources, counts.tolist(), strict=True):
                 before.append(ahead.get(source, 0))
-                ahead[source] = before[-1] + len(got)
+                ahead[source] = before[-1] + n
             yield pa.RecordBatch.from_arrays(
                 [
-                    pa.array([part] * len(ids), pa.int32()),
+                    pa.array([part] * len(counts), pa.int32()),
                     pa.array(sources, pa.string()),
                     column(batch, "doc_id"),
-                    pa.array(ids, pa.binary()),
-                    pa.array([int(kind[2])] * len(ids), pa.int32()),
+                    pa.BinaryArray.from_buffers(pa.binary(), len(counts), [None, pa.py_buffer(ends), pa.py_buffer(ids)]),
+                    pa.array([ids.itemsize] * len(counts), pa.int32()),
                     pa.array(counts, pa.int64()),
                     pa.array(before, pa.int64()),
                 ],
@@ -114,79 +149,55 @@ def _cut(queues: list, totals: list[int], shares: list[float], size: int):
     index = {q: i for i, q in enumerate(queues)}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        drr = DeficitRoundRobin(totals, shares, size)
-        known: dict[int, np.ndarray] = {}
-
-        def sent(first: int, last: int) -> None:
-            """Fill `known` for windows first..last; it is emptied when it grows large."""
-            if len(known) > 65536:
-                known.clear()
-            need = [w for w in range(first, last + 1) if w not in known]
-            for at in range(0, len(need), 4096):
-                some = np.asarray(need[at : at + 4096])
-                for w, row in zip(some.tolist(), drr.sent(some), strict=True):
-                    known[w] = row
-
-        last_window = drr.windows()
-        spot: dict[int, int] = {}  # a window near which each queue stood last
-
-        def find(q: int, token: int) -> int:
-            """The window that holds a queue's token."""
-            lo, hi = 0, last_window
-            at = spot.get(q)
-            if at is not None:  # gallop from where this queue stood
-                step = 64
-                sent(at, min(at + step, last_window))
-                if known[at][q] <= token:
-                    while at + step < last_window and known_row(at + step)[q] <= token:
-                        at, step = at + step, step * 4
-                    lo, hi = at, min(at + step, last_window)
-            while hi - lo > 1:
-                mid = (lo + hi) // 2
-                if known_row(mid)[q] <= token:
-                    lo = mid
-                else:
-                    hi = mid
-            spot[q] = lo
-            return lo
-
-        def known_row(w: int) -> np.ndarray:
-            if w not in known:
-                sent(w, min(w + 63, last_window))
-            return known[w]
-
-        for batch in batches:
-            out: dict[str, list] = {k: [] for k in ("doc_id", "source", "start", "length", "crc", "doc_tokens", "seq", "offset")}
-            for source, doc, raw, width, n, first in zip(
-                *(column(batch, c).to_pylist() for c in ("queue", "doc_id", "ids", "width", "n_tokens", "first")), strict=True
-            ):
-                q, ids, at = index[source], np.frombuffer(raw, dtype=f"<u{width}").astype("<u4"), 0
-                w = find(q, first)
-                while at < n:
-                    now, then = known_row(w), known_row(w + 1)
-                    take = min(n - at, int(then[q]) - first - at)
-                    if take > 0:
-                        out["doc_id"].append(doc)
-                        out["source"].append(source)
-                        out["start"].append(at)
-                        out["length"].append(take)
-                        out["crc"].append(zlib.crc32(ids[at : at + take]))
-                        out["doc_tokens"].append(n)
-                        out["seq"].append(w)
-                        out["offset"].append(int((then[:q] - now[:q]).sum()) + first + at - int(now[q]))
-                        at += take
-                    if at < n:
-                        w += 1
-                spot[q] = w
-            kinds = {"doc_id": pa.int64(), "source": pa.string()}
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(v, kinds.get(k, pa.int64())) for k, v in out.items()],
-                names=["doc_id", "source", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"],
-            )
+        plan = Schedule(DeficitRoundRobin(totals, shares, size))
+        for big in batches:
+            for batch in slices(iter([big]), "ids"):
+                yield _pieces(batch, plan, index)
 
     return run
 
 
+def _pieces(batch: pa.RecordBatch, plan: Schedule, index: dict) -> pa.RecordBatch:
+    """Pieces of a batch of placed documents: where the windows' bounds of its queue cut each."""
+    queue = np.asarray([index[s] for s in column(batch, "queue").to_pylist()], dtype=np.int64)
+    n, first = (column(batch, c).to_numpy(zero_copy_only=False).astype(np.int64) for c in ("n_tokens", "first"))
+    order = np.lexsort((first, queue))
+    q, starts, stops = queue[order], first[order], (first + n)[order]
+    # Documents of a queue mostly follow each other here; a gap begins another run of windows.
+    new = np.flatnonzero((np.diff(q) != 0) | (starts[1:] - stops[:-1] > GAP)) + 1
+    runs = np.concatenate([[0], new, [len(q)]])
+    lo, hi = plan.drr.window_of(q[runs[:-1]], starts[runs[:-1]]), plan.drr.window_of(q[runs[1:] - 1], stops[runs[1:] - 1] - 1)
+    found = []
+    for i in range(len(lo)):
+        mine, own = slice(runs[i], runs[i + 1]), order[runs[i] : runs[i + 1]]
+        for b in range(int(lo[i]) // WINDOWS, int(hi[i]) // WINDOWS + 1):
+            sent, ahead = (x[:, q[runs[i]]] for x in plan.block(b))
+            s, e = starts[mine], stops[mine]
+            f = np.maximum(np.searchsorted(sent, s, "right") - 1, 0)
+            z = np.minimum(np.searchsorted(sent, e, "left"), WINDOWS)
+            many = np.maximum(z - f, 0)
+            k = np.repeat(np.arange(len(own)), many)
+            v = f[k] + np.arange(len(k)) - np.repeat(np.cumsum(many) - many, many)
+            begin, end = np.maximum(s[k], sent[v]), np.minimum(e[k], sent[v + 1])
+            ok = begin < end
+            k, v, begin, end = k[ok], v[ok], begin[ok], end[ok]
+            found.append((own[k], begin - s[k], end - begin, b * WINDOWS + v, ahead[v] + begin - sent[v]))
+    row, start, length, window, offset = (np.concatenate(x) for x in zip(*found, strict=True))
+    ids = column(batch, "ids").cast(pa.large_binary())
+    ends = np.frombuffer(ids.buffers()[1], dtype=np.int64)[ids.offset : ids.offset + len(ids)]
+    data, width = ids.buffers()[2], column(batch, "width")[0].as_py()
+    whole = np.frombuffer(data, dtype=f"<u{width}", offset=int(ends[0]) % width, count=(len(data) - int(ends[0]) % width) // width)
+    low = (ends[row] - int(ends[0]) % width) // width + start
+    crc = zlib.crc32
+    crcs = [crc(whole[a : a + m].astype("<u4")) for a, m in zip(low.tolist(), length.tolist(), strict=True)]
+    rows = pa.array(row)
+    return pa.RecordBatch.from_arrays(
+        [column(batch, "doc_id").take(rows), column(batch, "queue").take(rows), *(pa.array(x) for x in (start, length)), pa.array(crcs, pa.int64()),
+         *(pa.array(x) for x in (n[row], window, offset))],
+        names=["doc_id", "source", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"],
+    )
+
+
 #: Tokens of a queue to a row while queues are spread out, and to a stretch by which documents meet runs.
 BLOCK = 4096
 
