@@ -106,7 +106,7 @@ def thresholds(rated: DataFrame) -> DataFrame:
     group = rated.where("n_words > 0").groupBy("lang", "source").agg(F.count("*").alias("n"), *sketch)
     group = stored(group, "sketches")
     by_lang = group.groupBy("lang").agg(F.sum("n").alias("n"), *merge)
-    over_all = group.agg(F.sum("n").alias("n"), *merge)
+    over_all = group.agg(F.sum("n").alias("n"), *merge).where("n > 0")  # an empty sketch has no quantiles
     g = group.select("lang", "source", F.col("n").alias("g_n"), *_fences(group, "g"))
     ln = by_lang.select(F.col("lang").alias("l_lang"), F.col("n").alias("l_n"), *_fences(by_lang, "l"))
     a = over_all.select(F.lit(1).alias("one"), *_fences(over_all, "a"))
