@@ -8,7 +8,7 @@ import uuid
 from collections.abc import Callable, Iterable, Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: bytes.translate table that lower-cases A-Z and leaves every other byte.
@@ -21,19 +21,21 @@ LOWER_ALNUM = bytes(
 BLANK = "[\\x20\\x09-\\x0D]"
 #: A side of at most this many bytes may be broadcast; larger sides take the shuffle path.
 BROADCAST_BYTES = 32 << 20
-#: Rows of an Arrow batch; Python workers idle between tasks, so what they hold counts for long.
-ROWS_PER_BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
+#: A key with more than this share of a table's rows, and more than so many, is joined by broadcast.
+HOT_SHARE, HOT_ROWS = 0.001, 4096
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share; a temporary one where the session names none (tests)."""
-    path = spark.conf.get("spark.checkpoint.dir", None)
+    """The folder that the driver and all executors share, as the session names it.
+
+    Where it names none, a local session gets one of its own; on a cluster there is no safe place then.
+    """
+    path = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not path:
-        current = spark.sparkContext.getCheckpointDir()
-        path = current or tempfile.mkdtemp(prefix="spark-", dir="/tmp")
-        if not current:
-            spark.sparkContext.setCheckpointDir(path)
-    elif spark.sparkContext.getCheckpointDir() is None:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        path = tempfile.mkdtemp(prefix="spark-")
+    if spark.sparkContext.getCheckpointDir() is None:
         spark.sparkContext.setCheckpointDir(path)
     return path.rstrip("/")
 
@@ -45,15 +47,46 @@ def stored(df: DataFrame, label: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def small_side(df: DataFrame, row_bytes: int, limit: int = BROADCAST_BYTES) -> DataFrame:
-    """df (already stored) with a broadcast hint if its counted size stays within the limit, else as it is."""
-    return F.broadcast(df) if df.count() * row_bytes <= limit else df
+def small_side(df: DataFrame, row_bytes: int | Column, limit: int = BROADCAST_BYTES) -> DataFrame:
+    """df (already stored) with a broadcast hint if its size stays within the limit, else as it is.
+
+    row_bytes: a bound of a row's size, or a column that gives each row's.
+    """
+    if isinstance(row_bytes, Column):
+        size = df.agg(F.coalesce(F.sum(row_bytes), F.lit(0))).first()[0]
+    else:
+        size = df.count() * row_bytes
+    return F.broadcast(df) if size <= limit else df
+
+
+def join_counted(rows: DataFrame, side: DataFrame, keys: list[str], n: str, total: int) -> DataFrame:
+    """rows inner join side, one row per key with the number n of its rows, where few keys may hold most of the rows.
+
+    Keys of more than a HOT_SHARE of all rows are at most 1 / HOT_SHARE, so they are broadcast and their rows stay where
+    they are; the others are joined as usual, and none is large.
+    """
+    bound = max(HOT_ROWS, int(total * HOT_SHARE))
+    hot = side.where(F.col(n) > bound)
+    if hot.isEmpty():
+        return rows.join(side, keys)
+    met = rows.join(F.broadcast(hot), keys)
+    rest = rows.join(F.broadcast(hot.select(*keys)), keys, "left_anti").join(side.where(F.col(n) <= bound), keys)
+    return met.unionByName(rest)
+
+
+def fresh(df: DataFrame, *names: str) -> list[str]:
+    """The names, each with as many `_` behind it as df's columns make necessary."""
+    taken = {c.lower() for c in df.columns}
+    out = []
+    for name in names:
+        while name.lower() in taken:
+            name += "_"
+        out.append(name)
+    return out
 
 
 def map_arrow(df: DataFrame, fn: Callable[[Iterator[pa.RecordBatch]], Iterable[pa.RecordBatch]], schema: str) -> DataFrame:
-    """mapInArrow in batches of few rows, as texts are long; what a task has freed goes back to the system at its end."""
-    if df.sparkSession.conf.get(ROWS_PER_BATCH, "10000") == "10000":
-        df.sparkSession.conf.set(ROWS_PER_BATCH, "2000")
+    """mapInArrow; what a task has freed goes back to the system at its end, as idle Python workers stay."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield from fn(batches)

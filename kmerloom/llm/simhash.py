@@ -25,7 +25,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import LOWER, map_arrow, slices, small_side, stored, texts_of
+from .common import LOWER, fresh, map_arrow, slices, small_side, stored, texts_of
 from .components import components
 
 BITS, SEGMENTS, DISTANCE = 64, 4, 3
@@ -53,22 +53,22 @@ def fingerprint(text: bytes, words: int = 3) -> int:
     return int.from_bytes(np.packbits(counts * 2 > n).tobytes(), "little", signed=True)
 
 
-def _add_fingerprints(text: str):
+def _add_fingerprints(text: str, name: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, text):
             prints = pa.array([fingerprint(t) for t in texts_of(batch, text)], pa.int64())
             at = batch.schema.get_field_index(text)
             keep = [i for i in range(batch.num_columns) if i != at]
-            yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in keep), prints], names=[*(batch.schema.names[i] for i in keep), "__fp"])
+            yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in keep), prints], names=[*(batch.schema.names[i] for i in keep), name])
 
     return run
 
 
-def fingerprints(docs: DataFrame, text: str = "text") -> DataFrame:
-    """Stored table of docs' other columns and __fp."""
+def fingerprints(docs: DataFrame, text: str = "text", name: str = "__fp") -> DataFrame:
+    """Stored table of docs' other columns and the fingerprint; a column of docs with its name must not be there."""
     other = [f for f in docs.schema if f.name != text]
-    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in other), "__fp long"])
-    return stored(map_arrow(docs, _add_fingerprints(text), schema), "fingerprints")
+    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in other), f"`{name}` long"])
+    return stored(map_arrow(docs, _add_fingerprints(text, name), schema), "fingerprints")
 
 
 def _turned(value: Column, i: int) -> Column:
@@ -118,9 +118,10 @@ def near_dedup(docs: DataFrame, id_col: str = "doc_id", text: str = "text") -> D
         lost = prints.select(id_col, "__fp").join(groups, "__fp").where(F.col(id_col) != F.col("component_id")).select(id_col)
         return docs.join(small_side(stored(lost, "near-copies"), 16), id_col, "left_anti").select(*docs.columns)
     # Null or repeated ids: rows carry their fingerprint themselves, and one row of each component is kept.
-    carried = fingerprints(docs.withColumn("__text", F.col(text)), "__text")
-    groups = groups.select("__fp", F.col("root").alias("__root"), F.col("component_id").alias("__component"))
-    kept = carried.join(groups, "__fp").where(F.col(id_col).eqNullSafe(F.col("__component"))).dropDuplicates(["__root"])
+    copy, fp, root, component = fresh(docs, "__text", "__fp", "__root", "__component")
+    carried = fingerprints(docs.withColumn(copy, F.col(text)), copy, fp)
+    groups = groups.select(F.col("__fp").alias(fp), F.col("root").alias(root), F.col("component_id").alias(component))
+    kept = carried.join(groups, fp).where(F.col(id_col).eqNullSafe(F.col(component))).dropDuplicates([root])
     return kept.select(*docs.columns)
 
 

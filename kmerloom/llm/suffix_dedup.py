@@ -11,7 +11,10 @@ same distance in each copy of the window.  So:
 3. Contexts of the same runs meet in a task, in batches of bounded size.  There the suffixes at their anchors are sorted,
    which puts their windows in suffix order; previous and next smaller positions give each window's longest earlier
    match up to `length` (the longest-previous-factor array), and windows that have one, or are one, are marked.
-   Runs with very many classes are split: their windows are counted one by one by a hash, in a distributed aggregate.
+   A run with more than BLOCK_CLASSES classes is first cut into blocks of its suffix order: windows that begin lo to hi bytes
+   before the anchor can only match if the lo bytes before and the length - hi bytes behind it are equal, so contexts are
+   dealt by those; blocks that are still too large are halved in lo..hi.  Where the contexts of a block are equal in all
+   that its windows cover, each window is the longest match of all the others.
 4. Marked windows of a document are joined into spans.
 
 Positions are ordered by (key, byte), so "first" is in the document with the smallest id.  keep="first" removes later copies only, keep="none" every copy.
@@ -30,14 +33,14 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import column, map_arrow, slices, small_side, stored, texts_of
+from .common import column, fresh, join_counted, map_arrow, slices, small_side, stored, texts_of
 
 #: Bytes of text of which anchors are found at once.
 STRETCH = 1 << 20
 #: Context bytes that are sorted at once.
 SORT_BYTES = 1 << 20
-#: Runs with more classes than this are split over tasks.
-SPLIT_CLASSES = 32768
+#: Most contexts that are sorted together; runs with more are cut into blocks.
+BLOCK_CLASSES = 2048
 #: Windows that are put in order at once.
 WINDOWS = 1 << 18
 
@@ -188,11 +191,12 @@ def longest_previous_factor(order: np.ndarray, place: np.ndarray, lcp: np.ndarra
 
 
 def marked_windows(
-    texts: list[bytes], docs: np.ndarray, starts: np.ndarray, at: np.ndarray, runs: np.ndarray, length: int, gram: int
+    texts: list[bytes], docs: np.ndarray, starts: np.ndarray, at: np.ndarray, runs: np.ndarray, length: int, gram: int,
+    least_x: np.ndarray | None = None, most_x: np.ndarray | None = None,
 ) -> tuple[np.ndarray, ...]:
-    """Windows over the anchors of contexts that are repeated in contexts of the same run.
+    """Windows over the anchors of contexts that are repeated in contexts of the same run (or block of a run).
 
-    Context i is a part of document docs[i] from byte starts[i]; its anchor lies at byte at[i] of it.  Returns document,
+    Only windows that begin least_x to most_x bytes before their anchors are looked at, where these are given.  Context i is a part of document docs[i] from byte starts[i]; its anchor lies at byte at[i] of it.  Returns document,
     byte, has an earlier match, in the order of document and byte.
 
     The suffixes at the anchors are sorted (a sparse suffix array), and so are the texts before them, read backwards.
@@ -226,6 +230,8 @@ def marked_windows(
     # No window can match that needs more on a side than the nearest neighbour there has in common.
     first = np.maximum(length - near(lcp_r, rank_r), 0)
     last = np.minimum(np.minimum(near(lcp_l, rank_l), reach), at)
+    if least_x is not None:
+        first, last = np.maximum(first, least_x), np.minimum(last, most_x)
     least, where = RangeMin(lcp_r), (np.unique(docs, return_inverse=True)[1] << 40) + starts + at
     per_x = np.bincount(first[first <= last], minlength=reach + 2) - np.bincount(last[first <= last] + 1, minlength=reach + 2)
     due, found = np.cumsum(np.cumsum(per_x)), []
@@ -273,40 +279,36 @@ def spans_of(doc: np.ndarray, byte: np.ndarray, length: int) -> tuple[np.ndarray
 
 
 def _sort_contexts(length: int, gram: int, later_only: bool):
+    names = ("block", "key", "start", "at", "lo", "hi", "context_text")
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        texts: list[bytes] = []
-        docs: list[int] = []
-        starts: list[int] = []
-        places: list[int] = []
-        runs: list[int] = []
+        rows: list[tuple] = []
         size = 0
 
         def flush() -> pa.RecordBatch:
-            nonlocal texts, docs, starts, places, runs, size
-            doc, byte, later = marked_windows(texts, *map(np.asarray, (docs, starts, places, runs)), length, gram)
+            nonlocal rows, size
+            *numbers, texts = zip(*rows, strict=True)
+            blocks, docs, starts, at, lo, hi = (np.asarray(x) for x in numbers)
+            doc, byte, later = marked_windows(list(texts), docs, starts, at, blocks, length, gram, lo, hi)
             if later_only:
                 doc, byte = doc[later], byte[later]
-            texts, docs, starts, places, runs, size = [], [], [], [], [], 0
+            rows, size = [], 0
             return pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in spans_of(doc, byte, length)], names=["key", "s", "e"])
 
         for batch in batches:
-            for run_, doc, start, place, text in zip(*(column(batch, c).to_pylist() for c in ("run", "key", "start", "at", "context_text")), strict=True):
-                if size >= SORT_BYTES and runs[-1] != run_:
+            for row in zip(*(column(batch, c).to_pylist() for c in names), strict=True):
+                if size >= SORT_BYTES and rows[-1][0] != row[0]:
                     yield flush()
-                texts.append(text)
-                docs.append(doc)
-                starts.append(start)
-                places.append(place)
-                runs.append(run_)
-                size += len(text)
-        if texts:
+                rows.append(row)
+                size += len(row[-1])
+        if rows:
             yield flush()
 
     return run
 
 
-def _contexts(length: int, gram: int, hashed: bool):
-    """Context texts of the anchors listed in `need`; or, hashed, a row for every window of them."""
+def _contexts(length: int, gram: int):
+    """Context texts of the anchors listed in `need`."""
     reach = length - gram
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -315,29 +317,62 @@ def _contexts(length: int, gram: int, hashed: bool):
             for key, text, need in zip(column(batch, "key").to_pylist(), texts_of(batch, "text"), column(batch, "need").to_pylist(), strict=True):
                 for x in need:
                     s = max(0, x["p"] - reach)
-                    got = text[s : x["p"] + length]
-                    if hashed:
-                        for i in range(len(got) - length + 1):
-                            runs.append(xxhash.xxh3_64_intdigest(got[i : i + length]) - (1 << 63))
-                            keys.append(key)
-                            starts.append(s + i)
-                            places.append(0)
-                            texts.append(xxhash.xxh64_intdigest(got[i : i + length]) - (1 << 63))
-                    else:
-                        runs.append(x["run"])
-                        keys.append(key)
-                        starts.append(s)
-                        places.append(x["p"] - s)
-                        texts.append(got)
+                    runs.append(x["run"])
+                    keys.append(key)
+                    starts.append(s)
+                    places.append(x["p"] - s)
+                    texts.append(text[s : x["p"] + length])
             yield pa.RecordBatch.from_arrays(
-                [pa.array(runs, pa.int64()), pa.array(keys, pa.int64()), pa.array(starts, pa.int64()), pa.array(places, pa.int64()),
-                 pa.array(texts, pa.int64() if hashed else pa.binary())],
-                names=["run", "key", "start", "at", "context_text"],
+                [*(pa.array(x, pa.int64()) for x in (runs, keys, starts, places)), pa.array(texts, pa.binary())],
+                names=["block", "key", "start", "at", "context_text"],
             )
 
     return run
 
 
+def _halves(rows: DataFrame, length: int, gram: int) -> DataFrame:
+    """rows(block, key, start, at, context_text, lo, hi) -> two rows each, for the halves of lo..hi: `block` says what windows
+    need to be equal there, and `all` what the half's windows cover in all, as hashes."""
+    middle = F.floor((F.col("lo") + F.col("hi")) / 2).cast("int")
+    half = lambda a, b: F.struct(a.alias("lo"), b.alias("hi"))
+    both = F.when(F.col("lo") == F.col("hi"), F.array(half(F.col("lo"), F.col("hi")))).otherwise(
+        F.array(half(F.col("lo"), middle), half(middle + 1, F.col("hi")))
+    )
+    rows = rows.withColumn("h", F.explode(both)).drop("lo", "hi").select("*", "h.*").drop("h")
+    lo, hi, at, size = F.col("lo"), F.col("hi"), F.col("at").cast("int"), F.octet_length("context_text")
+    rows = rows.where((at >= lo) & (size - at >= length - hi))  # a window fits
+    far, end = F.least(hi, at), F.least(F.lit(length) - lo, size - at)
+    part = lambda back, ahead: F.xxhash64("block", lo, F.substring(F.col("context_text"), at - back + 1, back + ahead), back)
+    return rows.withColumn("all", part(far, end)).withColumn("block", part(lo, F.lit(length) - hi))
+
+
+def _large_runs(rows: DataFrame, length: int, gram: int, keep: str) -> tuple[DataFrame | None, DataFrame | None]:
+    """Contexts of runs with more than BLOCK_CLASSES of them -> (contexts in blocks of at most so many, or None; spans of
+    repeated windows, or None)."""
+    few, spans = None, None
+    rows = stored(rows.withColumn("lo", F.lit(0)).withColumn("hi", F.lit(length - gram)), "large-runs")
+    while not rows.isEmpty():
+        rows = stored(_halves(rows, length, gram), "blocks")
+        first = F.min(F.struct("key", (F.col("start") + F.col("at")).alias("p"))).alias("first")
+        blocks = rows.groupBy("block").agg(F.count("*").alias("n"), (F.min("all") == F.max("all")).alias("same"), first)
+        blocks = stored(blocks.where("n > 1"), "block-sizes")
+        rows = join_counted(rows, blocks, ["block"], "n", rows.count())
+        same = rows.where("same")
+        if keep == "first":
+            same = same.where(F.struct("key", F.col("start") + F.col("at")) != F.struct("first.key", "first.p"))
+        size = F.octet_length("context_text") - F.col("at")
+        p = F.col("start") + F.col("at")
+        same = same.select(
+            "key", (p - F.least("hi", "at")).alias("s"), (p - F.greatest(F.col("lo"), F.lit(length) - size) + length).alias("e")
+        )
+        mixed = rows.where("not same").select("block", "key", "start", "at", "context_text", "lo", "hi", "n")
+        small = mixed.where(F.col("n") <= BLOCK_CLASSES).drop("n")
+        spans = same if spans is None else spans.unionByName(same)
+        few = small if few is None else few.unionByName(small)
+        rows = stored(mixed.where(F.col("n") > BLOCK_CLASSES).drop("n"), "large-blocks")
+    return few, spans
+
+
 def _merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         out = []
@@ -359,52 +394,54 @@ def repeated_spans(docs: DataFrame, length: int = 400, keep: str = "none") -> Da
     gram = length // 2
     reach = length - gram
     found = stored(map_arrow(docs, _anchor_rows(length, gram), "key long, p long, span int, run long, context long"), "anchors")
-    # Stored on its own, so that the join shuffles both sides and Spark can split a run that is everywhere.
-    often = stored(found.groupBy("run").count().where("count > 1").select("run"), "repeated-runs")
-    found = stored(found.join(often, "run"), "repeated-anchors")
+    often = stored(found.groupBy("run").agg(F.count("*").alias("n")).where("n > 1"), "repeated-runs")
+    found = stored(join_counted(found, often, ["run"], "n", found.count()).drop("n"), "repeated-anchors")
     classes = found.groupBy("run", "context").agg(F.count("*").alias("n"), F.min(F.struct("key", "p")).alias("first"))
     classes = stored(classes, "context-classes")
-    copies = found.join(classes.where("n > 1"), ["run", "context"])
+    copies = join_counted(found, stored(classes.where("n > 1"), "copied-contexts"), ["run", "context"], "n", found.count())
     if keep == "first":
         copies = copies.where(F.struct("key", "p") != F.col("first"))
     whole = copies.select("key", F.greatest(F.lit(0), F.col("p") - reach).alias("s"), (F.col("p") + F.col("span")).alias("e"))
 
     borders = stored(classes.groupBy("run").agg(F.count("*").alias("kinds")).where("kinds > 1"), "run-kinds")
-    borders = stored(classes.join(borders, "run").select("run", "kinds", "first.key", "first.p"), "borders")
+    borders = join_counted(classes.select("run", "first"), borders, ["run"], "kinds", classes.count())
+    borders = stored(borders.select("run", "kinds", "first.key", "first.p"), "borders")
 
-    def contexts(part: DataFrame, hashed: bool, schema: str) -> DataFrame:
+    def contexts(part: DataFrame) -> DataFrame:
         need = part.groupBy("key").agg(F.collect_list(F.struct("p", "run")).alias("need"))
         # No broadcast: borders grow with the corpus, and the plan is to be the same at every size.
         need = stored(need, "context-needs").hint("merge")
-        return map_arrow(docs.join(need, "key").select("key", "text", "need"), _contexts(length, gram, hashed), schema)
-
-    schema = "run long, key long, start long, at long, context_text "
-    few = contexts(borders.where(F.col("kinds") <= SPLIT_CLASSES), False, schema + "binary")
-    few = few.repartition("run").sortWithinPartitions("run")
+        schema = "block long, key long, start long, at long, context_text binary"
+        return map_arrow(docs.join(need, "key").select("key", "text", "need"), _contexts(length, gram), schema)
+
+    few = contexts(borders.where(F.col("kinds") <= BLOCK_CLASSES)).withColumn("lo", F.lit(0)).withColumn("hi", F.lit(reach))
+    large = borders.where(F.col("kinds") > BLOCK_CLASSES)
+    more = None
+    if not large.isEmpty():
+        blocks, more = _large_runs(contexts(large), length, gram, keep)
+        few = few.unionByName(blocks.select(*few.columns))
+    few = few.repartition("block").sortWithinPartitions("block")
     spans = map_arrow(few, _sort_contexts(length, gram, keep == "first"), "key long, s long, e long")
-    many = borders.where(F.col("kinds") > SPLIT_CLASSES)
-    if not many.isEmpty():
-        windows = stored(contexts(many, True, schema + "long").distinct(), "split-windows")
-        seen = windows.groupBy("run", "context_text").agg(F.count("*").alias("n"), F.min(F.struct("key", "start")).alias("first"))
-        hit = windows.join(seen.where("n > 1"), ["run", "context_text"])
-        if keep == "first":
-            hit = hit.where(F.struct("key", "start") != F.col("first"))
-        spans = spans.unionByName(hit.select("key", F.col("start").alias("s"), (F.col("start") + length).alias("e")))
+    if more is not None:
+        spans = spans.unionByName(more)
     spans = spans.unionByName(whole)
     lists = spans.groupBy("key").agg(F.collect_list(F.struct("s", "e")).alias("spans"))
     return stored(map_arrow(lists, _merge, "key long, spans array<struct<s:long,e:long>>"), "repeated-spans")
 
 
-def with_spans(docs: DataFrame, id_col: str = "doc_id", text: str = "text", length: int = 400, keep: str = "none") -> DataFrame:
-    """docs with __spans: the byte ranges of their texts to remove, null for none."""
+def with_spans(
+    docs: DataFrame, id_col: str = "doc_id", text: str = "text", length: int = 400, keep: str = "none", name: str = "__spans"
+) -> DataFrame:
+    """docs with one more column: the byte ranges of their texts to remove, null for none."""
+    (key,) = fresh(docs, "__key")
     rows, ids = docs.agg(F.count("*"), F.count_distinct(id_col)).first()
     if rows == ids:
-        docs = docs.withColumn("__key", F.col(id_col).cast("long"))
+        docs = docs.withColumn(key, F.col(id_col).cast("long"))
     else:
-        docs = stored(docs.withColumn("__key", F.monotonically_increasing_id()), "numbered")
-    spans = repeated_spans(docs.select(F.col("__key").alias("key"), F.col(text).alias("text")), length, keep)
-    spans = small_side(spans.select(F.col("key").alias("__key"), F.col("spans").alias("__spans")), 96)
-    return docs.join(spans, "__key", "left").drop("__key")
+        docs = stored(docs.withColumn(key, F.monotonically_increasing_id()), "numbered")
+    spans = repeated_spans(docs.select(F.col(key).alias("key"), F.col(text).alias("text")), length, keep)
+    spans = small_side(spans.select(F.col("key").alias(key), F.col("spans").alias(name)), 24 + 16 * F.size(name))
+    return docs.join(spans, key, "left").drop(key)
 
 
 def cut(text: bytes, spans: list[dict] | None) -> bytes:
@@ -423,13 +460,14 @@ def suffix_dedup(docs: DataFrame, length: int = 400, keep: str = "first", text:
 
     A character that a cut splits is dropped whole, so texts stay valid UTF-8.
     """
-    marked = with_spans(docs, text=text, length=length, keep=keep)
+    (name,) = fresh(docs, "__spans")
+    marked = with_spans(docs, text=text, length=length, keep=keep, name=name)
     at = marked.columns.index(text)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, text):
             texts = column(batch, text).cast(pa.binary()).to_pylist()
-            spans = column(batch, "__spans").to_pylist()
+            spans = column(batch, name).to_pylist()
             new = [t.decode() if t is not None and not s else t and cut(t, s).decode("utf-8", "ignore") for t, s in zip(texts, spans, strict=True)]
             new = ["" if x == b"" else x for x in new]
             arrays = [pa.array(new, pa.string()) if i == at else batch.column(i) for i in range(batch.num_columns - 1)]

@@ -9,7 +9,7 @@ import xxhash
 pytest.importorskip("kmerloom.llm")
 from pyspark.sql import functions as F  # noqa: E402
 
-from kmerloom.llm import simhash, suffix_dedup  # noqa: E402
+from kmerloom.llm import common, simhash, suffix_dedup  # noqa: E402
 
 
 def lower_words(text):
@@ -119,9 +119,10 @@ def passages(seed):
     return docs
 
 
-@pytest.mark.parametrize("split", [32768, 1])
+@pytest.mark.parametrize("split", [2048, 3, 1])
 def test_suffix_dedup(spark, monkeypatch, split):
-    monkeypatch.setattr(suffix_dedup, "SPLIT_CLASSES", split)
+    monkeypatch.setattr(suffix_dedup, "BLOCK_CLASSES", split)
+    monkeypatch.setattr(common, "HOT_ROWS", 2 if split < 2048 else 4096)
     monkeypatch.setattr(suffix_dedup, "SORT_BYTES", 2000)
     monkeypatch.setattr(suffix_dedup, "WINDOWS", 100)
     monkeypatch.setattr(suffix_dedup, "STRETCH", 64)
@@ -167,3 +168,28 @@ def test_components(spark):
     got = {(r.node, r.root) for r in components(spark.createDataFrame(links, "a long, b long")).collect()}
     assert got == {(i, 0) for i in range(41)} | {(100 + k, 100) for k in range(30)} | {(200, 200), (201, 200)}
     assert components(spark.createDataFrame([], "a long, b long")).select(F.count("*")).first()[0] == 0
+
+
+def test_clashing_names(spark):
+    """Columns of the documents by the operators' internal names are kept as they were."""
+    docs = [(i, "one two three four five six seven eight " * 60 + str(i // 2), i) for i in range(6)] + [(None, None, 7), (3, "", 8)]
+    names = ("__key", "__spans", "__text", "__fp", "__root", "__component", "key", "e", "s", "run")
+    frame = spark.createDataFrame(docs, "doc_id long, text string, x long").select("*", *(F.col("x").alias(n) for n in names))
+    for out in (simhash.near_dedup(frame), suffix_dedup.suffix_dedup(frame)):
+        assert out.columns == frame.columns
+        assert all(len({r[n] for n in names} | {r["x"]}) == 1 for r in out.collect())
+    assert suffix_dedup.suffix_dedup(frame).count() == len(docs)
+
+
+def test_long_text(spark):
+    """A text of several stretches, with a passage of 500 bytes at both ends, and one far over the shingles taken at once."""
+    rng = random.Random(8)
+    passage = "".join(rng.choice("abcdefghij ") for _ in range(500))
+    middle = " ".join(str(rng.getrandbits(60)) for _ in range(130_000))
+    docs = [(1, f"{passage}|{middle}|{passage}"), (2, None)]
+    frame = spark.createDataFrame(docs, "doc_id long, text string")
+    marked = suffix_dedup.with_spans(frame, keep="none").where("doc_id = 1").first()["__spans"]
+    n = len(docs[0][1])
+    assert [(x.s, x.e) for x in marked] == [(0, 500), (n - 500, n)]
+    got = {r["doc_id"]: r["__fp"] for r in simhash.fingerprints(frame).collect()}
+    assert got[1] % (1 << 64) == brute_print(docs[0][1]) and got[2] == 0
