@@ -7,7 +7,8 @@ are all in the vocabulary.  Every benchmark suffix is then sought by binary sear
 its window gives all places, and windows that follow each other at one distance join into the longest verbatim match.
 
 The benchmark is taken in blocks of at most BLOCK_BYTES of text, each against all documents, so what is broadcast is
-bounded whatever the benchmark's size.  Documents are never shuffled.
+bounded whatever the benchmark's size.  Documents are never shuffled by their texts: with several blocks each pass but the first
+returns only a row's key and its matches, where it has some.
 
 Words: `[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+` after lower-casing A-Z.  A window is 13 consecutive words of an item; a shorter
 item with words is one window.  Null texts and null items have no words.  Items with a null id make words hit but
@@ -23,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import LOWER_ALNUM, map_arrow, slices, stored, texts_of
+from .common import LOWER_ALNUM, column, fresh, map_arrow, slices, small_side, stored, texts_of
 
 #: Words of a window.
 WINDOW = 13
@@ -133,57 +134,99 @@ def union(spans: list[dict]) -> list[dict]:
     return out
 
 
-def _scan(items: list[tuple[str | None, bytes]], text: str, window: int):
+_ITEM = pa.struct([("item_id", pa.string()), *((n, pa.int64()) for n in ("doc_start", "item_start", "words"))])
+_SPAN = pa.struct([("s", pa.int64()), ("e", pa.int64())])
+
+
+def _scan(items: list[tuple[str | None, bytes]], text: str, window: int, names: tuple):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         probe = Probe(items, window)
         for batch in slices(batches, text):
             sizes, found, spans = probe.matches(texts_of(batch, text))
-            names = list(batch.schema.names)
             arrays = [batch.column(i) for i in range(batch.num_columns)]
-            if "__spans" in names:  # an earlier block's
-                old = {n: a.to_pylist() for n, a in zip(names, arrays, strict=True) if n in ("__matches", "__spans")}
-                found = [a + b for a, b in zip(old["__matches"], found, strict=True)]
-                spans = [union(a + b) for a, b in zip(old["__spans"], spans, strict=True)]
-                kept = [(n, a) for n, a in zip(names, arrays, strict=True) if n not in ("__words", "__matches", "__spans")]
-                names, arrays = [n for n, _ in kept], [a for _, a in kept]
-            item = pa.struct([("item_id", pa.string()), *((n, pa.int64()) for n in ("doc_start", "item_start", "words"))])
-            span = pa.struct([("s", pa.int64()), ("e", pa.int64())])
-            arrays += [pa.array(sizes, pa.int64()), pa.array(found, pa.list_(item)), pa.array(spans, pa.list_(span))]
-            yield pa.RecordBatch.from_arrays(arrays, names=[*names, "__words", "__matches", "__spans"])
+            arrays += [pa.array(sizes, pa.int64()), pa.array(found, pa.list_(_ITEM)), pa.array(spans, pa.list_(_SPAN))]
+            yield pa.RecordBatch.from_arrays(arrays, names=[*batch.schema.names, *names])
 
     return run
 
 
-def find_matches(docs: DataFrame, benchmark: DataFrame, text: str = "text", window: int = WINDOW) -> DataFrame:
-    """docs with __words (count), __matches (item_id, doc_start, item_start, words: longest verbatim matches of at least
-    a window) and __spans (hit words as merged [s, e))."""
-    items = benchmark.select(F.col("item_id").cast("string").alias("i"), F.col("text").alias("t")).where("t is not null")
-    size = items.agg(F.coalesce(F.sum(F.octet_length("t")), F.lit(0))).first()[0]
-    blocks = max(1, -(-size // BLOCK_BYTES) * (2 if size > BLOCK_BYTES else 1))
-    out = docs
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
-    schema += f", __words long, __matches {MATCH}, __spans {SPANS}"
-    for b in range(blocks):
-        mine = items if blocks == 1 else items.where(F.pmod(F.xxhash64("i", "t"), F.lit(blocks)) == b)
-        got = [(r["i"], r["t"].encode()) for r in mine.collect()]  # bounded by BLOCK_BYTES and one item
-        out = map_arrow(out, _scan(got, text, window), schema)
-        if b + 1 < blocks:
-            out = stored(out, "decontam")
-    return out
+def _scan_more(items: list[tuple[str | None, bytes]], text: str, window: int, key: str):
+    """Only keys and matches, of rows that have some."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        probe = Probe(items, window)
+        for batch in slices(batches, text):
+            _, found, spans = probe.matches(texts_of(batch, text))
+            hit = [i for i, m in enumerate(found) if m]
+            yield pa.RecordBatch.from_arrays(
+                [column(batch, key).take(pa.array(hit, pa.int64())), pa.array([found[i] for i in hit], pa.list_(_ITEM)),
+                 pa.array([spans[i] for i in hit], pa.list_(_SPAN))],
+                names=["k", "m", "h"],
+            )
+
+    return run
 
 
-def hit_words() -> Column:
-    return F.aggregate("__spans", F.lit(0).cast("long"), lambda n, x: n + x["e"] - x["s"])
+def _merged(spans: Column) -> Column:
+    """Spans joined where they overlap or touch."""
+    none = F.array().cast(SPANS)
+    last = lambda acc: F.element_at(acc, -1)
+    joined = lambda acc, x: F.concat(
+        F.slice(acc, 1, F.size(acc) - 1), F.array(F.struct(last(acc)["s"].alias("s"), F.greatest(last(acc)["e"], x["e"]).alias("e")))
+    )
+    step = lambda acc, x: F.when((F.size(acc) > 0) & (x["s"] <= F.try_element_at(acc, F.lit(-1))["e"]), joined(acc, x)).otherwise(
+        F.concat(acc, F.array(x))
+    )
+    return F.aggregate(F.array_sort(spans), none, step)
+
 
+def find_matches(
+    docs: DataFrame, benchmark: DataFrame, text: str = "text", window: int = WINDOW, names: tuple = ("__words", "__matches", "__spans")
+) -> DataFrame:
+    """docs with three more columns, by these names: words (count), matches (item_id, doc_start, item_start, words: longest
+    verbatim matches of at least a window) and spans (hit words as merged [s, e)).  Columns of docs with these names are
+    replaced; other names never clash."""
+    docs = docs.select(*(c for c in docs.columns if c.lower() not in {n.lower() for n in names}))
+    items = benchmark.select(F.col("item_id").cast("string").alias("i"), F.col("text").alias("t")).where("t is not null")
+    size = items.agg(F.coalesce(F.sum(F.octet_length("t")), F.lit(0))).first()[0]
+    blocks = max(1, -(-size // BLOCK_BYTES) * (2 if size > BLOCK_BYTES else 1))
+    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema), *(f"`{n}` {k}" for n, k in zip(names, ("long", MATCH, SPANS), strict=True))])
 
-def contaminated() -> Column:
+    def block(b: int) -> list[tuple]:
+        mine = items if blocks == 1 else items.where(F.pmod(F.xxhash64("i", "t"), F.lit(blocks)) == b)
+        return [(r["i"], r["t"].encode()) for r in mine.collect()]  # bounded by BLOCK_BYTES and one item
+
+    if blocks == 1:
+        return map_arrow(docs, _scan(block(0), text, window, names), schema)
+    key, k, more_m, more_h = fresh(docs, "__key", "__k", "__m", "__h")
+    keyed = stored(docs.withColumn(key, F.monotonically_increasing_id()), "decontam")
+    more = None
+    for b in range(1, blocks):
+        part = stored(map_arrow(keyed.select(key, text), _scan_more(block(b), text, window, key), f"k long, m {MATCH}, h {SPANS}"), "decontam-block")
+        more = part if more is None else more.unionByName(part)
+    more = more.groupBy("k").agg(F.flatten(F.collect_list("m")).alias(more_m), F.flatten(F.collect_list("h")).alias(more_h))
+    more = small_side(stored(more.withColumnRenamed("k", k), "decontam-hits"), 64 + 64 * F.size(more_m))
+    n, m, h = names
+    schema = schema.replace(f"`{n}` long", f"`{key}` long, `{n}` long", 1)
+    out = map_arrow(keyed, _scan(block(0), text, window, names), schema)
+    out = out.join(more, out[key] == more[k], "left")
+    both = lambda old, new: F.when(F.col(k).isNull(), F.col(old)).otherwise(new)
+    return out.select(*docs.columns, n, both(m, F.concat(m, more_m)).alias(m), both(h, _merged(F.concat(h, more_h))).alias(h))
+
+
+def hit_words(spans: str = "__spans") -> Column:
+    return F.aggregate(spans, F.lit(0).cast("long"), lambda n, x: n + x["e"] - x["s"])
+
+
+def contaminated(words: str = "__words", spans: str = "__spans") -> Column:
     """At least one word hit, and hit words at least a twentieth of the document's."""
-    return (F.size("__spans") > 0) & (20 * hit_words() >= F.col("__words"))
+    return (F.size(spans) > 0) & (20 * hit_words(spans) >= F.col(words))
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """docs without the contaminated ones; its columns as they were."""
-    return find_matches(docs, benchmark).where(~contaminated()).select(*docs.columns)
+    """docs without the contaminated ones; its columns as they were, whatever their names."""
+    names = tuple(fresh(docs, "__words", "__matches", "__spans"))
+    return find_matches(docs, benchmark, names=names).where(~contaminated(names[0], names[2])).select(*docs.columns)
 
 
 def op1_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -69,3 +69,17 @@ def test_locations(spark):
     items = spark.createDataFrame([(7, " ".join(w))], "item_id long, text string")
     (m,) = decontam.find_matches(docs, items).first()["__matches"]
     assert (m.item_id, m.doc_start, m.item_start, m.words) == ("7", 2, 5, 25)
+
+
+def test_clashing_names_and_long_text(spark, monkeypatch):
+    w = [f"w{i}" for i in range(40)]
+    long = " ".join(f"x{i % 977}" for i in range(300_000))
+    rows = [(1, " ".join(w[5:30]), 1), (2, f"{long} {' '.join(w)} {long}", 2), (3, "", 3), (None, None, 4)]
+    names = ("__spans", "__words", "__matches", "__key", "k", "m", "h")
+    docs = spark.createDataFrame(rows, "doc_id long, text string, n long").select("*", *(decontam.F.col("n").alias(x) for x in names))
+    items = spark.createDataFrame([(7, " ".join(w)), (8, long[:3000])], "item_id long, text string")
+    for size in (8 << 20, 1000):
+        monkeypatch.setattr(decontam, "BLOCK_BYTES", size)
+        kept = decontam.decontaminate(docs, items)
+        assert kept.columns == docs.columns and sorted(r["n"] for r in kept.collect()) == [3, 4]
+        assert all({r[x] for x in names} == {r["n"]} for r in kept.collect())
