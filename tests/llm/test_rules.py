@@ -83,40 +83,48 @@ def test_language_kernel_is_the_set_kernel():
     assert landmarks == sorted(tuple(round(r[j], 5) for r in want) for j in range(4))
 
 
-def brute_lm(docs, prior):
+def brute_lm(docs, k2, k3, least=2):
     rows = [(d, (t or "").encode().translate(LOW).split() + [None]) for d, t in docs]
     held = lambda d: zlib.crc32(("" if d is None else str(d)).encode()) % 10 == 0
     train = [w for d, w in rows if not held(d)]
     one = Counter(x for w in train for x in w)
     two = Counter(p for w in train for p in zip([0, *w[:-1]], w, strict=True))
+    three = Counter(p for w in train for p in zip([0, *w], w, w[1:]))  # noqa: B905
     before = Counter(p for w in train for p in [0, *w[:-1]])
     n, v = sum(one.values()), len(one)
     p1 = lambda x: (one[x] + 0.1) / (n + 0.1 * (v + 1))
+    p2 = lambda v, x: (two[v, x] + k2 * p1(x)) / (before[v] + k2)
     for d, w in rows:
         base = sum(math.log10(p1(x)) for x in w)
-        score = sum(math.log10((two[p, x] + prior * p1(x)) / (before[p] + prior)) for p, x in zip([0, *w[:-1]], w, strict=True))
-        yield d, held(d), len(w), sum(one[x] > 0 for x in w), n, base, score
+        score, history = math.log10(p2(0, w[0])), [0, *w]
+        for u, v_, x in zip(history, w, w[1:]):  # noqa: B905
+            p, c = p2(v_, x), two[u, v_]
+            score += math.log10((three[u, v_, x] + k3 * p) / (c + k3) if c >= least else p)
+        yield d, held(d), len(w), sum(one[x] > 0 for x in w), n, base, score, score / len(w)
 
 
 @pytest.mark.parametrize("part", [50, 1 << 20])
-def test_lm_scores(spark, sf, tmp_path, monkeypatch, part):
+def test_lm_scores(spark, sf, tmp_path, part):
     own = table(spark, tmp_path)
     for folder in (sf, str(tmp_path)):
         docs = [(r.doc_id, r.text) for r in spark.read.parquet(f"{folder}/documents.parquet").collect()]
         if part == 50 and folder == sf:
             continue
-        monkeypatch.setattr(lm, "PART_TOKENS", part)
-        got = sorted((tuple(r) for r in lm.op8_lm_scores(spark, folder).collect()), key=str)
-        want = sorted(brute_lm(docs, lm.PRIOR), key=str)
+        frame = spark.read.parquet(f"{folder}/documents.parquet").withColumn("train", lm.train_fold("doc_id", 10, 0))
+        got = sorted((tuple(r) for r in lm.score_documents(frame, part_tokens=part).collect()), key=str)
+        want = sorted(brute_lm(docs, *lm.PRIORS), key=str)
         assert [g[:5] for g in got] == [w[:5] for w in want]
         for g, w in zip(got, want, strict=True):
             assert g[5:] == pytest.approx(w[5:], rel=1e-9)
     assert lm.score_documents(own.limit(0).select("doc_id", "text", F.lit(True).alias("train"))).count() == 0
 
 
-def test_lm_beats_base_on_held_out(spark, sf):
-    held = lm.op8_lm_scores(spark, sf).where("held_out").agg(F.sum("score"), F.sum("base_score")).first()
+def test_lm_beats_base_and_bigrams_on_held_out(spark, sf):
+    total = lambda frame: frame.where("held_out").agg(F.sum("score"), F.sum("base_score")).first()
+    held = total(lm.op8_lm_scores(spark, sf))
     assert held[0] > held[1]
+    frame = spark.read.parquet(f"{sf}/documents.parquet").withColumn("train", lm.train_fold("doc_id", 10, 0))
+    assert held[0] > total(lm.score_documents(frame, least=1 << 40))[0]  # no pair of words is a state: bigrams alone
 
 
 def test_url_rules(spark):
