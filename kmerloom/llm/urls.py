@@ -5,9 +5,13 @@ parent the host has more than BRANCHES distinct values, none of which holds more
 segments become `*`.  Segments are generalised from the root down, each level one aggregate, until no path goes on or all
 that go on are at parents of at most BRANCHES paths, below which nothing can vary.
 
-Merging.  Sibling templates of a host that differ in one fixed segment, whichever it is, are merged to `*` there if their labelled purities
-are statistically alike: the difference of a template's smoothed purity and that of its siblings together lies within MERGE_Z standard errors of the two.
-Of several such places a template takes the one with the most siblings alike, the last where equal; it is merged at one place at most.
+Merging.  Siblings are templates of a host that differ in one fixed segment, whichever it is.  In the order of their smoothed
+purities each is held against the branch before it, with the branch's mean purity; they are alike if the difference lies within
+MERGE_Z standard errors of the two, and then it belongs to that branch, else it begins one.  A branch of several siblings becomes one template with `*` at that place, `*2`, `*3` and so on for
+further branches there.  A template goes with the place where the purities of its branch spread least, of these with the largest
+branch, the last where equal.  Merged
+templates are merged again until no two are alike.  Purities that are equal to PLACES decimals are one step of that order, so a
+family of any number of siblings is at most 10^PLACES + 1 rows.
 
 Purity.  Labels are 1 (block) or 0 (allow).  A template's purity is smoothed towards its host's, that towards the same
 path template over all hosts, and that towards the overall share, each with PRIOR pseudo-labels.  A url is blocked if its template's purity is at least CUT.
@@ -21,7 +25,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import small_side, stored
@@ -31,7 +35,8 @@ RULES = (("block", "net", "/"), ("allow", "example.net", "/en/"), ("block", "exa
 BRANCHES = 20
 SHARE = 0.2
 MERGE_Z = 1.0
-PRIOR = 2.0
+PLACES = 3
+PRIOR = 1.0
 CUT = 0.5
 
 
@@ -111,26 +116,60 @@ def purities(found: DataFrame) -> DataFrame:
     host_p = F.when(F.col("hl") > 0, _smooth(F.col("hb"), F.col("hl"), path_p)).otherwise(path_p)
     rated = leaf.join(by_path, "template").join(by_host, "host")
     rated = rated.withColumn("prior", host_p).withColumn("purity", _smooth(F.col("blocked"), F.col("labelled"), F.col("prior")))
-    # Siblings: templates alike but for one fixed segment; at each place a template is held against all of its siblings together.
-    rated = stored(rated.select("host", "template", "blocked", "labelled", "prior", "purity"), "rated")
-    places = rated.select("*", F.posexplode("template").alias("at", "segment")).where("segment != '*'").drop("segment")
-    places = places.withColumn("general", F.transform("template", lambda s, i: F.when(i == F.col("at"), F.lit("*")).otherwise(s)))
-    place = ["host", "at", "general"]
-    family = places.groupBy(*place).agg(
-        F.count("*").alias("kin"), F.sum("blocked").alias("fb"), F.sum("labelled").alias("fl"), F.avg("prior").alias("fp")
-    )
-    kin_p = _smooth(F.col("fb"), F.col("fl"), F.col("fp"))
-    error = F.sqrt(kin_p * (1 - kin_p) * (1 / (F.col("labelled") + PRIOR) + 1 / (F.col("fl") + PRIOR)))
-    alike = places.join(family.where("kin > 1"), place).where(F.abs(F.col("purity") - kin_p) <= MERGE_Z * error)
-    alike = stored(alike.select(*place, "template"), "alike")
-    allies = alike.groupBy(*place).agg(F.count("*").alias("allies")).where("allies > 1")
-    pick = alike.join(allies, place).groupBy("host", "template").agg(F.max_by("general", F.struct("allies", "at")).alias("general"))
-    joined = rated.join(pick, ["host", "template"], "left").withColumn("merged", F.coalesce("general", "template"))
-    group = joined.groupBy("host", "merged").agg(
-        F.sum("blocked").alias("mb"), F.sum("labelled").alias("ml"), F.max("prior").alias("mp")
-    )
-    out = joined.select("host", "template", "merged").join(group, ["host", "merged"])
-    return stored(out.select("host", "template", "merged", _smooth(F.col("mb"), F.col("ml"), F.col("mp")).alias("purity")), "purities")
+    now = stored(rated.select("host", "template", "blocked", "labelled", "prior", "purity"), "rated")
+    names = now.select("host", "template", F.col("template").alias("merged"))
+    while True:
+        pick = _branches(now)
+        if pick.isEmpty():
+            break
+        to = pick.select(F.col("host").alias("__h"), F.col("template").alias("__t"), "general")
+        renamed = lambda df, c: df.join(to, (df["host"] == to["__h"]) & (df[c] == to["__t"]), "left")
+        names = stored(renamed(names, "merged").select("host", "template", F.coalesce("general", "merged").alias("merged")), "template-names")
+        joined = renamed(now, "template").withColumn("template", F.coalesce("general", "template"))
+        now = joined.groupBy("host", "template").agg(F.sum("blocked").alias("blocked"), F.sum("labelled").alias("labelled"), F.max("prior").alias("prior"))
+        now = stored(now.withColumn("purity", _smooth(F.col("blocked"), F.col("labelled"), F.col("prior"))), "merged")
+    got = now.select("host", F.col("template").alias("merged"), "purity")
+    return stored(names.join(got, ["host", "merged"]).select("host", "template", "merged", "purity"), "purities")
+
+
+def _branches(rated: DataFrame) -> DataFrame:
+    """rated(host, template, blocked, labelled, prior, purity) -> stored (host, template, general) of templates that are merged."""
+    places = rated.select("*", F.posexplode("template").alias("at", "segment")).where("segment not like '*%'").drop("segment")
+    places = places.withColumn("family", F.transform("template", lambda s, i: F.when(i == F.col("at"), F.lit("*")).otherwise(s)))
+    places = places.withColumn("step", F.round("purity", PLACES))
+    family = ["host", "at", "family"]
+    steps = places.groupBy(*family, "step").agg(F.count("*").alias("kin"), F.sum("labelled").alias("l"))
+    # At most 10^PLACES + 1 steps of a family are folded into branches in their order.
+    def fold(acc: Column, x: Column) -> Column:
+        weight = x["l"] + PRIOR
+        mean = acc["sum"] / acc["weight"]
+        middle = (x["step"] + mean) / 2
+        near = F.coalesce(x["step"] - mean <= MERGE_Z * F.sqrt(middle * (1 - middle) * (1 / weight + 1 / acc["weight"])), F.lit(False))
+        branch = acc["branch"] + F.when(near, 0).otherwise(1)
+        kept = lambda c: F.when(near, acc[c]).otherwise(0.0)
+        row = F.struct(x["step"].alias("step"), x["kin"].alias("kin"), branch.alias("branch"))
+        return F.struct(
+            branch.alias("branch"), (kept("sum") + x["step"] * weight).alias("sum"), (kept("weight") + weight).alias("weight"),
+            F.concat(acc["rows"], F.array(row)).alias("rows"),
+        )
+
+    none = F.struct(
+        F.lit(0).alias("branch"), F.lit(0.0).alias("sum"), F.lit(None).cast("double").alias("weight"),
+        F.array().cast("array<struct<step:double,kin:bigint,branch:int>>").alias("rows"),
+    )
+    steps = steps.groupBy(*family).agg(F.sort_array(F.collect_list(F.struct("step", "kin", "l"))).alias("s")).where("size(s) > 1 or s[0].kin > 1")
+    steps = steps.select(*family, F.inline(F.aggregate("s", none, fold, lambda acc: acc["rows"])))
+    mine = Window.partitionBy(*family, "branch")
+    spread = F.round(F.max("step").over(mine) - F.min("step").over(mine), PLACES)
+    steps = steps.withColumn("allies", F.sum("kin").over(mine)).withColumn("spread", spread).where("allies > 1")
+    alike = places.join(steps.select(*family, "step", "branch", "allies", "spread"), [*family, "step"])
+    mark = F.when(F.col("branch") == 1, F.lit("*")).otherwise(F.concat(F.lit("*"), F.col("branch").cast("string")))
+    general = F.transform("family", lambda s, i: F.when(i == F.col("at"), mark).otherwise(s))
+    best = alike.groupBy("host", "template").agg(F.max(F.struct((-F.col("spread")).alias("s"), "allies", "at", general.alias("general"))).alias("b"))
+    # A branch of which all but one went elsewhere is no merge.
+    best = stored(best.select("host", "template", "b.general"), "branches")
+    real = best.groupBy("host", "general").agg(F.count("*").alias("n")).where("n > 1").drop("n")
+    return stored(best.join(real, ["host", "general"], "left_semi").select("host", "template", "general"), "branch-picks")
 
 
 def judge_urls(pages: DataFrame, labels: DataFrame | None = None, rules=RULES) -> DataFrame:
