@@ -130,7 +130,7 @@ class Part:
         end, start = len(words), len(words) + 1
         self.sizes = counts + 1
         self.first = np.concatenate([[0], np.cumsum(self.sizes)])[:-1]
-        self.tokens = np.full(int(self.sizes.sum()), end, dtype=np.int64)
+        self.tokens = np.full(int(self.sizes.sum()), end, dtype=np.int32)
         inside = np.ones(len(self.tokens), dtype=bool)
         inside[self.first + counts] = False
         self.tokens[inside] = _from_planes(zstandard.decompress(row["ids"]), "<i4")
@@ -138,7 +138,8 @@ class Part:
         self.states[1:] = self.tokens[:-1]
         self.states[self.first] = start
         self.train = np.repeat(np.frombuffer(row["train"], dtype=np.uint8).astype(bool), self.sizes)
-        pairs, self.pair = np.unique(self.states * len(self.hashes) + self.tokens, return_inverse=True)
+        pairs, pair = np.unique(self.states.astype(np.int64) * len(self.hashes) + self.tokens, return_inverse=True)
+        self.pair = pair.astype(np.int32)
         self.pairs = _mixed(self.hashes[pairs // len(self.hashes)], self.hashes[pairs % len(self.hashes)])
 
     def add_trigrams(self, pairs: np.ndarray, least: int) -> None:
@@ -147,8 +148,8 @@ class Part:
         at = pairs[before] >= least
         at[self.first] = False
         at = np.flatnonzero(at)
-        self.triple = np.full(len(self.tokens), -1)
-        triples, self.triple[at] = np.unique(before[at] * len(self.hashes) + self.tokens[at], return_inverse=True)
+        self.triple = np.full(len(self.tokens), -1, dtype=np.int32)
+        triples, self.triple[at] = np.unique(before[at].astype(np.int64) * len(self.hashes) + self.tokens[at], return_inverse=True)
         self.behind = triples // len(self.hashes)
         self.triples = _mixed(self.pairs[self.behind], self.hashes[triples % len(self.hashes)])
 
