@@ -39,8 +39,8 @@ from .common import column, fresh, join_counted, map_arrow, slices, small_side,
 STRETCH = 1 << 20
 #: Context bytes that are sorted at once.
 SORT_BYTES = 1 << 20
-#: Most contexts that are sorted together; runs with more are cut into blocks.
-BLOCK_CLASSES = 2048
+#: Most contexts that are sorted together, some 20 MB of text at length 400; runs with more are cut into blocks.
+BLOCK_CLASSES = 32768
 #: Windows that are put in order at once.
 WINDOWS = 1 << 18
 
@@ -356,7 +356,7 @@ def _large_runs(rows: DataFrame, length: int, gram: int, keep: str) -> tuple[Dat
         first = F.min(F.struct("key", (F.col("start") + F.col("at")).alias("p"))).alias("first")
         blocks = rows.groupBy("block").agg(F.count("*").alias("n"), (F.min("all") == F.max("all")).alias("same"), first)
         blocks = stored(blocks.where("n > 1"), "block-sizes")
-        rows = join_counted(rows, blocks, ["block"], "n", rows.count())
+        rows = stored(join_counted(rows, blocks, ["block"], "n", rows.count()), "block-rows")
         same = rows.where("same")
         if keep == "first":
             same = same.where(F.struct("key", F.col("start") + F.col("at")) != F.struct("first.key", "first.p"))
