@@ -50,14 +50,17 @@ def sum_expanded(df: DataFrame, keys: list[str]) -> DataFrame:
     return spread.groupBy(*keys, "kmer").agg(F.sum("cnt").alias("cnt"))
 
 
-def kmer_profile(wins: DataFrame, keys: list[str], k: int, pattern: list[int], semantics: str = "reference") -> DataFrame:
+def kmer_profile(
+    wins: DataFrame, keys: list[str], k: int, pattern: list[int], semantics: str = "reference", deal: list[str] | None = None
+) -> DataFrame:
     """wins(keys, win) -> keys, kmer, cnt: the full counter.
 
-    Windows are dealt by their keys once; every aggregate after that finds its rows in place, so this is one exchange.
+    Windows are dealt once, by their keys or by `deal`, some of these; every aggregate after that finds its rows in place,
+    so this is one exchange.
     """
     if sum(pattern) != k:
         raise ValueError("a pattern keeps as many places as k")
-    dealt = wins.select(*keys, "win").repartition(*keys)
+    dealt = wins.select(*keys, "win").repartition(*(deal or keys))
     counted = count_kmers(kmers(dealt, len(pattern), semantics), keys)
     merged = apply_pattern_counts(merge_strands(counted, keys, semantics), keys, pattern, semantics)
     out = sum_expanded(drop_homopolymers(merged, k), keys)
@@ -78,20 +81,26 @@ def explode_map(df: DataFrame, keys: list[str]) -> DataFrame:
     return df.select(*keys, F.explode("counts").alias("code", "cnt"))
 
 
-def dense_counts(counts: Column, k: int) -> Column:
-    """Array of all 4^k counts of a code -> count map, by rank of the code.
+def filled(cells: str | Column, rank: str, count: str, size: int) -> Column:
+    """An array of `size` counts from an array of (rank, count) in rising order of ranks; 0 where there is none.
 
-    One pass over the sorted entries, with zeros put between them: a lambda that looked codes up in the map would
-    evaluate the map anew for each of them.
+    Each entry gives its zeros and itself; they are joined once, so the work is in proportion to the array.
     """
-    zeros = lambda n: F.array_repeat(F.lit(0).cast("long"), n)
-    ranked = F.sort_array(F.transform(F.map_entries(counts), lambda e: F.struct(code_rank(e["key"], k).alias("r"), e["value"].cast("long").alias("c"))))
-    return F.aggregate(
-        ranked,
-        F.array().cast("array<bigint>"),
-        lambda acc, e: F.concat(acc, zeros(e["r"] - F.size(acc)), F.array(e["c"])),
-        lambda acc: F.concat(acc, zeros(F.lit(4**k) - F.size(acc))),
-    )
+    last = F.struct(F.lit(size).alias(rank), F.lit(0).cast("long").alias(count))
+    every = F.concat(F.transform(cells, lambda e: F.struct(e[rank].cast("int").alias(rank), e[count].cast("long").alias(count))), F.array(last))
+    before = F.concat(F.array(F.lit(-1)), F.transform(cells, lambda e: e[rank].cast("int")))
+    piece = lambda e, b: F.concat(F.array_repeat(F.lit(0).cast("long"), e[rank] - b - 1), F.array(e[count]))
+    return F.slice(F.flatten(F.zip_with(every, before, piece)), 1, size)
+
+
+def ranked_counts(counts: Column, k: int) -> Column:
+    """(r, c) of a code -> count map in rising order of the codes' ranks."""
+    return F.sort_array(F.transform(F.map_entries(counts), lambda e: F.struct(code_rank(e["key"], k).alias("r"), e["value"].cast("long").alias("c"))))
+
+
+def dense_counts(counts: Column, k: int) -> Column:
+    """Array of all 4^k counts of a code -> count map, by rank of the code."""
+    return filled(ranked_counts(counts, k), "r", "c", 4**k)
 
 
 def with_codes(df: DataFrame) -> DataFrame:

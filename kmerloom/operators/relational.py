@@ -6,7 +6,10 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.names import LEVELS
-from .profile import dense_counts
+from .profile import dense_counts, filled
+
+#: A level's weights of at most this many bytes are broadcast.
+BROADCAST_BYTES = 32 << 20
 
 
 def vectors(profile: DataFrame, keys: list[str], k: int) -> DataFrame:
@@ -15,41 +18,47 @@ def vectors(profile: DataFrame, keys: list[str], k: int) -> DataFrame:
     return packed.select(*keys, dense_counts(F.col("counts"), k).alias("x"))
 
 
-def node_weights(features: DataFrame, k: int) -> DataFrame:
-    """features(code_rank, cnt, five names) -> level_idx, parent, child, w: array of round(1e6 ln((n + 1) / (total + 4^k)))."""
-    n = 4**k
+def node_weights(windows: DataFrame, k: int) -> DataFrame:
+    """windows(x, five names) -> one row per inner node: level_idx, parent, kids, an array in the order of names of (child, w) with
+    w the array of round(1e6 ln((n + 1) / (total + 4^k))) by rank of the code."""
+    size = 4**k
     per = []
     for i, level in enumerate(LEVELS):
         per.append(F.struct(F.lit(i).alias("level_idx"), (F.col(LEVELS[i - 1]) if i else F.lit("Root")).alias("parent"), F.col(level).alias("child")))
     # Summed by leaf first, so the five levels are taken from few rows.
-    leaf = features.groupBy(*LEVELS, "code_rank").agg(F.sum("cnt").alias("n"))
+    cells = windows.select(*LEVELS, F.posexplode("x").alias("code_rank", "cnt")).where("cnt > 0")
+    leaf = cells.groupBy(*LEVELS, "code_rank").agg(F.sum("cnt").alias("n"))
     counts = leaf.select(F.inline(F.array(*per)), "code_rank", "n").groupBy("level_idx", "parent", "child", "code_rank").agg(F.sum("n").alias("n"))
     node = counts.groupBy("level_idx", "parent", "child").agg(
-        F.sum("n").alias("total"), F.map_from_entries(F.collect_list(F.struct("code_rank", "n"))).alias("m")
+        F.sum("n").alias("total"), F.sort_array(F.collect_list(F.struct("code_rank", "n"))).alias("cells")
     )
-    weight = lambda i: F.round(F.ln((F.coalesce(F.try_element_at("m", i.cast("int")), F.lit(0)) + 1) / (F.col("total") + n)) * 1e6).cast("long")
-    return node.select("level_idx", "parent", "child", F.transform(F.sequence(F.lit(0), F.lit(n - 1)), weight).alias("w"))
+    weight = lambda n: F.round(F.ln((n + 1) / (F.col("total") + size)) * 1e6).cast("long")
+    node = node.select("level_idx", "parent", "child", F.transform(filled("cells", "code_rank", "n", size), weight).alias("w"))
+    return node.groupBy("level_idx", "parent").agg(F.sort_array(F.collect_list(F.struct("child", "w"))).alias("kids"))
 
 
-def weight_rows(weights: DataFrame) -> DataFrame:
-    """node_weights() in long form: level_idx, parent, child, code_rank, w."""
-    return weights.select("level_idx", "parent", "child", F.posexplode("w").alias("code_rank", "w"))
+def _level_weights(weights: DataFrame, level: int) -> DataFrame:
+    """One level's nodes, broadcast if they are counted to be small."""
+    mine = weights.where(F.col("level_idx") == level).drop("level_idx")
+    size = mine.agg(F.coalesce(F.sum(F.aggregate("kids", F.lit(0), lambda n, x: n + 8 * F.size(x["w"]) + 32)), F.lit(0))).first()[0]
+    return F.broadcast(mine) if size <= BROADCAST_BYTES else mine
 
 
-def descend(features: DataFrame, weights: DataFrame, threshold: float) -> DataFrame:
-    """features(read_id, win_idx, code_rank, cnt), weight_rows() -> read_id, level_idx, parent, child, votes.
+def descend(windows: DataFrame, weights: DataFrame, threshold: float) -> DataFrame:
+    """windows(read_id, win_idx, x) dealt by read_id, node_weights() stored -> read_id, level_idx, parent, child, votes.
 
     At each level every window votes for the child of the highest score (the first name where equal) under each active
-    parent; children with more than a share of their parent's votes are active next.  Reads meet only the weights of
-    their active parents, and each level's votes are cut off from their lineage.
+    parent; children with more than a share of their parent's votes are active next.  A window meets one row per active
+    parent and adds up its scores inside it.  Windows stay where they are dealt, and each level's votes are cut off from
+    their lineage.
     """
-    active = features.select("read_id").distinct().withColumn("parent", F.lit("Root"))
+    dot = lambda w: F.aggregate(F.zip_with("x", w, lambda a, b: a * b), F.lit(0).cast("long"), lambda a, b: a + b)
+    active = windows.select("read_id").distinct().withColumn("parent", F.lit("Root"))
     out = None
     for i in range(len(LEVELS)):
-        level = weights.where(F.col("level_idx") == i).drop("level_idx")
-        scored = features.join(active, "read_id").join(level, ["parent", "code_rank"])
-        scored = scored.groupBy("read_id", "win_idx", "parent", "child").agg(F.sum(F.col("cnt") * F.col("w")).alias("score"))
-        won = scored.groupBy("read_id", "win_idx", "parent").agg(F.min_by("child", F.struct((-F.col("score")).alias("s"), "child")).alias("child"))
+        met = windows.join(active, "read_id").join(_level_weights(weights, i), "parent")
+        scored = F.array_min(F.transform("kids", lambda c: F.struct((-dot(c["w"])).alias("s"), c["child"].alias("child"))))
+        won = met.select("read_id", "parent", scored["child"].alias("child"))
         votes = won.groupBy("read_id", "parent", "child").agg(F.count("*").alias("votes")).withColumn("level_idx", F.lit(i))
         votes = votes.select("read_id", "level_idx", "parent", "child", "votes").checkpoint(eager=True)
         total = F.sum("votes").over(Window.partitionBy("read_id", "parent"))

@@ -6,6 +6,8 @@ embeddings, assembly summaries from the pages.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -14,10 +16,15 @@ from ..functions import sequence as fs
 from ..functions.scores import accepts, argmax, clamp_threshold, ladder
 from ..operators import classify, consensus, manifest, models, profile, relational, report, taxonomy
 from ..operators import windows as w
+from ..operators.storage import shared_path, stored
+from ..sources import fasta, tables
+from . import pipelines
+from .params import Params
+
 SIZE, K = 300, 4
 MASK = [1, 1, 0, 1, 1]
-#: Windows of a sequence: of the flagship profile, and of queries that return each window's rows.
-MANY, FEW = 10, 4
+#: Windows of a sequence.
+MANY = 10
 KEYS = ["doc_id", "win_idx"]
 
 
@@ -30,7 +37,7 @@ def dna(spark: SparkSession, sf: str, fold: str = "plain") -> DataFrame:
     return docs(spark, sf).select("doc_id", fs.derived_sequence(F.col("text"), fold).alias("seq"))
 
 
-def wins(spark: SparkSession, sf: str, fold: str = "plain", sampling: int = FEW) -> DataFrame:
+def wins(spark: SparkSession, sf: str, fold: str = "plain", sampling: int = MANY) -> DataFrame:
     return w.windows(dna(spark, sf, fold), SIZE, sampling)
 
 
@@ -59,8 +66,13 @@ def probs(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
-def doc_profile(spark: SparkSession, sf: str, fold: str = "plain", sampling: int = FEW, pattern: list[int] | None = None, semantics: str = "reference"):
-    return profile.kmer_profile(wins(spark, sf, fold, sampling), KEYS, K, pattern or [1] * K, semantics)
+def doc_profile(spark: SparkSession, sf: str, fold: str = "plain", sampling: int = MANY, pattern: list[int] | None = None, semantics: str = "reference", deal=None):
+    return profile.kmer_profile(wins(spark, sf, fold, sampling), KEYS, K, pattern or [1] * K, semantics, deal)
+
+
+def dealt(spark: SparkSession, sf: str, fold: str = "plain") -> DataFrame:
+    """Windows dealt by their keys, so that counters of k-mers find their rows in place."""
+    return wins(spark, sf, fold).select(*KEYS, "win").repartition(*KEYS)
 
 
 # ---- SQL pieces --------------------------------------------------------------------------------------------------------
@@ -69,12 +81,12 @@ def sql_dna(fold: str = "plain") -> str:
  'ABCDEFGHIJKLMNOPQRSTUVWXYZ', '{fs.FOLDS[fold]}') as seq from documents)"""
 
 
-def sql_wins(fold: str = "plain", sampling: int = FEW) -> str:
+def sql_wins(fold: str = "plain", sampling: int = MANY) -> str:
     return f"""{sql_dna(fold)}, wins as (select doc_id, i::int as win_idx, (((length(seq) - {SIZE}) // {sampling}) * i)::int as start,
  substr(seq, ((length(seq) - {SIZE}) // {sampling}) * i + 1, {SIZE}) as win from dna, unnest(range({sampling})) as r(i) where length(seq) >= {SIZE})"""
 
 
-def sql_kmers(width: int = K, fold: str = "plain", sampling: int = FEW, short: int = 2) -> str:
+def sql_kmers(width: int = K, fold: str = "plain", sampling: int = MANY, short: int = 2) -> str:
     last = SIZE - width - short + 1
     return f"""{sql_wins(fold, sampling)}, kmers as (select doc_id, win_idx, j::int as pos, substr(win, j, {width}) as kmer
  from wins, unnest(range(1, {last} + 1)) as s(j))"""
@@ -88,12 +100,12 @@ def sql_mask(col: str, pattern: list[int]) -> str:
     return " || ".join(f"substr({col}, {i + 1}, 1)" for i, keep in enumerate(pattern) if keep)
 
 
-def sql_counts(width: int = K, fold: str = "plain", sampling: int = FEW, short: int = 2) -> str:
+def sql_counts(width: int = K, fold: str = "plain", sampling: int = MANY, short: int = 2) -> str:
     return f"""{sql_kmers(width, fold, sampling, short)}, counted as (select doc_id, win_idx, kmer, count(*) as cnt, min(pos) as first_pos
  from kmers group by all)"""
 
 
-def sql_merged(width: int = K, fold: str = "plain", sampling: int = FEW, semantics: str = "reference") -> str:
+def sql_merged(width: int = K, fold: str = "plain", sampling: int = MANY, semantics: str = "reference") -> str:
     other = "arg_max(c, o)" if semantics == "reference" else "sum(c)"
     return f"""{sql_counts(width, fold, sampling, 2 if semantics == "reference" else 0)},
  strands as (select doc_id, win_idx, 0 as s, kmer as k, cnt as c, first_pos as o from counted
@@ -102,7 +114,7 @@ def sql_merged(width: int = K, fold: str = "plain", sampling: int = FEW, semanti
   min(s * 1000000 + o) as ord from strands group by all)"""
 
 
-def sql_masked(pattern: list[int], fold: str = "plain", sampling: int = FEW, semantics: str = "reference") -> str:
+def sql_masked(pattern: list[int], fold: str = "plain", sampling: int = MANY, semantics: str = "reference") -> str:
     before = sql_merged(len(pattern), fold, sampling, semantics)
     if 0 not in pattern:
         return f"{before}, masked as (select doc_id, win_idx, kmer, cnt from merged)"
@@ -132,7 +144,7 @@ def sql_expanded(source: str) -> str:
     return ", ".join(steps)
 
 
-def sql_profile(fold: str = "plain", sampling: int = FEW, pattern: list[int] | None = None, semantics: str = "reference") -> str:
+def sql_profile(fold: str = "plain", sampling: int = MANY, pattern: list[int] | None = None, semantics: str = "reference") -> str:
     out = f"""{sql_masked(pattern or [1] * K, fold, sampling, semantics)}, kept as (select * from masked where kmer not in ({HOMO})), {sql_expanded("kept")}"""
     where = f" where kmer not in ({HOMO})" if semantics == "clean" else ""
     return f"{out}, profile as (select *, translate(kmer, 'ACGT', '0123')::bigint as code from expanded{where})"
@@ -205,7 +217,7 @@ def sql_descent(threshold: float) -> str:
 SQL_FLOWS = f"""{sql_descent(0.6)}, {SQL_TREE.replace(SQL_NAMES + ", ", "")},
  flow as (select d.read_id, d.level_idx, d.parent as source, d.child as target, d.votes::bigint as value from descent d
   where d.votes >= 2 and exists (select 1 from tree t where t.name = d.child and t.level_idx = d.level_idx + 1)
-  union all select doc_id, 0, 'Root', 'REJECTED', {FEW} from dna where length(seq) < {SIZE}),
+  union all select doc_id, 0, 'Root', 'REJECTED', {MANY} from dna where length(seq) < {SIZE}),
  totals as (select coalesce(t.level_idx, 0) as depth, coalesce(t.name, 'REJECTED') as node, sum(value)::bigint as value
   from flow f left join tree t on t.name = f.target and t.level_idx = f.level_idx + 1 group by all)"""
 
@@ -273,7 +285,7 @@ def e7(spark, sf):
 
 @query("e8_iupac", f"""with {sql_counts(K, 'iupac')}, {sql_expanded('counted')} select doc_id, win_idx, kmer, cnt from expanded""")
 def e8(spark, sf):
-    c = profile.count_kmers(w.kmers(wins(spark, sf, "iupac"), K), KEYS)
+    c = profile.count_kmers(w.kmers(dealt(spark, sf, "iupac"), K), KEYS)
     return profile.sum_expanded(c, KEYS)
 
 
@@ -312,10 +324,28 @@ SQL_MANIFEST = """lines as (select page_id as i, concat_ws(chr(9), concat('GCF_'
 @query("e14_manifest", f"""with {SQL_MANIFEST} select i, 'GCF_' || i as accession, 'https://ftp.example.org/all/GCF_' || i || '_v' || i % 4 as url,
  'https://ftp.example.org/all/GCF_' || i || '_v' || i % 4 || '/GCF_' || i || '_v' || i % 4 || '_genomic.fna.gz' as fna_url from lines where i > 0 and line like '%representative genome%'""")
 def e14(spark, sf):
+    return manifest.manifest_urls(manifest.representative_only(_lines(spark, sf), 0))
+
+
+def _lines(spark, sf):
     line = F.concat_ws("\t", F.concat(F.lit("GCF_"), "page_id"), F.when(F.col("page_id") % 3 == 0, F.lit("representative genome")).otherwise(F.lit("na")),
                        F.concat(F.lit("https://ftp.example.org/all/GCF_"), "page_id", F.lit("_v"), F.col("page_id") % 4))
-    lines = spark.read.parquet(f"{sf}/pages.parquet").select(F.col("page_id").alias("i"), line.alias("line"))
-    return manifest.manifest_urls(manifest.representative_only(lines, 0))
+    return spark.read.parquet(f"{sf}/pages.parquet").select(F.col("page_id").alias("i"), line.alias("line"))
+
+
+@query("p4_manifest", f"""with {SQL_MANIFEST}, named4 as (select doc_id, lang || '_Ph' || n % 2 || '_Gr' || n % 4 || '_Or' || n || 'ales_Gen' || n || '_sp' || doc_id || '.fna' as file_name
+  from (select *, cast(substr(source, 4) as int) as n from documents))
+ select 'GCF_' || i as accession, 'https://ftp.example.org/all/GCF_' || i || '_v' || i % 4 || '/GCF_' || i || '_v' || i % 4 || '_genomic.fna.gz' as fna_url, file_name
+ from lines join named4 on doc_id = i where i > 0 and line like '%representative genome%'""")
+def p4(spark, sf):
+    """The manifest command on a written summary and the lineages of the documents with the pages' numbers."""
+    path = shared_path(spark, "summary")
+    tables.write_manifest(_lines(spark, sf), path)
+    n, lit = _n(), F.lit
+    lineage = F.array(F.col("lang"), F.concat(lit("Ph"), n % 2), F.concat(lit("Gr"), n % 4), F.concat(lit("Or"), n, lit("ales")))
+    organism = F.concat(lit("Gen"), n, lit(" sp"), "doc_id")
+    rows = docs(spark, sf).select(F.concat(lit("GCF_"), "doc_id").alias("accession"), lineage.alias("lineage"), organism.alias("organism"))
+    return pipelines.genome_manifest(spark, path, rows).select("accession", "fna_url", "file_name")
 
 
 @query("e15_lineage", """with l as (select doc_id, lang as domain, 'Ph' || n % 2 as phylum,
@@ -368,32 +398,32 @@ def f2(spark, sf):
 
 @query("f3_homopolymer", f"with {sql_masked([1] * K)} select doc_id, win_idx, kmer, cnt from masked where kmer not in ({HOMO})")
 def f3(spark, sf):
-    c = profile.count_kmers(w.kmers(wins(spark, sf), K), KEYS)
+    c = profile.count_kmers(w.kmers(dealt(spark, sf), K), KEYS)
     return profile.drop_homopolymers(profile.merge_strands(c, KEYS).select(*KEYS, "kmer", "cnt"), K)
 
 
 # ---- counters ----------------------------------------------------------------------------------------------------------
 @query("a1_count", f"with {sql_counts()} select doc_id, win_idx, kmer, cnt, first_pos from counted")
 def a1(spark, sf):
-    return profile.count_kmers(w.kmers(wins(spark, sf), K), KEYS)
+    return profile.count_kmers(w.kmers(dealt(spark, sf), K), KEYS)
 
 
 @query("a2_strands", f"with {sql_merged(K, 'iupac')} select doc_id, win_idx, kmer, cnt from merged")
 def a2(spark, sf):
-    c = profile.count_kmers(w.kmers(wins(spark, sf, "iupac"), K), KEYS)
+    c = profile.count_kmers(w.kmers(dealt(spark, sf, "iupac"), K), KEYS)
     return profile.merge_strands(c, KEYS).drop("ord")
 
 
 def _a3(semantics):
     def run(spark, sf):
-        c = profile.count_kmers(w.kmers(wins(spark, sf), len(MASK), semantics), KEYS)
+        c = profile.count_kmers(w.kmers(dealt(spark, sf), len(MASK), semantics), KEYS)
         return profile.apply_pattern_counts(profile.merge_strands(c, KEYS, semantics), KEYS, MASK, semantics)
 
     return run
 
 
 for _s in ("reference", "clean"):
-    query(f"a3_pattern_{_s}", f"with {sql_masked(MASK, 'plain', FEW, _s)} select doc_id, win_idx, kmer, cnt from masked")(_a3(_s))
+    query(f"a3_pattern_{_s}", f"with {sql_masked(MASK, 'plain', MANY, _s)} select doc_id, win_idx, kmer, cnt from masked")(_a3(_s))
 
 
 @query("a5_profile", f"with {sql_profile('iupac', MANY)} select doc_id, win_idx, kmer, cnt, code from profile")
@@ -401,9 +431,9 @@ def a5(spark, sf):
     return profile.with_codes(doc_profile(spark, sf, "iupac", MANY))
 
 
-@query("a5_profile_clean", f"with {sql_profile('iupac', FEW, MASK, 'clean')} select doc_id, win_idx, kmer, cnt, code from profile")
+@query("a5_profile_clean", f"with {sql_profile('iupac', MANY, MASK, 'clean')} select doc_id, win_idx, kmer, cnt, code from profile")
 def a5_clean(spark, sf):
-    return profile.with_codes(doc_profile(spark, sf, "iupac", FEW, MASK, "clean"))
+    return profile.with_codes(doc_profile(spark, sf, "iupac", MANY, MASK, "clean"))
 
 
 @query("u1_add_counters", f"with {sql_profile()} select kmer, (sum(cnt) * 2)::bigint as cnt from profile group by all")
@@ -476,11 +506,14 @@ def j4(spark, sf):
 
 # ---- models and pipelines ----------------------------------------------------------------------------------------------
 def _votes(spark, sf):
-    prof = profile.with_codes(doc_profile(spark, sf)).select(F.col("doc_id").alias("read_id"), "win_idx", fs.code_rank(F.col("code"), K).alias("code_rank"), "cnt")
-    prof = prof.checkpoint(eager=True)
-    rows = prof.withColumnRenamed("read_id", "doc_id").join(named(spark, sf), "doc_id")
-    weights = relational.weight_rows(relational.node_weights(rows, K)).checkpoint(eager=True)
-    return relational.descend(prof, weights, 0.6)
+    """Votes of the relational descent: windows are counted, packed and dealt by document once and stay there."""
+    prof = profile.with_codes(doc_profile(spark, sf, deal=["doc_id"]))
+    packed = relational.vectors(prof, KEYS, K).withColumnRenamed("doc_id", "read_id").persist()
+    rows = packed.join(named(spark, sf).withColumnRenamed("doc_id", "read_id"), "read_id")
+    weights = relational.node_weights(rows, K).checkpoint(eager=True)
+    votes = relational.descend(packed, weights, 0.6)
+    packed.unpersist()
+    return votes
 
 
 @query("m5_descent_relational", f"with {sql_descent(0.6)} select read_id, level_idx, parent, child, votes from descent")
@@ -489,33 +522,167 @@ def m5(spark, sf):
 
 
 def _model_rows(spark, sf):
-    counts = profile.count_map(profile.with_codes(doc_profile(spark, sf)), KEYS)
-    return models.to_vector(counts.join(named(spark, sf), "doc_id"), K)
+    counts = profile.count_map(profile.with_codes(doc_profile(spark, sf, deal=["doc_id"])), KEYS)
+    return stored(models.to_vector(counts.join(named(spark, sf), "doc_id"), K), "model-rows")
 
 
-def _root_model(spark, sf, rows):
-    codes = taxonomy.taxa_codes(named(spark, sf))
-    return models.fit_node(rows, codes, "root", "Root", kind="gbt", rounds=3, max_depth=4), codes
+def _root_model(rows, codes):
+    """The root's model at the operator's own rounds and depth."""
+    return models.fit_node(rows, codes, "root", "Root", kind="gbt", rounds=10, max_depth=10)
 
 
-@query("m1_fit")
+SQL_WINDOWS = f"""{sql_dna()}, wins as (select doc_id, i::int as win_idx from dna, unnest(range({MANY})) as r(i) where length(seq) >= {SIZE})"""
+
+
+@query("m1_fit", f"with {SQL_CODES} select level, name, code, 10 as trees, true as grown from codes where level = 'domain'")
 def m1(spark, sf):
-    """The root's model as a table: one row per class with its ensemble's number of trees and nodes."""
-    rows = _model_rows(spark, sf).persist()
-    model, codes = _root_model(spark, sf, rows)
-    rows.unpersist()
-    trees = [(i, m.getNumTrees, m.totalNumNodes) for i, m in enumerate(model.models)]
-    got = spark.createDataFrame(trees, "code int, trees int, nodes int")
-    return codes.where("level = 'domain'").join(got, "code")
+    """The root's model as a table: one row per class with its ensemble's number of trees, and whether they have split."""
+    rows, codes = _model_rows(spark, sf), taxonomy.taxa_codes(named(spark, sf))
+    model = _root_model(rows, codes)
+    trees = [(i, m.getNumTrees, m.totalNumNodes > m.getNumTrees) for i, m in enumerate(model.models)]
+    return codes.where("level = 'domain'").join(spark.createDataFrame(trees, "code int, trees int, grown boolean"), "code")
 
 
-@query("m3_predict")
+@query("m3_predict", f"""with {SQL_WINDOWS}, {SQL_CODES}, n as (select count(*)::int as classes from codes where level = 'domain')
+ select doc_id, win_idx, classes, true as one, true as within, true as top from wins, n""")
 def m3(spark, sf):
-    """Every window's probabilities by the root's model and the class of the highest."""
-    rows = _model_rows(spark, sf).persist()
-    model, codes = _root_model(spark, sf, rows)
-    p = models.predict_node(rows.select(*KEYS, "features"), model, codes.where("level = 'domain'").count())
-    return p.select(*KEYS, "p", argmax(F.col("p")).alias("class"))
+    """Every window's probabilities by the root's model: their number, that they add up to 1, and the class of the highest."""
+    rows, codes = _model_rows(spark, sf), taxonomy.taxa_codes(named(spark, sf))
+    p = models.predict_node(rows.select(*KEYS, "features"), _root_model(rows, codes), codes.where("level = 'domain'").count())
+    total, best = F.aggregate("p", F.lit(0.0), lambda a, x: a + x), argmax(F.col("p"))
+    return p.select(
+        *KEYS, F.size("p").alias("classes"), (F.abs(total - 1) < 1e-9).alias("one"),
+        ((best >= 0) & (best < F.size("p")) & (F.array_min("p") >= 0)).alias("within"), (F.get("p", best) == F.array_max("p")).alias("top"),
+    )
+
+
+# ---- sources and sinks: derived rows written to the shared folder and read back -----------------------------------------
+def _genome_files(spark, sf):
+    """The derived sequences as FASTA files of two records, named by taxonomy; their folder."""
+    rows = dna(spark, sf).join(genome_names(spark, sf), "doc_id").where("seq != ''")
+    half = F.expr("int(length(seq) / 2)")
+    body = lambda x: F.regexp_replace(x, "(.{70})(?=.)", "$1\n")
+    content = F.concat(F.lit(">a first\n"), body(F.lower(F.substring("seq", F.lit(1), half))), F.lit("\n>b second\n"), body(F.substring("seq", half + 1, F.length("seq"))), F.lit("\n"))
+    folder = shared_path(spark, "genomes")
+    fasta.write_fasta(rows.select(F.substring_index("path", "/", -1).alias("file"), content.alias("content")), folder).collect()
+    return folder
+
+
+def _read_files(spark, sf):
+    """The derived sequences as FASTA files of reads, every tenth with an earlier record of its id; their folder."""
+    rows = dna(spark, sf).select(F.concat(F.lit("r"), "doc_id", F.lit(" of documents")).alias("read_id"), "seq", "doc_id")
+    again = F.concat(F.lit("AC\n>"), F.col("read_id"), F.lit("\n"), F.col("seq"))
+    folder = shared_path(spark, "reads")
+    fasta.write_reads(rows.withColumn("seq", F.when(F.col("doc_id") % 10 == 0, again).otherwise(F.col("seq"))), folder)
+    return folder
+
+
+SQL_FILES = f"""{SQL_NAMES}, {sql_dna()}, files as (select doc_id, concat_ws('_', domain, phylum, "group", "order", family, 'sp' || doc_id) || '.fna' as file, seq
+ from named join dna using (doc_id) where seq <> '')"""
+
+
+@query("s1_genomes", f"with {SQL_FILES} select file, row_number() over (order by file) - 1 as file_ord, length(seq)::int as len, md5(seq) as sum from files")
+def s1(spark, sf):
+    got = fasta.read_genomes(spark, _genome_files(spark, sf))
+    return got.select(F.substring_index("path", "/", -1).alias("file"), "file_ord", F.length("seq").alias("len"), F.md5("seq").alias("sum"))
+
+
+@query("s2_reads", f"with {sql_dna()} select 'r' || doc_id as read_id, length(seq)::int as len, md5(seq) as sum from dna")
+def s2(spark, sf):
+    got = fasta.read_reads(spark, _read_files(spark, sf))
+    return got.select("read_id", F.length("seq").alias("len"), F.md5("seq").alias("sum"))
+
+
+@query("k1_features", f"""with {sql_profile()}, {SQL_NAMES} select domain, family, win_idx, count(*) as entries, sum(cnt)::bigint as total, sum(code * cnt)::bigint as weighted
+ from profile join named using (doc_id) group by all""")
+def k1(spark, sf):
+    counts = profile.count_map(profile.with_codes(doc_profile(spark, sf)), KEYS).join(named(spark, sf), "doc_id")
+    db = shared_path(spark, "features")
+    tables.write_features(counts, db)
+    rows = profile.explode_map(tables.read_features(spark, db), ["domain", "family", "win_idx"])
+    return rows.groupBy("domain", "family", "win_idx").agg(F.count("*").alias("entries"), F.sum("cnt").alias("total"), F.sum(F.col("code") * F.col("cnt")).alias("weighted"))
+
+
+@query("k2_libsvm", f"""with {sql_profile()}, {SQL_CODES}, {SQL_ENCODER}, l as (select doc_id, code as label from named join codes on level = 'family' and name = family)
+ select label, count(distinct (doc_id, win_idx)) as n, sum(cnt)::bigint as total, sum(code_rank * cnt)::bigint as ranked from profile join words using (code) join l using (doc_id) group by all""")
+def k2(spark, sf):
+    from pyspark.ml.functions import vector_to_array
+
+    names = named(spark, sf)
+    rows = taxonomy.label_rows(_model_rows(spark, sf), taxonomy.taxa_codes(names), "family")
+    path = shared_path(spark, "libsvm")
+    tables.write_libsvm(rows, path)
+    x = tables.read_libsvm(spark, path, 4**K).select(F.col("label").cast("int").alias("label"), vector_to_array("features").alias("x"))
+    total = lambda f: F.aggregate(F.transform("x", f), F.lit(0.0), lambda a, b: a + b).cast("long")
+    return x.groupBy("label").agg(F.count("*").alias("n"), F.sum(total(lambda v: v)).alias("total"), F.sum(total(lambda v, i: v * i)).alias("ranked"))
+
+
+@query("k3_report", f"""with {sql_descent(0.6)} select 'r' || read_id as read_id, 'OK' as status, level_idx, parent, child, votes::bigint as votes from descent
+ union all select 'r' || doc_id, 'REJECTED', null, null, null, null from dna where length(seq) < {SIZE}""")
+def k3(spark, sf):
+    path = shared_path(spark, "report")
+    tables.write_report(_report(spark, sf), path)
+    rows = tables.read_report(spark, path)
+    name = F.concat(F.lit("r"), "read_id").alias("read_id")
+    found = report.report_rows(rows).select(name, F.lit("OK").alias("status"), "level_idx", F.col("source").alias("parent"), F.col("target").alias("child"), F.col("value").alias("votes"))
+    return found.unionByName(rows.where("status is not null").select(name, "status"), allowMissingColumns=True)
+
+
+@query("k5_taxon_counts", f"with {SQL_FLOWS} select * from totals")
+def k5(spark, sf):
+    path = shared_path(spark, "taxon-counts")
+    tables.write_taxon_counts(report.taxon_totals(*_flows(spark, sf)), path)
+    return spark.read.schema("depth int, node string, value long").json(path)
+
+
+@query("s6_manifest", f"with {SQL_MANIFEST} select row_number() over (order by i) - 1 as i, line from lines")
+def s6(spark, sf):
+    path = shared_path(spark, "manifest")
+    tables.write_manifest(_lines(spark, sf), path)
+    return tables.read_manifest(spark, path)
+
+
+# ---- commands ----------------------------------------------------------------------------------------------------------
+#: Small forests keep the command's hundred-odd fits short; the model's own size is M1's.
+SMALL = {"kind": "forest", "rounds": 2, "max_depth": 4}
+PARAMS = Params(read_size=SIZE, ksize=K, sampling=MANY, semantics="clean")
+
+
+def _database(spark, sf):
+    """A database built from the FASTA files by the build command: its path, and its registry."""
+    db = shared_path(spark, "database")
+    return db, pipelines.build(spark, _genome_files(spark, sf), db, PARAMS, **SMALL)
+
+
+SQL_BUILT = f"""{SQL_FILES}, used as (select n.*, f.file from named n join files f using (doc_id) where length(seq) >= {SIZE}),
+ kids as (select 'root' as level, 'Root' as name, domain as child from used union select 'domain', domain, phylum from used union select 'phylum', phylum, "group" from used
+  union select 'group', "group", "order" from used union select 'order', "order", family from used),
+ nodes as (select level, name, count(*) as kids, min(child) as child from kids group by all)"""
+
+
+@query("p1_build", f"""with {SQL_BUILT}, leaves as (select distinct 'family' as level, family as name from used)
+ select level, name, kids > 1 as trained, case when kids = 1 then child end as only_child from nodes union all select level, name, false, null from leaves""")
+def p1(spark, sf):
+    registry = _database(spark, sf)[1]
+    return registry.select("level", "name", F.col("model_path").isNotNull().alias("trained"), "only_child")
+
+
+@query("p2_predict", f"""with {sql_dna()} select 'r' || doc_id as read_id, case when length(seq) < {SIZE} then 'REJECTED' end as status,
+ length(seq) >= {SIZE} as voted, true as within, true as descends from dna""")
+def p2(spark, sf):
+    """Reads by the predict command: status, whether the root has votes, that votes are at most the windows, and that only
+    children that had votes are parents below."""
+    rows = pipelines.predict(spark, _database(spark, sf)[0], _read_files(spark, sf), shared_path(spark, "report"), PARAMS)
+    level = lambda i: F.element_at("levels", i + 1)
+    votes = lambda m: F.flatten(F.transform(F.map_values(m), lambda v: F.map_values(v)))
+    names = lambda m: F.flatten(F.transform(F.map_values(m), lambda v: F.map_keys(v)))
+    below = lambda a, b: F.size(F.array_except(F.map_keys(b), names(a))) == 0
+    most = [F.forall(F.transform(F.map_values(level(i)), lambda v: F.aggregate(F.map_values(v), F.lit(0).cast("long"), lambda a, x: a + x)), lambda n: n <= MANY) for i in range(5)]
+    ok = lambda c: F.coalesce(c, F.lit(True))
+    return rows.select(
+        "read_id", "status", F.coalesce(F.size(votes(level(0))) > 0, F.lit(False)).alias("voted"),
+        ok(reduce(lambda a, b: a & b, most)).alias("within"), ok(reduce(lambda a, b: a & b, (below(level(i), level(i + 1)) for i in range(4)))).alias("descends"),
+    )
 
 
 def _report(spark, sf):
@@ -526,10 +693,10 @@ def _report(spark, sf):
 
 def _flows(spark, sf):
     rows, taxa = _report(spark, sf), taxonomy.taxa_tree(named(spark, sf))
-    return report.flows(report.report_rows(rows), rows, taxa, cutoff=2, reads_per_sample=FEW, show_rejected=True), taxa
+    return report.flows(report.report_rows(rows), rows, taxa, cutoff=2, reads_per_sample=MANY, show_rejected=True), taxa
 
 
-@query("p3_flows", f"with {SQL_FLOWS} select *, value / {FEW}.0::double * 100 as percent from flow")
+@query("p3_flows", f"with {SQL_FLOWS} select *, value / {MANY}.0::double * 100 as percent from flow")
 def p3(spark, sf):
     return _flows(spark, sf)[0]
 

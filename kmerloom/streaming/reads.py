@@ -2,12 +2,17 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..plans.params import Params
 from ..plans.pipelines import predict
 
+#: Files that one reader takes.
+FILES = 10_000
+
 
 def predict_stream(spark: SparkSession, db: str, folder: str, out: str, checkpoint: str, params: Params):
     """A streaming query over new read files under folder; reports are written under out, a folder per batch.
@@ -22,10 +27,9 @@ def predict_stream(spark: SparkSession, db: str, folder: str, out: str, checkpoi
         if paths:
             from ..sources.fasta import read_reads
 
-            reads = None
-            for p in paths:
-                one = read_reads(spark, p)
-                reads = one if reads is None else reads.unionByName(one)
+            # One reader for a group of files, so the plan doesn't grow with their number.
+            groups = [read_reads(spark, paths[at : at + FILES]) for at in range(0, len(paths), FILES)]
+            reads = reduce(DataFrame.unionByName, groups)
             predict(spark, db, reads, f"{out}/batch={number}", params)
 
     return named.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()

@@ -1,7 +1,11 @@
 """The commands on what they once left out."""
 
+import pytest
+from pyspark.ml.linalg import SparseVector
 from test_pipelines import PARAMS, fasta_text, folders  # noqa: F401
 
+from kmerloom.operators import models, report
+from kmerloom.plans.params import Params
 from kmerloom.plans.pipelines import build, predict, report_tables
 from kmerloom.sources import tables
 
@@ -22,3 +26,51 @@ def test_reads_descend_through_single_children(spark, folders, tmp_path):  # noq
             assert got[4][f"D{d}o"].keys() <= {f"D{d}f0", f"D{d}f1"}
     flow, _ = report_tables(tables.read_taxa(spark, db)[0], out, cutoff=1, reads_per_sample=PARAMS.sampling)
     assert {"Dap", "Dag", "Dao"} <= {x for r in flow.collect() for x in map(str, r)}
+
+
+def test_wide_features_are_sparse(spark):
+    """Beyond k = 6 the vectors are sparse, with the same numbers."""
+    counts = [({0: 2, 3333333: 1, 12: 5}, "a"), ({}, "b"), ({1: 1}, "c")]
+    frame = spark.createDataFrame(counts, "counts map<bigint,bigint>, name string")
+    got = {r["name"]: r["features"] for r in models.to_vector(frame, 7).collect()}
+    assert all(isinstance(v, SparseVector) and v.size == 4**7 for v in got.values())
+    assert {n: dict(zip(v.indices.tolist(), v.values.tolist())) for n, v in got.items()} == {"a": {0: 2.0, 6: 5.0, 4**7 - 1: 1.0}, "b": {}, "c": {1: 1.0}}
+
+
+def test_a_failed_fit_is_a_row_without_a_path(spark, tmp_path, monkeypatch):
+    rows = spark.createDataFrame([({0: 1}, "a", "p"), ({1: 1}, "b", "q"), ({1: 2}, "b", "r")], "counts map<bigint,bigint>, domain string, phylum string")
+    codes = spark.createDataFrame([("domain", "a", 0), ("domain", "b", 1), ("phylum", "p", 0), ("phylum", "q", 1), ("phylum", "r", 2)], "level string, name string, code int")
+    fit = models.fit_node
+
+    def broken(df, codes, level, name, **params):
+        if name == "b":
+            raise RuntimeError("bad training set")
+        return fit(df, codes, level, name, **params)
+
+    monkeypatch.setattr(models, "fit_node", broken)
+    got = models.fit_all(models.to_vector(rows, 3), codes, [("root", "Root"), ("domain", "a"), ("domain", "b")], str(tmp_path), kind="forest", rounds=1, max_depth=2)
+    assert [(level, name, model is not None, path is not None) for level, name, model, path in got] == [("root", "Root", True, True), ("domain", "a", False, False), ("domain", "b", False, False)]
+    with pytest.raises(ValueError):
+        models.fit_all(rows, codes, [("family", "x")])
+    with pytest.raises(ValueError):
+        models.fit_all(rows, codes, [("root", "Root")], kind="unknown")
+
+
+def test_two_parents_fail_a_clean_build(spark, tmp_path):
+    genomes = spark.createDataFrame([(f"x/D{i}_P_G_O_F{i}_s.fna", i, "ACGT" * 100) for i in range(2)], "path string, file_ord long, seq string")
+    with pytest.raises(ValueError, match="several parents.*phylum.*p"):
+        build(spark, genomes, str(tmp_path / "db"), Params(read_size=300, sampling=2, semantics="clean"))
+
+
+def test_manifest_lines_keep_their_numbers(spark, tmp_path):
+    frame = spark.range(5000).selectExpr("id as i", "concat('line ', id) as line").repartition(5)
+    tables.write_manifest(frame, str(tmp_path / "m"))
+    assert sorted(map(tuple, tables.read_manifest(spark, str(tmp_path / "m")).collect())) == [(i, f"line {i}") for i in range(5000)]
+
+
+def test_rejected_reads_can_be_left_out(spark):
+    taxa = spark.createDataFrame([(1, "A")], "level_idx int, name string")
+    rows = spark.createDataFrame([("r", None, [{"Root": {"A": 5}}]), ("s", "REJECTED", None)], "read_id string, status string, levels array<map<string,map<string,bigint>>>")
+    for show, want in ((False, {("r", "A", 5)}), (True, {("r", "A", 5), ("s", "REJECTED", 9)})):
+        got = report.flows(report.report_rows(rows), rows, taxa, 1, 9, show)
+        assert {(r.read_id, r.target, r.value) for r in got.collect()} == want
