@@ -7,6 +7,9 @@ of the templates and, for each other word, the mean idf of the templates' words
 document frequencies over all files.  A unit takes the template of the highest cosine, the first id where equal; a file
 takes its best unit's if the cosine reaches CUT.
 
+The whole texts of licence files are also held against whole LICENCES, by the cosine over all words; one that reaches CUT goes
+before notices, which licences share.
+
 Prefix filtering: per template, words in falling weight are set aside until the rest can't reach CUT alone; a unit
 without any word set aside by some template can't match and goes no further.  So few lines are exploded, however many there are.
 Runs of words are looked for only in stretches that hold such a word; a run goes on if its cosine could reach CUT with
@@ -22,6 +25,7 @@ null ids and paths are judged each by their own text.  An empty table gives no r
 
 from __future__ import annotations
 
+import math
 import re
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -29,7 +33,7 @@ from pyspark.sql import functions as F
 
 from .common import small_side, stored
 
-#: Licence notices by SPDX id; several texts for an id are several templates.  Whole licences are known by their titles and notices.
+#: Licence notices by SPDX id; several texts for an id are several templates.
 TEMPLATES = (
     ("Apache-2.0", "Licensed under the Apache License, Version 2.0."),
     ("Apache-2.0", "Licensed under the Apache License, Version 2.0 (the License); you may not use this file except in compliance with the License."),
@@ -57,6 +61,44 @@ TEMPLATES = (
     ("CC-BY-NC-4.0", "Licensed under CC BY-NC 4.0."),
     ("CC-BY-NC-4.0", "This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License."),
 )
+_MIT_TERMS = (
+    "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the \"Software\"), "
+    "to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, "
+    "and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions: "
+    "The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software. "
+    "THE SOFTWARE IS PROVIDED \"AS IS\", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, "
+    "FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER "
+    "LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN "
+    "THE SOFTWARE."
+)
+_BSD_HEAD = (
+    "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: "
+    "1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer. "
+    "2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation "
+    "and/or other materials provided with the distribution. "
+)
+_BSD_NAMES = (
+    "3. Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software "
+    "without specific prior written permission. "
+)
+_BSD_END = (
+    "THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS \"AS IS\" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE "
+    "IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED. IN NO EVENT SHALL THE COPYRIGHT HOLDER OR CONTRIBUTORS BE "
+    "LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES (INCLUDING, BUT NOT LIMITED TO, PROCUREMENT OF SUBSTITUTE "
+    "GOODS OR SERVICES; LOSS OF USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION) HOWEVER CAUSED AND ON ANY THEORY OF LIABILITY, WHETHER IN CONTRACT, STRICT "
+    "LIABILITY, OR TORT (INCLUDING NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT OF THE USE OF THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE."
+)
+#: Texts of whole licences by SPDX id: public notices, held against the whole texts of licence files only.
+LICENCES = (
+    ("MIT", _MIT_TERMS),
+    ("BSD-2-Clause", _BSD_HEAD + _BSD_END),
+    ("BSD-3-Clause", _BSD_HEAD + _BSD_NAMES + _BSD_END),
+    ("ISC", "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above "
+     "copyright notice and this permission notice appear in all copies. THE SOFTWARE IS PROVIDED \"AS IS\" AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH REGARD TO "
+     "THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS. IN NO EVENT SHALL THE AUTHOR BE LIABLE FOR ANY SPECIAL, DIRECT, INDIRECT, OR "
+     "CONSEQUENTIAL DAMAGES OR ANY DAMAGES WHATSOEVER RESULTING FROM LOSS OF USE, DATA OR PROFITS, WHETHER IN AN ACTION OF CONTRACT, NEGLIGENCE OR OTHER TORTIOUS "
+     "ACTION, ARISING OUT OF OR IN CONNECTION WITH THE USE OR PERFORMANCE OF THIS SOFTWARE."),
+)
 #: Least cosine of a match.
 CUT = 0.75
 LICENSE_NAME = "(?i)^(licen[sc]e|copying|notice)"
@@ -79,8 +121,6 @@ def _weights(spark: SparkSession, files: DataFrame, templates) -> tuple[DataFram
     seen = files.select(F.explode(F.array_intersect(_words(F.col("text")), known)).alias("word"))
     counts = {r["word"]: r["n"] for r in seen.groupBy("word").agg(F.count("*").alias("n")).collect()}  # at most the templates' words
     total = files.count()
-    import math
-
     idf = {w: math.log((total + 1) / (counts.get(w, 0) + 1)) + 1 for w in vocab}
     rows, runs, ahead = [], [], set()
     for k, (lic, text) in enumerate(templates):
@@ -122,17 +162,43 @@ def _runs(texts: DataFrame, plan: DataFrame, idf: dict[str, float], ahead: list[
     return each.select("row", "template", "w", "n", F.explode(may).alias("s")).select("row", "template", F.slice("w", F.col("s"), F.col("n")).alias("w"))
 
 
-def own_licenses(files: DataFrame, templates=TEMPLATES) -> tuple[DataFrame, DataFrame]:
+def _whole_licences(texts: DataFrame, licences, first: int) -> DataFrame:
+    """texts(row, text) of licence files -> row, score, t, license: cosines of whole texts to whole licences of at least CUT.
+
+    idf comes from the licences' own words and is the same for all others, so the words that set licences apart weigh most.
+    """
+    vocab = [words(t) for _, t in licences]
+    idf = {w: math.log((len(vocab) + 1) / (sum(w in set(v) for v in vocab) + 1)) + 1 for v in vocab for w in v}
+    rows = []
+    for k, (w, (lic, _)) in enumerate(zip(vocab, licences, strict=True)):
+        raw = {x: w.count(x) * idf[x] for x in dict.fromkeys(w)}
+        norm = math.sqrt(sum(v * v for v in raw.values()))
+        rows += [(-(first + k), lic, x, v / norm) for x, v in raw.items()]
+    spark = texts.sparkSession
+    weights = spark.createDataFrame(rows, "t int, license string, word string, weight double")
+    costs = spark.createDataFrame(list(idf.items()), "word string, idf double")
+    terms = texts.select("row", F.explode(_words(F.col("text"))).alias("word")).groupBy("row", "word").agg(F.count("*").alias("tf"))
+    terms = terms.join(F.broadcast(costs), "word", "left").withColumn("value", F.col("tf") * F.coalesce("idf", F.lit(1.0)))
+    norms = terms.groupBy("row").agg(F.sqrt(F.sum(F.col("value") * F.col("value"))).alias("norm"))
+    dots = terms.join(F.broadcast(weights), "word").groupBy("row", "t", "license").agg(F.sum(F.col("value") * F.col("weight")).alias("dot"))
+    score = F.round(F.col("dot") / F.col("norm"), 6)
+    return dots.join(norms, "row").select("row", score.alias("score"), "t", "license").where(F.col("score") >= CUT)
+
+
+def own_licenses(files: DataFrame, templates=TEMPLATES, licences=LICENCES) -> tuple[DataFrame, DataFrame]:
     """files(id, path, text) -> two stored tables: (row, id, path), one row per row of files; (row, path, license, score), one
     row per row of files whose best unit reaches CUT."""
     spark = files.sparkSession
     weights, plan, idfs, ahead, other = _weights(spark, files, templates)
     hint = "(?i)\\b(" + "|".join(ahead) + ")\\b" if ahead else "(?!)"
     # A cheap test on whole texts first, then on lines; both only leave out what can't match.
-    keyed = files.select(F.monotonically_increasing_id().alias("row"), "id", "path", F.when(F.col("text").rlike(hint), F.col("text")).alias("text"))
-    keyed = stored(keyed, "license-files")
-    texts = keyed.where("text is not null")
     named = F.regexp_extract(F.col("path"), "([^/]*)$", 1).rlike(LICENSE_NAME)
+    keyed = files.select(
+        F.monotonically_increasing_id().alias("row"), "id", "path", F.when(F.col("text").rlike(hint), F.col("text")).alias("text"),
+        F.when(named, F.col("text")).alias("whole"),
+    )
+    keyed = stored(keyed, "license-files")
+    texts = keyed.where("text is not null").drop("whole")
     lines = F.split(F.col("text"), "\n")
     units = F.when(named, F.concat(F.array("text"), lines)).otherwise(lines)
     rows = texts.select("row", F.explode(units).alias("unit")).where(F.col("unit").rlike(hint))
@@ -156,7 +222,9 @@ def own_licenses(files: DataFrame, templates=TEMPLATES) -> tuple[DataFrame, Data
     scored = dots.join(inner, "u").withColumn("score", F.round(F.col("dot") / F.sqrt("norm2"), 6)).where(F.col("score") >= CUT)
     scored = stored(scored.select("u", "template", "score", (-F.col("template")).alias("t"), "license"), "unit-scores")
     found = rows.select("row", "only", "u").join(small_side(scored, 64), "u").where("only is null or only = template")
-    best = found.groupBy("row").agg(F.max(F.struct("score", "t", "license")).alias("b"))
+    whole = _whole_licences(keyed.where("whole is not null").select("row", F.col("whole").alias("text")), licences, len(templates))
+    found = found.select("row", F.lit(0).alias("whole"), "score", "t", "license").unionByName(whole.withColumn("whole", F.lit(1)))
+    best = found.groupBy("row").agg(F.max(F.struct("whole", "score", "t", "license")).alias("b"))
     best = best.join(keyed.select("row", "path"), "row").select("row", "path", "b.license", "b.score")
     return keyed.select("row", "id", "path"), stored(best, "own-licenses")
 
@@ -165,9 +233,9 @@ def _directory(path: Column) -> Column:
     return F.regexp_extract(path, "^(.*)/[^/]*$", 1)
 
 
-def scan(files: DataFrame, templates=TEMPLATES) -> DataFrame:
+def scan(files: DataFrame, templates=TEMPLATES, licences=LICENCES) -> DataFrame:
     """files(id, path, text) -> (id, path, own_license, score, license, inherited_from), one row per row of files."""
-    every, own = own_licenses(files, templates)
+    every, own = own_licenses(files, templates, licences)
     named = F.regexp_extract(F.col("path"), "([^/]*)$", 1).rlike(LICENSE_NAME)
     dirs = own.where(named).select(_directory(F.col("path")).alias("dir"), "path", "license", "score")
     dirs = dirs.groupBy("dir").agg(F.min_by("license", F.struct((-F.col("score")).alias("s"), "path")).alias("dir_license"))

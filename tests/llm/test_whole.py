@@ -83,7 +83,7 @@ def test_packing_keeps_every_source_a_queue(spark, monkeypatch):
     tok = public_tokenizers.path("byte_bpe_50k.json")
     rows = [(i, "w x y z " * (1 + i * 7 % 40), f"host{i % 13}" if i % 14 else None) for i in range(90)] + [(90, "long text " * 6000, "host3"), (91, None, "host4")]
     docs = spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(5, "doc_id")
-    docs = docs.localCheckpoint()
+    docs = docs.checkpoint()
     targets = {"host1": 0.5, "host2": 0.2, None: 0.1}
     key = lambda ps: sorted(map(str, ps))
     for given in (None, targets):
