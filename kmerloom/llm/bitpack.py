@@ -131,7 +131,7 @@ def _write_files(path: str, tokenizer: str, end_id: int):
             docs, counts, raw, total, seq = [], [], [], 0, seq + 1
             return row
 
-        for batch in slices(batches, "text"):
+        for batch in slices(batches, "text", 2 << 20):
             ids, sizes = enc.encode_closed(column(batch, "text"), end_id)
             doc, ends, at = column(batch, "doc_id").to_pylist(), np.cumsum(sizes), 0
             while at < len(doc):  # as many documents as fill the file

@@ -21,6 +21,8 @@ LOWER_ALNUM = bytes(
 BLANK = "[\\x20\\x09-\\x0D]"
 #: A side of at most this many bytes may be broadcast; larger sides take the shuffle path.
 BROADCAST_BYTES = 32 << 20
+#: Rows of an Arrow batch.
+BATCH_CONF, ROWS_PER_BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch", "2000"
 #: A key with more than this share of a table's rows, and more than so many, is joined by broadcast.
 HOT_SHARE, HOT_ROWS = 0.001, 4096
 
@@ -86,7 +88,15 @@ def fresh(df: DataFrame, *names: str) -> list[str]:
 
 
 def map_arrow(df: DataFrame, fn: Callable[[Iterator[pa.RecordBatch]], Iterable[pa.RecordBatch]], schema: str) -> DataFrame:
-    """mapInArrow; what a task has freed goes back to the system at its end, as idle Python workers stay."""
+    """mapInArrow in batches of few rows, as texts are long; what a task has freed goes back to the system at its end, as idle
+    Python workers stay.
+
+    Spark takes the rows of a batch from the session when the plan runs, so the session gets ROWS_PER_BATCH if it names
+    no number itself.
+    """
+    conf = df.sparkSession.conf
+    if BATCH_CONF not in conf.getAll:
+        conf.set(BATCH_CONF, ROWS_PER_BATCH)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield from fn(batches)

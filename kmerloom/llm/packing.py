@@ -118,7 +118,7 @@ def encode_documents(docs: DataFrame, tokenizer: str, end_id: int) -> DataFrame:
         enc = encoder(tokenizer)
         kind = "<u2" if max(enc.vocab, end_id + 1) <= 1 << 16 else "<u4"
         part, ahead = TaskContext.get().partitionId(), {}
-        for batch in slices(batches, "text"):
+        for batch in slices(batches, "text", 2 << 20):
             sources = column(batch, "source").to_pylist()
             ids, counts = enc.encode_closed(column(batch, "text"), end_id)
             ids = np.ascontiguousarray(ids.astype(kind))

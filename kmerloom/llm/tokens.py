@@ -18,7 +18,9 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 #: Parts that one Python process remembers, about 40 bytes each; further ones are encoded each time. This bounds memory, not results.
-CACHE_PARTS = 2_000_000
+CACHE_PARTS = 1_000_000
+#: Ids of remembered parts in all.
+CACHE_IDS = 1 << 24
 #: First parts of texts that it remembers.
 CACHE_HEADS = 50_000
 #: Literal strings of special tokens that the library looks for in a text; such texts take the plain path.
@@ -64,7 +66,7 @@ class _Known:
 
     def __init__(self):
         self.hash, self.check = np.empty(0, dtype=np.uint64), np.empty(0, dtype=np.uint64)
-        self.at, self.size = np.empty(0, dtype=np.int64), np.empty(0, dtype=np.int32)
+        self.at, self.size = np.empty(0, dtype=np.int32), np.empty(0, dtype=np.int32)
         self.ids, self.used = np.empty(1 << 16, dtype="<u4"), 0
 
     def find(self, hashes: np.ndarray, checks: np.ndarray) -> np.ndarray:
@@ -80,7 +82,7 @@ class _Known:
         spot = np.searchsorted(self.hash, hashes)
         new = np.ones(len(hashes), dtype=bool) if not len(self.hash) else self.hash[np.minimum(spot, len(self.hash) - 1)] != hashes
         new &= np.cumsum(new) <= CACHE_PARTS - len(self.hash)
-        if not new.any():
+        if not new.any() or self.used + len(ids) > CACHE_IDS:
             return
         while self.used + len(ids) > len(self.ids):
             self.ids = np.concatenate([self.ids, np.empty_like(self.ids)])
@@ -93,7 +95,7 @@ class _Known:
 
     def rows(self, entries: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Ids of entries in a row, and the number of ids of each."""
-        size, at = self.size[entries].astype(np.int64), self.at[entries]
+        size, at = self.size[entries].astype(np.int64), self.at[entries].astype(np.int64)
         ahead = np.cumsum(size) - size
         return self.ids[np.repeat(at - ahead, size) + np.arange(int(size.sum()))], size
 
