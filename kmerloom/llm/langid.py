@@ -2,7 +2,7 @@
 
 A text's features are the sets of its letter n-grams of 1 to 3 (word ends included).  The kernel of two texts is the number of
 n-grams in both, over the root of the product of their numbers (blended spectrum, presence, normalised).  LANDMARKS
-training texts span the Nystroem features K(x, landmarks) K_mm^(-1/2); a ridge regression with targets 1 and -1 per language is one-versus-rest
+(or, if more, as many as there are languages) training texts span the Nystroem features K(x, landmarks) K_mm^(-1/2); a ridge regression with targets 1 and -1 per language is one-versus-rest
 kernel ridge regression in that space.  Scoring is two matrix products per batch of texts: presence by landmarks, then
 by weights.
 
@@ -98,7 +98,7 @@ class Model:
         # Landmarks: in turn from each language, in the sample's order.
         by = {lang: [i for i, x in enumerate(langs) if x == lang and len(sets[i])] for lang in self.langs}
         turn = [i for row in zip(*([*v, *[None] * (len(texts) - len(v))] for v in by.values()), strict=True) for i in row if i is not None]
-        chosen = turn[:landmarks]
+        chosen = turn[: max(landmarks, len(self.langs))]  # at least one of each language
         if not chosen:
             self.langs = []
             return

@@ -95,3 +95,10 @@ def test_packing_keeps_every_source_a_queue(spark, monkeypatch):
         check_pieces(docs.collect(), got, 64)
         assert {(p.doc_id, p.source) for p in got} == {(d, s) for d, _, s in rows}
         assert key(got) == key(want)
+
+
+def test_every_language_has_a_landmark():
+    texts = [f"{c}{c}{d} {c}{d}{c} {d}{c}" * 3 for c in "abcdefgh" for d in "xyz"]
+    langs = [t[0] for t in texts]
+    model = langid.Model(texts, langs, landmarks=3)
+    assert len(model.norms) == 8 and model.predict(texts)[0] == langs
