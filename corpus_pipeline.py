@@ -1,6 +1,11 @@
 """The corpus pipeline: quality rules, near-dedup, suffix-array dedup, benchmark decontamination, packing.
 
-Each stage takes (spark, docs, sf_dir) and returns a DataFrame; all but the last keep the columns of documents.
+Each stage takes (spark, docs, sf_dir) and returns a DataFrame; all but the last keep the columns of documents, whatever
+further ones there are and whatever their names.
+
+Null text: no words, so the quality rules reject the row.  Null language or source: a group and a queue of their own.  Null or
+repeated ids: rows are told apart by row numbers; of equal texts one row stays, and it may be one with a null id only if its group has
+no other.  Texts of any length are taken whole.  Ties: the smallest id, or the first place, stays.  An empty table gives no pieces.
 """
 
 from __future__ import annotations
