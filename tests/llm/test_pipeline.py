@@ -9,6 +9,8 @@ from test_decontam import brute as brute_hits  # noqa: E402
 from test_near import brute_cut, brute_groups  # noqa: E402
 from test_tokens import check_pieces  # noqa: E402
 
+from pyspark.sql import functions as F  # noqa: E402
+
 import corpus_pipeline  # noqa: E402
 from kmerloom.llm.common import stored  # noqa: E402
 from kmerloom.llm.quality import OP9_SQL  # noqa: E402
@@ -39,3 +41,41 @@ def test_stages(spark, sf):
     assert docs.where("n_chars <> char_length(text)").isEmpty()
     pieces = corpus_pipeline.STAGES[-1][1](spark, docs, sf).collect()
     check_pieces(docs.collect(), pieces, 2048)
+
+
+def prose(rng, n):
+    return " ".join("".join(rng.choice("abcdefghijklmnop") for _ in range(rng.randrange(2, 9))) for _ in range(n))
+
+
+def test_odd_tables(spark, sf, tmp_path):
+    """Null ids, texts, languages and sources, repeated ids and rows, a very long text, columns by internal names, and no rows."""
+    import random
+
+    rng = random.Random(5)
+    passage, texts = prose(rng, 80), [prose(rng, 120) for _ in range(60)]
+    items = [(1, prose(rng, 30)), (None, prose(rng, 20)), (2, None)]
+    rows = [(i, f"{t} {passage} {prose(rng, 30)}" if i % 9 == 0 else t, "en" if i % 7 else None, "s1" if i % 5 else None) for i, t in enumerate(texts)]
+    rows += [(None, texts[1], "en", "s1"), (3, texts[2], "en", "s1"), (3, prose(rng, 100), "en", "s1"), (None, prose(rng, 90), None, None), (70, None, "en", "s1"), (71, "", "en", "s1")]
+    rows += [(80, prose(rng, 90_000), "en", "s1"), (81, items[0][1] + " " + prose(rng, 60), "en", "s1")]
+    names = ("__key", "__text", "__fp", "__root", "__component", "__spans", "__words", "__matches", "__id", "kept", "key")
+    frame = spark.createDataFrame([(*r, len(r[1] or ""), i) for i, r in enumerate(rows)], "doc_id long, text string, lang string, source string, n_chars long, row long")
+    frame = frame.select("*", *(F.col("row").alias(n) for n in names))
+    frame.repartition(4).write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame(items, "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    docs = spark.read.parquet(f"{tmp_path}/documents.parquet")
+    seen = {r.row: r for r in docs.collect()}
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        docs = stored(stage(spark, docs, str(tmp_path)), "odd-stage")
+        assert docs.columns == frame.columns, name
+        got = docs.collect()
+        assert len({r.row for r in got}) == len(got) and all({r[n] for n in names} == {r.row} for r in got), name
+    left = {r.row: r for r in got}
+    gone = {i for i, r in enumerate(rows) if not r[1]} | {61, len(rows) - 1}
+    assert {60, 61} & left.keys() == set() and 1 in left and not gone - {61} & left.keys()
+    assert all(left[i].doc_id == seen[i].doc_id and left[i].n_chars == len(left[i].text) for i in left)
+    assert len(rows) - 2 in left and sum(passage in r.text for r in left.values()) == 1
+    pieces = corpus_pipeline.run(spark, str(tmp_path)).collect()
+    assert sum(p.length for p in pieces if p.start == 0) > 0 and {p.doc_id for p in pieces} == {r.doc_id for r in left.values()}
+    frame.limit(0).write.parquet(f"{tmp_path}/none/documents.parquet")
+    spark.createDataFrame(items, "item_id long, text string").write.parquet(f"{tmp_path}/none/benchmark.parquet")
+    assert corpus_pipeline.run(spark, f"{tmp_path}/none").count() == 0
