@@ -45,8 +45,9 @@ def _n():
     return F.expr("cast(substr(source, 4) as int)")
 
 
-def genome_names(spark: SparkSession, sf: str) -> DataFrame:
-    n, block = _n(), F.expr("doc_id div 20") % 2
+def genome_names(spark: SparkSession, sf: str, orders: int | None = None) -> DataFrame:
+    """Names by language and source; with `orders`, sources that are equal modulo it are one order."""
+    n, block = (_n() % orders if orders else _n()), F.expr("doc_id div 20") % 2
     name = F.concat_ws("_", "lang", F.concat("lang", F.lit("p"), n % 2), F.concat("lang", F.lit("g"), n % 4), F.concat("lang", F.lit("o"), n),
                        F.concat("lang", F.lit("f"), n, F.lit("x"), block), F.concat(F.lit("sp"), "doc_id"))
     return docs(spark, sf).select("doc_id", F.concat(F.lit("x/"), name, F.lit(".fna")).alias("path"))
@@ -557,9 +558,9 @@ def m3(spark, sf):
 
 
 # ---- sources and sinks: derived rows written to the shared folder and read back -----------------------------------------
-def _genome_files(spark, sf):
+def _genome_files(spark, sf, orders=None):
     """The derived sequences as FASTA files of two records, named by taxonomy; their folder."""
-    rows = dna(spark, sf).join(genome_names(spark, sf), "doc_id").where("seq != ''")
+    rows = dna(spark, sf).join(genome_names(spark, sf, orders), "doc_id").where("seq != ''")
     half = F.expr("int(length(seq) / 2)")
     body = lambda x: F.regexp_replace(x, "(.{70})(?=.)", "$1\n")
     content = F.concat(F.lit(">a first\n"), body(F.lower(F.substring("seq", F.lit(1), half))), F.lit("\n>b second\n"), body(F.substring("seq", half + 1, F.length("seq"))), F.lit("\n"))
@@ -643,7 +644,9 @@ def s6(spark, sf):
 
 
 # ---- commands ----------------------------------------------------------------------------------------------------------
-#: Small forests keep the command's hundred-odd fits short; the model's own size is M1's.
+#: Four orders a language, each the only one of its group, and small forests keep the command's fits few and short; the
+#: model's own size is M1's.
+ORDERS = 4
 SMALL = {"kind": "forest", "rounds": 2, "max_depth": 4}
 PARAMS = Params(read_size=SIZE, ksize=K, sampling=MANY, semantics="clean")
 
@@ -651,10 +654,10 @@ PARAMS = Params(read_size=SIZE, ksize=K, sampling=MANY, semantics="clean")
 def _database(spark, sf):
     """A database built from the FASTA files by the build command: its path, and its registry."""
     db = shared_path(spark, "database")
-    return db, pipelines.build(spark, _genome_files(spark, sf), db, PARAMS, **SMALL)
+    return db, pipelines.build(spark, _genome_files(spark, sf, ORDERS), db, PARAMS, **SMALL)
 
 
-SQL_BUILT = f"""{SQL_FILES}, used as (select n.*, f.file from named n join files f using (doc_id) where length(seq) >= {SIZE}),
+SQL_BUILT = f"""{SQL_FILES.replace("source, 4) as int) as n", f"source, 4) as int) % {ORDERS} as n")}, used as (select n.*, f.file from named n join files f using (doc_id) where length(seq) >= {SIZE}),
  kids as (select 'root' as level, 'Root' as name, domain as child from used union select 'domain', domain, phylum from used union select 'phylum', phylum, "group" from used
   union select 'group', "group", "order" from used union select 'order', "order", family from used),
  nodes as (select level, name, count(*) as kids, min(child) as child from kids group by all)"""
