@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.sequence import code_rank, encode_kmer, expand_iupac, is_homopolymer, pattern_filter, revcomp
+from .windows import deal as deal_windows
 from .windows import kmers
 
 
@@ -60,7 +61,7 @@ def kmer_profile(
     """
     if sum(pattern) != k:
         raise ValueError("a pattern keeps as many places as k")
-    dealt = wins.select(*keys, "win").repartition(*(deal or keys))
+    dealt = deal_windows(wins.select(*keys, "win"), *(deal or keys))
     counted = count_kmers(kmers(dealt, len(pattern), semantics), keys)
     merged = apply_pattern_counts(merge_strands(counted, keys, semantics), keys, pattern, semantics)
     out = sum_expanded(drop_homopolymers(merged, k), keys)

@@ -6,7 +6,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.names import LEVELS
-from .profile import dense_counts, filled
+from ..functions.sequence import code_rank
+from .profile import filled
 
 #: A level's weights of at most this many bytes are broadcast.
 BROADCAST_BYTES = 32 << 20
@@ -14,8 +15,9 @@ BROADCAST_BYTES = 32 << 20
 
 def vectors(profile: DataFrame, keys: list[str], k: int) -> DataFrame:
     """profile(keys, code, cnt) -> keys, x: dense counts by rank of the code."""
-    packed = profile.groupBy(*keys).agg(F.map_from_entries(F.collect_list(F.struct("code", "cnt"))).alias("counts"))
-    return packed.select(*keys, dense_counts(F.col("counts"), k).alias("x"))
+    ranked = profile.select(*keys, code_rank(F.col("code"), k).alias("r"), F.col("cnt").cast("long").alias("c"))
+    packed = ranked.groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct("r", "c"))).alias("cells"))
+    return packed.select(*keys, filled("cells", "r", "c", 4**k).alias("x"))
 
 
 def node_weights(windows: DataFrame, k: int) -> DataFrame:

@@ -29,6 +29,14 @@ def windows(df: DataFrame, size: int, sampling: int) -> DataFrame:
     return cut.select(*others, "win_idx", start.alias("start"), F.expr(f"substring(__seq, win_idx * __shift + 1, {size})").alias("win"))
 
 
+def deal(wins: DataFrame, *keys: str) -> DataFrame:
+    """Windows dealt by keys over as many tasks as the session shuffles into.
+
+    The number is given, as one row becomes hundreds behind the exchange: by their bytes, few tasks would get them all.
+    """
+    return wins.repartition(int(wins.sparkSession.conf.get("spark.sql.shuffle.partitions")), *keys)
+
+
 def kmers(df: DataFrame, width: int, semantics: str = "reference") -> DataFrame:
     """df(win, others) -> others, pos (from 1), kmer.  The reference semantics leave out a window's last two."""
     short = 2 if semantics == "reference" else 0

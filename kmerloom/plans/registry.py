@@ -73,7 +73,7 @@ def doc_profile(spark: SparkSession, sf: str, fold: str = "plain", sampling: int
 
 def dealt(spark: SparkSession, sf: str, fold: str = "plain") -> DataFrame:
     """Windows dealt by their keys, so that counters of k-mers find their rows in place."""
-    return wins(spark, sf, fold).select(*KEYS, "win").repartition(*KEYS)
+    return w.deal(wins(spark, sf, fold).select(*KEYS, "win"), *KEYS)
 
 
 # ---- SQL pieces --------------------------------------------------------------------------------------------------------
