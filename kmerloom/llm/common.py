@@ -10,6 +10,7 @@ from collections.abc import Callable, Iterable, Iterator
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 #: bytes.translate table that lower-cases A-Z and leaves every other byte.
 LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
@@ -87,9 +88,9 @@ def fresh(df: DataFrame, *names: str) -> list[str]:
     return out
 
 
-def map_arrow(df: DataFrame, fn: Callable[[Iterator[pa.RecordBatch]], Iterable[pa.RecordBatch]], schema: str) -> DataFrame:
+def map_arrow(df: DataFrame, fn: Callable[[Iterator[pa.RecordBatch]], Iterable[pa.RecordBatch]], schema: str | StructType) -> DataFrame:
     """mapInArrow in batches of few rows, as texts are long; what a task has freed goes back to the system at its end, as idle
-    Python workers stay.
+    Python workers stay.  Columns may have any names: Spark sees numbers in their place, and fn the names.
 
     Spark takes the rows of a batch from the session when the plan runs, so the session gets ROWS_PER_BATCH if it names
     no number itself.
@@ -98,14 +99,16 @@ def map_arrow(df: DataFrame, fn: Callable[[Iterator[pa.RecordBatch]], Iterable[p
     if BATCH_CONF not in conf.getAll:
         conf.set(BATCH_CONF, ROWS_PER_BATCH)
 
+    names = df.columns
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        yield from fn(batches)
+        yield from fn(batch.rename_columns(names) for batch in batches)
         pa.default_memory_pool().release_unused()
         trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # of glibc only
         if trim:
             trim(0)
 
-    return df.mapInArrow(run, schema)
+    return df.toDF(*(f"_{i}" for i in range(len(names)))).mapInArrow(run, schema)
 
 
 def slices(batches: Iterator[pa.RecordBatch], column: str, limit: int = 4 << 20) -> Iterator[pa.RecordBatch]:

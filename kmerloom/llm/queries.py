@@ -8,6 +8,7 @@ from .langid import op2_language_id
 from .licenses import op10_license_scan
 from .lm import op8_lm_scores
 from .packing import op4_mixture_packing
+from .pieces import op11_sentence_pieces
 from .quality import OP9_SQL, op9_quality_rules
 from .simhash import op3_simhash_near_dedup
 from .suffix_dedup import op6_suffix_dedup
@@ -24,5 +25,6 @@ QUERIES = {
     "op8_lm_scores": op8_lm_scores,
     "op9_quality_rules": op9_quality_rules,
     "op10_license_scan": op10_license_scan,
+    "op11_sentence_pieces": op11_sentence_pieces,
 }
 ORACLE: dict[str, str] = {"op9_quality_rules": OP9_SQL}
