@@ -8,7 +8,7 @@ import uuid
 from collections.abc import Callable, Iterable, Iterator
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
@@ -77,6 +77,26 @@ def join_counted(rows: DataFrame, side: DataFrame, keys: list[str], n: str, tota
     return met.unionByName(rest)
 
 
+def quoted(name: str) -> str:
+    """A column's name as Spark's expressions take it, whatever it holds."""
+    return "`" + name.replace("`", "``") + "`"
+
+
+def ranked(nodes: DataFrame, order: list[str]) -> DataFrame:
+    """nodes(key, order, tie, others) with rank, from 0 in the key's order, and n, the key's number of nodes; `tie` parts equal rows.
+
+    Rows are sorted by range; a rank is the place in its range and the counts of the ranges before, one row per range and key.
+    """
+    placed = nodes.repartitionByRange("key", *order, "tie").sortWithinPartitions("key", *order, "tie")
+    placed = stored(placed.withColumn("part", F.spark_partition_id()).withColumn("spot", F.monotonically_increasing_id()), "ranked")
+    runs = placed.groupBy("key", "part").agg(F.min("spot").alias("first"), F.count("*").alias("many"))
+    whole = Window.partitionBy("key")
+    before = whole.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    runs = runs.select("key", "part", "first", F.coalesce(F.sum("many").over(before), F.lit(0)).alias("ahead"), F.sum("many").over(whole).alias("n"))
+    runs = small_side(stored(runs, "ranges"), F.octet_length("key") + 48)
+    return placed.join(runs, ["key", "part"]).withColumn("rank", F.col("spot") - F.col("first") + F.col("ahead"))
+
+
 def fresh(df: DataFrame, *names: str) -> list[str]:
     """The names, each with as many `_` behind it as df's columns make necessary."""
     taken = {c.lower() for c in df.columns}

@@ -7,6 +7,8 @@ from .decontam import op1_decontamination
 from .langid import op2_language_id
 from .licenses import op10_license_scan
 from .lm import op8_lm_scores
+from .merkle import OP12_SQL, op12_merkle_manifest
+from .negatives import OP13_SQL, op13_hard_negatives
 from .packing import op4_mixture_packing
 from .pieces import op11_sentence_pieces
 from .quality import OP9_SQL, op9_quality_rules
@@ -26,5 +28,7 @@ QUERIES = {
     "op9_quality_rules": op9_quality_rules,
     "op10_license_scan": op10_license_scan,
     "op11_sentence_pieces": op11_sentence_pieces,
+    "op12_merkle_manifest": op12_merkle_manifest,
+    "op13_hard_negatives": op13_hard_negatives,
 }
-ORACLE: dict[str, str] = {"op9_quality_rules": OP9_SQL}
+ORACLE: dict[str, str] = {"op9_quality_rules": OP9_SQL, "op12_merkle_manifest": OP12_SQL, "op13_hard_negatives": OP13_SQL}
