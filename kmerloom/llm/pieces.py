@@ -5,8 +5,8 @@ The model file is read here; the sentencepiece library isn't needed.  A batch of
 * Normalising: at every character the longest prefix that the file's compiled character map (a double-array trie) holds is
   found by walking the trie from all characters at once; units are then taken from left to right.  Every normalised byte
   keeps the place of the unit it comes from.
-* Cutting: between a character that isn't a space mark and a space mark no piece reaches across, nor around characters of
-  no longer piece, so the text is cut there.  Equal stretches are encoded once and their ids gathered by numpy.
+* Cutting: between a character that isn't a space mark and a space mark no piece reaches across, nor between two letters that
+  stand side by side in no piece, nor around characters of no longer piece, so the text is cut there.  Equal stretches are encoded once and their ids gathered by numpy.
 * Merging: a stretch's best pair by score, the leftmost of equal ones, until none is a piece; characters without a piece
   become their bytes.
 * Spans: a piece's normalised bytes lead back to the original bytes [begin, end).  Of a character that became bytes, the last
@@ -20,6 +20,7 @@ from __future__ import annotations
 
 import heapq
 import struct
+from array import array
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -38,6 +39,8 @@ _MARK = MARK.encode()
 NORMAL, UNKNOWN, CONTROL, USER, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
 #: Stretches that one Python process remembers, of at most so many bytes each; others are encoded each time.
 CACHE_STRETCHES, CACHE_BYTES = 300_000, 64
+#: Characters of a stretch up to which all pairs are looked through; longer ones have a queue.
+SHORT = 48
 #: What an unknown piece is decoded to, and an invalid byte.
 UNKNOWN_TEXT, BAD_BYTE = " ⁇ ", "�"
 
@@ -128,14 +131,21 @@ class PieceModel:
         self.cut_at_mark = not any(MARK in p.lstrip(MARK) for p in longer)
         used = set().union(*longer) if longer else set()
         self.alone = np.array([b < 128 and chr(b) not in used for b in range(256)])
+        # Pairs of ASCII characters that stand side by side in no piece; there a text may be cut.
+        self.apart = np.zeros((256, 256), bool)
+        self.apart[:128, :128] = True
+        for a, b in {pair for p in longer for pair in zip(p, p[1:], strict=False)}:
+            if a < "\x80" and b < "\x80":
+                self.apart[ord(a), ord(b)] = False
+        self.apart = self.apart.ravel()
+        self.order = {p: -self.score[self.ids[p]] for p in longer}
         surface = [UNKNOWN_TEXT if k == UNKNOWN else "" if k == CONTROL else p.replace(MARK, " ") for p, _, k in pieces]
         raws = [bytes([int(p[3:5], 16)]) if k == BYTE else s.encode() for (p, _, k), s in zip(pieces, surface, strict=True)]
         self.surface, self.surface_size = np.frombuffer(b"".join(raws), np.uint8), np.array([len(r) for r in raws], np.int64)
         self.surface_at = np.cumsum(self.surface_size) - self.surface_size
         self.marked = np.array([k == NORMAL and p.startswith(MARK) for p, _, k in pieces])
         self.kind = np.array([k for _, _, k in pieces])
-        self.entry: dict[bytes, int] = {}
-        self.known: list[tuple[bytes, bytes]] = []
+        self.known: dict[bytes, bytes] = {}
 
     # ---- normalising --------------------------------------------------------------------------------------------------
     def _units(self, data: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -164,8 +174,9 @@ class PieceModel:
             return self._collapsed(data, starts)
         at, length, value = self._units(data, starts)
         put = length > 0
-        counts = np.ones(len(data), np.int64)
-        unit_at = np.zeros(len(data), np.int64)
+        place = np.int32 if len(data) < 1 << 29 else np.int64  # a byte may become three
+        counts = np.ones(len(data), place)
+        unit_at = np.zeros(len(data), place)
         unit_at[at] = at
         np.maximum.accumulate(unit_at, out=unit_at)
         space = np.zeros(0, np.int64)
@@ -184,7 +195,7 @@ class PieceModel:
         lead = _MARK if self.escape else b" "
         if self.prefix:
             counts[first] += len(lead)
-        ends = np.cumsum(counts)
+        ends = np.cumsum(counts, dtype=place)
         out, back = np.repeat(data, counts), np.repeat(unit_at, counts)
         if self.prefix and len(first):
             begins = ends[first] - counts[first]
@@ -227,8 +238,27 @@ class PieceModel:
         return np.frombuffer(bytes(out), np.uint8), np.array(back, np.int64), np.array(bounds), np.array(ends, np.int64)
 
     # ---- merging ------------------------------------------------------------------------------------------------------
+    def _merge_short(self, text: str) -> list[str]:
+        """merge() by looking through all pairs each time."""
+        none, get, parts = float("inf"), self.order.get, list(text)
+        pairs = [get(a + b, none) for a, b in zip(text, text[1:], strict=False)]
+        while pairs:
+            first = min(pairs)
+            if first == none:
+                break
+            i = pairs.index(first)
+            parts[i] += parts.pop(i + 1)
+            del pairs[i]
+            if i:
+                pairs[i - 1] = get(parts[i - 1] + parts[i], none)
+            if i < len(pairs):
+                pairs[i] = get(parts[i] + parts[i + 1], none)
+        return parts
+
     def merge(self, text: str) -> list[str]:
         """The stretch's characters, merged pair by pair."""
+        if len(text) <= SHORT:
+            return self._merge_short(text)
         parts, left, right = list(text), list(range(-1, len(text) - 1)), list(range(1, len(text) + 1))
         queue: list[tuple[float, int, int, int]] = []
 
@@ -253,27 +283,24 @@ class PieceModel:
             offer(left[i])
         return [p for p in parts if p]
 
-    def _encode(self, stretch: bytes) -> tuple[bytes, bytes]:
-        """Ids and numbers of bytes of a stretch's pieces, as little-endian uint32."""
-        ids, sizes = [], []
+    def _encode(self, stretch: bytes) -> bytes:
+        """Id and number of bytes of each of a stretch's pieces, as uint32."""
+        out, ids = array("I"), self.ids
         for piece in self.merge(stretch.decode()):
-            found, raw = self.ids.get(piece), piece.encode()
+            found, raw = ids.get(piece), piece.encode()
             if found is None:
-                ids += [self.bytes[b] for b in raw]
-                sizes += [0] * (len(raw) - 1) + [len(raw)]
+                for at, b in enumerate(raw, 1):
+                    out.extend((self.bytes[b], len(raw) if at == len(raw) else 0))
             else:
-                ids.append(found)
-                sizes.append(len(raw))
-        return np.array(ids, "<u4").tobytes(), np.array(sizes, "<u4").tobytes()
-
-    def _look_up(self, stretch: bytes) -> tuple[bytes, bytes]:
-        spot = self.entry.get(stretch)
-        if spot is not None:
-            return self.known[spot]
-        got = self._encode(stretch)
-        if len(stretch) <= CACHE_BYTES and len(self.known) < CACHE_STRETCHES:
-            self.entry[stretch] = len(self.known)
-            self.known.append(got)
+                out.extend((found, len(raw)))
+        return out.tobytes()
+
+    def _look_up(self, stretch: bytes) -> bytes:
+        got = self.known.get(stretch)
+        if got is None:
+            got = self._encode(stretch)
+            if len(stretch) <= CACHE_BYTES and len(self.known) < CACHE_STRETCHES:
+                self.known[stretch] = got
         return got
 
     def _stretches(self, norm: np.ndarray, bounds: np.ndarray) -> np.ndarray:
@@ -289,6 +316,8 @@ class PieceModel:
         alone = self.alone[norm]
         cut[:-1] |= alone
         cut[1:] |= alone
+        if len(norm) > 1:
+            cut[1:-1] |= self.apart[(norm[:-1].astype(np.int32) << 8) | norm[1:]]
         return np.flatnonzero(cut[:-1])
 
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -301,19 +330,19 @@ class PieceModel:
         at = self._stretches(norm, bounds)
         if not len(at):
             none = np.zeros(0, np.int64)
-            return none.astype("<u4"), none, none, np.zeros(len(raw), np.int64)
+            return none.astype(np.uint32), none, none, np.zeros(len(raw), np.int64)
         places = np.append(at, len(norm))
         parts = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(at), [None, pa.py_buffer(places), pa.py_buffer(np.ascontiguousarray(norm))])
         coded = parts.dictionary_encode()
         codes = coded.indices.to_numpy(zero_copy_only=False).astype(np.int64)
         values = [self._look_up(s) for s in coded.dictionary.to_pylist()]
-        many = np.fromiter((len(v[0]) // 4 for v in values), np.int64, len(values))
+        many = np.fromiter(map(len, values), np.int64, len(values)) // 8
         ahead = np.cumsum(many) - many
-        ids, sizes = (np.frombuffer(b"".join(v[k] for v in values), "<u4") for k in (0, 1))
+        pairs = np.frombuffer(b"".join(values), np.uint32).reshape(-1, 2)
         per = many[codes]
         upto = np.cumsum(per)
-        spot = np.repeat(ahead[codes] - (upto - per), per) + np.arange(int(upto[-1]))
-        ids, size = ids[spot], sizes[spot].astype(np.int64)
+        pairs = pairs[np.repeat(ahead[codes] - (upto - per), per) + np.arange(int(upto[-1]))]
+        ids, size = pairs[:, 0], pairs[:, 1].astype(np.int64)
         norm_end = np.cumsum(size)
         # Pieces of each text, by the stretches that lie in it.
         upto = np.concatenate([[0], upto])
@@ -398,7 +427,7 @@ def encode_pieces(docs: DataFrame, path: str, text: str = "text") -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = model(path)
-        for batch in slices(batches, text):
+        for batch in slices(batches, text, 2 << 20):
             ids, begins, ends, counts = m.encode(column(batch, text))
             lists = [_list(x, counts) for x in (ids, begins, ends)]
             yield pa.RecordBatch.from_arrays([*batch.columns, *lists], names=schema.names)
@@ -413,7 +442,7 @@ def decode_pieces(docs: DataFrame, path: str, ids: str = "ids") -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = model(path)
-        for batch in slices(batches, ids):
+        for batch in slices(batches, ids, 2 << 20):
             lists = column(batch, ids)
             counts = lists.value_lengths().fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64)
             texts = m.decode(lists.flatten().to_numpy(zero_copy_only=False).astype(np.int64), counts)
