@@ -15,21 +15,25 @@ def argmax(p: Column) -> Column:
     return (F.array_position(p, F.array_max(p)) - 1).cast("int")
 
 
-def score_delta_mean(p: Column) -> Column:
-    return F.array_max(p) - _sum(p) / F.size(p)
+def score_delta_mean(p: Column, size: int | None = None) -> Column:
+    """Distance to the mean. size: number of classes, where those of probability 0 are left out of p."""
+    return F.array_max(p) - _sum(p) / (F.size(p) if size is None else F.lit(size))
 
 
-def score_min_max(p: Column) -> Column:
+def score_min_max(p: Column, size: int | None = None) -> Column:
     """Distance to the next lower probability; null where all are equal."""
-    return F.array_max(p) - F.array_max(F.filter(p, lambda x: x != F.array_max(p)))
+    lower = F.array_max(F.filter(p, lambda x: x != F.array_max(p)))
+    if size is not None:
+        lower = F.coalesce(lower, F.when((F.size(p) < size) & (F.array_max(p) > 0), 0.0))
+    return F.array_max(p) - lower
 
 
-def accepts(func: str, p: Column, t: Column) -> Column:
+def accepts(func: str, p: Column, t: Column, size: int | None = None) -> Column:
     """Whether an acceptance function takes a window at threshold t."""
     if func == "delta_mean":
-        return score_delta_mean(p) > t
+        return score_delta_mean(p, size) > t
     if func == "min_max":
-        return score_min_max(p) > t
+        return score_min_max(p, size) > t
     if func == "delta_sum":
         return F.array_max(p) > (_sum(p) - F.array_max(p)) + t
     return F.lit(True)

@@ -8,20 +8,25 @@ from pyspark.sql import functions as F
 from ..functions.scores import accepts, argmax, ladder, score_min_max
 
 
-def consensus(df: DataFrame, keys: list[str], func: str = "delta_mean", threshold: float = 0.8, semantics: str = "reference") -> DataFrame:
+def consensus(
+    df: DataFrame, keys: list[str], func: str = "delta_mean", threshold: float = 0.8, semantics: str = "reference", codes: str | None = None, size: int | None = None
+) -> DataFrame:
     """df(keys, win_idx, p) -> keys, win_idx, class, vote: vote is null for a rejected window.
 
+    codes, size: p holds only the classes of these codes, in rising order, out of `size`; the others have probability 0.
+
     The threshold is relaxed for a group until some window is accepted (in the reference semantics, one with a class other
     than 0), by a fixed ladder: each window's first accepting step, and the least of them per group, say all.
     """
     steps = ladder(threshold)
-    out = df.withColumn("class", argmax(F.col("p")))
+    best = argmax(F.col("p"))
+    out = df.withColumn("class", best if codes is None else F.get(codes, best))
     if func not in ("delta_mean", "min_max", "delta_sum") or not steps:
         return out.select(*keys, "win_idx", "class", F.col("class").alias("vote"))
     rungs = F.array(*(F.lit(t) for t in steps))
-    out = out.withColumn("step", F.array_position(F.transform(rungs, lambda t: F.coalesce(accepts(func, F.col("p"), t), F.lit(False))), F.lit(True)))
+    out = out.withColumn("step", F.array_position(F.transform(rungs, lambda t: F.coalesce(accepts(func, F.col("p"), t, size), F.lit(False))), F.lit(True)))
     out = out.withColumn("step", F.when(F.col("step") > 0, F.col("step")))
-    flat = score_min_max(F.col("p")).isNull() if func == "min_max" else F.lit(False)
+    flat = score_min_max(F.col("p"), size).isNull() if func == "min_max" else F.lit(False)
     counts = (F.col("class") != 0) if semantics == "reference" else F.lit(True)
     group = Window.partitionBy(*keys)
     out = out.withColumn("least", F.min(F.when(counts, F.col("step"))).over(group)).withColumn("flat", F.max(flat).over(group))

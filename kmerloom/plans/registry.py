@@ -8,13 +8,14 @@ from __future__ import annotations
 
 from functools import reduce
 
+from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import names as fn
 from ..functions import sequence as fs
 from ..functions.scores import accepts, argmax, clamp_threshold, ladder
-from ..operators import classify, consensus, manifest, models, profile, relational, report, taxonomy
+from ..operators import classify, consensus, ensembles, manifest, models, profile, relational, report, taxonomy
 from ..operators import windows as w
 from ..operators.storage import shared_path, stored
 from ..sources import fasta, tables
@@ -45,9 +46,9 @@ def _n():
     return F.expr("cast(substr(source, 4) as int)")
 
 
-def genome_names(spark: SparkSession, sf: str, orders: int | None = None) -> DataFrame:
-    """Names by language and source; with `orders`, sources that are equal modulo it are one order."""
-    n, block = (_n() % orders if orders else _n()), F.expr("doc_id div 20") % 2
+def genome_names(spark: SparkSession, sf: str) -> DataFrame:
+    """Names by language and source."""
+    n, block = _n(), F.expr("doc_id div 20") % 2
     name = F.concat_ws("_", "lang", F.concat("lang", F.lit("p"), n % 2), F.concat("lang", F.lit("g"), n % 4), F.concat("lang", F.lit("o"), n),
                        F.concat("lang", F.lit("f"), n, F.lit("x"), block), F.concat(F.lit("sp"), "doc_id"))
     return docs(spark, sf).select("doc_id", F.concat(F.lit("x/"), name, F.lit(".fna")).alias("path"))
@@ -527,40 +528,10 @@ def _model_rows(spark, sf):
     return stored(models.to_vector(counts.join(named(spark, sf), "doc_id"), K), "model-rows")
 
 
-def _root_model(rows, codes):
-    """The root's model at the operator's own rounds and depth."""
-    return models.fit_node(rows, codes, "root", "Root", kind="gbt", rounds=10, max_depth=10)
-
-
-SQL_WINDOWS = f"""{sql_dna()}, wins as (select doc_id, i::int as win_idx from dna, unnest(range({MANY})) as r(i) where length(seq) >= {SIZE})"""
-
-
-@query("m1_fit", f"with {SQL_CODES} select level, name, code, 10 as trees, true as grown from codes where level = 'domain'")
-def m1(spark, sf):
-    """The root's model as a table: one row per class with its ensemble's number of trees, and whether they have split."""
-    rows, codes = _model_rows(spark, sf), taxonomy.taxa_codes(named(spark, sf))
-    model = _root_model(rows, codes)
-    trees = [(i, m.getNumTrees, m.totalNumNodes > m.getNumTrees) for i, m in enumerate(model.models)]
-    return codes.where("level = 'domain'").join(spark.createDataFrame(trees, "code int, trees int, grown boolean"), "code")
-
-
-@query("m3_predict", f"""with {SQL_WINDOWS}, {SQL_CODES}, n as (select count(*)::int as classes from codes where level = 'domain')
- select doc_id, win_idx, classes, true as one, true as within, true as top from wins, n""")
-def m3(spark, sf):
-    """Every window's probabilities by the root's model: their number, that they add up to 1, and the class of the highest."""
-    rows, codes = _model_rows(spark, sf), taxonomy.taxa_codes(named(spark, sf))
-    p = models.predict_node(rows.select(*KEYS, "features"), _root_model(rows, codes), codes.where("level = 'domain'").count())
-    total, best = F.aggregate("p", F.lit(0.0), lambda a, x: a + x), argmax(F.col("p"))
-    return p.select(
-        *KEYS, F.size("p").alias("classes"), (F.abs(total - 1) < 1e-9).alias("one"),
-        ((best >= 0) & (best < F.size("p")) & (F.array_min("p") >= 0)).alias("within"), (F.get("p", best) == F.array_max("p")).alias("top"),
-    )
-
-
 # ---- sources and sinks: derived rows written to the shared folder and read back -----------------------------------------
-def _genome_files(spark, sf, orders=None):
+def _genome_files(spark, sf):
     """The derived sequences as FASTA files of two records, named by taxonomy; their folder."""
-    rows = dna(spark, sf).join(genome_names(spark, sf, orders), "doc_id").where("seq != ''")
+    rows = dna(spark, sf).join(genome_names(spark, sf), "doc_id").where("seq != ''")
     half = F.expr("int(length(seq) / 2)")
     body = lambda x: F.regexp_replace(x, "(.{70})(?=.)", "$1\n")
     content = F.concat(F.lit(">a first\n"), body(F.lower(F.substring("seq", F.lit(1), half))), F.lit("\n>b second\n"), body(F.substring("seq", half + 1, F.length("seq"))), F.lit("\n"))
@@ -607,8 +578,6 @@ def k1(spark, sf):
 @query("k2_libsvm", f"""with {sql_profile()}, {SQL_CODES}, {SQL_ENCODER}, l as (select doc_id, code as label from named join codes on level = 'family' and name = family)
  select label, count(distinct (doc_id, win_idx)) as n, sum(cnt)::bigint as total, sum(code_rank * cnt)::bigint as ranked from profile join words using (code) join l using (doc_id) group by all""")
 def k2(spark, sf):
-    from pyspark.ml.functions import vector_to_array
-
     names = named(spark, sf)
     rows = taxonomy.label_rows(_model_rows(spark, sf), taxonomy.taxa_codes(names), "family")
     path = shared_path(spark, "libsvm")
@@ -644,47 +613,99 @@ def s6(spark, sf):
 
 
 # ---- commands ----------------------------------------------------------------------------------------------------------
-#: Four orders a language, each the only one of its group, and small forests keep the command's fits few and short; the
-#: model's own size is M1's.
-ORDERS = 4
-SMALL = {"kind": "forest", "rounds": 2, "max_depth": 4}
 PARAMS = Params(read_size=SIZE, ksize=K, sampling=MANY, semantics="clean")
+#: Databases built in this process, by session and input.
+_BUILT: dict[tuple[str, str], str] = {}
 
 
 def _database(spark, sf):
-    """A database built from the FASTA files by the build command: its path, and its registry."""
-    db = shared_path(spark, "database")
-    return db, pipelines.build(spark, _genome_files(spark, sf, ORDERS), db, PARAMS, **SMALL)
-
-
-SQL_BUILT = f"""{SQL_FILES.replace("source, 4) as int) as n", f"source, 4) as int) % {ORDERS} as n")}, used as (select n.*, f.file from named n join files f using (doc_id) where length(seq) >= {SIZE}),
- kids as (select 'root' as level, 'Root' as name, domain as child from used union select 'domain', domain, phylum from used union select 'phylum', phylum, "group" from used
-  union select 'group', "group", "order" from used union select 'order', "order", family from used),
+    """The path of a database built from the FASTA files by the build command, at its own rounds and depth.
+
+    The queries below share one for each session and input; the first of them builds it.
+    """
+    key = (spark.sparkContext.applicationId, sf)
+    if key not in _BUILT:
+        db = shared_path(spark, "database")
+        pipelines.build(spark, _genome_files(spark, sf), db, PARAMS)
+        _BUILT[key] = db
+    return _BUILT[key]
+
+
+SQL_BUILT = f"""{SQL_FILES}, used as (select n.*, f.file from named n join files f using (doc_id) where length(seq) >= {SIZE}),
+ pairs as (select 'root' as level, 'Root' as name, domain as child from used union all select 'domain', domain, phylum from used union all select 'phylum', phylum, "group" from used
+  union all select 'group', "group", "order" from used union all select 'order', "order", family from used),
+ kids as (select distinct level, name, child from pairs),
  nodes as (select level, name, count(*) as kids, min(child) as child from kids group by all)"""
 
 
 @query("p1_build", f"""with {SQL_BUILT}, leaves as (select distinct 'family' as level, family as name from used)
  select level, name, kids > 1 as trained, case when kids = 1 then child end as only_child from nodes union all select level, name, false, null from leaves""")
 def p1(spark, sf):
-    registry = _database(spark, sf)[1]
+    registry = spark.read.parquet(f"{_database(spark, sf)}/registry")
     return registry.select("level", "name", F.col("model_path").isNotNull().alias("trained"), "only_child")
 
 
-@query("p2_predict", f"""with {sql_dna()} select 'r' || doc_id as read_id, case when length(seq) < {SIZE} then 'REJECTED' end as status,
- length(seq) >= {SIZE} as voted, true as within, true as descends from dna""")
+@query("m1_fit", f"""with {SQL_BUILT} select k.level, k.name, k.child, 10 as trees, true as grown, true as shallow
+ from kids k join nodes n on n.level = k.level and n.name = k.name where n.kids > 1""")
+def m1(spark, sf):
+    """Every inner node's ensembles: one for each of its children and no other, their number of trees, whether any has split, and
+    whether all keep within the depth."""
+    db = _database(spark, sf)
+    trees = ensembles.read_trees(spark, db).groupBy("level", "name", "class").agg(
+        F.count_distinct("tree").cast("int").alias("trees"), (F.max("feature") >= 0).alias("grown"),
+        (F.max("node") < 2**11).alias("shallow"),
+    )
+    kids = spark.read.parquet(f"{db}/labels").where(F.size("kids") > 1).select("level", "name", F.posexplode("kids").alias("class", "child"))
+    return kids.join(trees, ["level", "name", "class"], "full").select("level", "name", "child", "trees", "grown", "shallow")
+
+
+#: Shares of windows, of the genomes that a model has learnt, that go to their own child, and of reads to their own domain.
+RIGHT = 0.8
+
+
+@query("m3_predict", f"""with {SQL_BUILT} select level, name, count(*) * {MANY} as windows, true as one, true as own, true as right from pairs group by all""")
+def m3(spark, sf):
+    """Every window by the model of each of its own nodes: the number of windows, whether probabilities add up to 1 and belong to
+    the node's children, and whether the highest is the own child's for a share of RIGHT at least."""
+    db = _database(spark, sf)
+    taxa, codes = tables.read_taxa(spark, db)
+    rows = models.to_vector(tables.read_features(spark, db), K).withColumn("x", vector_to_array("features"))
+    table, labels = spark.read.parquet(f"{db}/ensembles"), spark.read.parquet(f"{db}/labels")
+    out = []
+    for level, child in zip(fn.ALL_LEVELS, fn.LEVELS, strict=False):
+        met = rows.withColumn("parent", F.lit("Root") if level == "root" else F.col(level)).withColumnRenamed(child, "child")
+        met = met.select("path", "win_idx", "parent", "child", "x").join(ensembles.level_ensembles(table, level), "parent")
+        p = ensembles.probabilities(met, ["path", "win_idx", "parent", "child"], 10)
+        p = p.join(codes.where(F.col("level") == child).select(F.col("name").alias("child"), F.col("code").alias("label")), "child")
+        p = p.join(labels.where(F.col("level") == level).select(F.col("name").alias("parent"), F.col("codes").alias("known")), "parent")
+        total = F.aggregate("p", F.lit(0.0), lambda a, x: a + x)
+        out.append(p.groupBy(F.lit(level).alias("level"), F.col("parent").alias("name")).agg(
+            F.count("*").alias("windows"), F.bool_and(F.abs(total - 1) < 1e-9).alias("one"), F.bool_and(F.col("codes") == F.col("known")).alias("own"),
+            (F.avg((F.get("codes", argmax(F.col("p"))) == F.col("label")).cast("double")) >= RIGHT).alias("right"),
+        ))
+    return reduce(DataFrame.unionByName, out)
+
+
+@query("p2_predict", f"""with {sql_dna()} select 'r' || d.doc_id as read_id, case when length(seq) < {SIZE} then 'REJECTED' end as status,
+ length(seq) >= {SIZE} as voted, true as within, true as descends, case when length(seq) >= {SIZE} then true end as right from dna d""")
 def p2(spark, sf):
-    """Reads by the predict command: status, whether the root has votes, that votes are at most the windows, and that only
-    children that had votes are parents below."""
-    rows = pipelines.predict(spark, _database(spark, sf)[0], _read_files(spark, sf), shared_path(spark, "report"), PARAMS)
+    """Reads by the predict command: status, whether the root has votes, that votes are at most the windows, that only
+    children that had votes are parents below, and whether of the reads of its language a share of RIGHT at least has most votes for it."""
+    rows = pipelines.predict(spark, _database(spark, sf), _read_files(spark, sf), shared_path(spark, "report"), PARAMS)
     level = lambda i: F.element_at("levels", i + 1)
     votes = lambda m: F.flatten(F.transform(F.map_values(m), lambda v: F.map_values(v)))
     names = lambda m: F.flatten(F.transform(F.map_values(m), lambda v: F.map_keys(v)))
     below = lambda a, b: F.size(F.array_except(F.map_keys(b), names(a))) == 0
     most = [F.forall(F.transform(F.map_values(level(i)), lambda v: F.aggregate(F.map_values(v), F.lit(0).cast("long"), lambda a, x: a + x)), lambda n: n <= MANY) for i in range(5)]
     ok = lambda c: F.coalesce(c, F.lit(True))
-    return rows.select(
+    top = F.array_max(F.transform(F.map_entries(F.element_at(level(0), "Root")), lambda e: F.struct(e["value"].alias("n"), e["key"].alias("k"))))["k"]
+    langs = docs(spark, sf).select(F.concat(F.lit("r"), "doc_id").alias("read_id"), "lang")
+    rows = rows.join(langs, "read_id").withColumn("hit", F.when(F.col("status").isNull(), (top == F.col("lang")).cast("double")))
+    share = rows.groupBy("lang").agg((F.avg("hit") >= RIGHT).alias("good"))
+    return rows.join(share, "lang").select(
         "read_id", "status", F.coalesce(F.size(votes(level(0))) > 0, F.lit(False)).alias("voted"),
         ok(reduce(lambda a, b: a & b, most)).alias("within"), ok(reduce(lambda a, b: a & b, (below(level(i), level(i + 1)) for i in range(4)))).alias("descends"),
+        F.when(F.col("status").isNull(), F.col("good")).alias("right"),
     )
 
 

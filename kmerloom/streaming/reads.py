@@ -15,9 +15,9 @@ FILES = 10_000
 
 
 def predict_stream(spark: SparkSession, db: str, folder: str, out: str, checkpoint: str, params: Params):
-    """A streaming query over new read files under folder; reports are written under out, a folder per batch.
+    """A streaming query over new read files under folder; reports are written under out, a folder per batch and file.
 
-    A batch that runs again overwrites its own folder, so reports are written once.
+    A batch that runs again replaces its own folders, so reports are written once.
     """
     files = spark.readStream.format("text").option("lineSep", "\n>").option("recursiveFileLookup", True).load(folder)
     named = files.select(F.col("_metadata.file_path").alias("file"))
@@ -30,6 +30,6 @@ def predict_stream(spark: SparkSession, db: str, folder: str, out: str, checkpoi
             # One reader for a group of files, so the plan doesn't grow with their number.
             groups = [read_reads(spark, paths[at : at + FILES]) for at in range(0, len(paths), FILES)]
             reads = reduce(DataFrame.unionByName, groups)
-            predict(spark, db, reads, f"{out}/batch={number}", params)
+            predict(spark, db, reads, out, params, batch=number)
 
     return named.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
