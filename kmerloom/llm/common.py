@@ -10,7 +10,7 @@ from collections.abc import Callable, Iterable, Iterator
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import StructType
+from pyspark.sql.types import StructField, StructType
 
 #: bytes.translate table that lower-cases A-Z and leaves every other byte.
 LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
@@ -82,6 +82,28 @@ def quoted(name: str) -> str:
     return "`" + name.replace("`", "``") + "`"
 
 
+def masked(docs: DataFrame, **roles: str) -> DataFrame:
+    """docs with plain names: the columns that play a role get its name, all others a number, so that none clashes or needs quoting.
+
+    Undone by toDF(*docs.columns), as the order stays.
+    """
+    names = {name: role for role, name in roles.items()}
+    missing = set(names) - set(docs.columns)
+    if missing:
+        raise ValueError(f"no column {sorted(missing)}")
+    return docs.toDF(*(names.get(c, f"__{i}") for i, c in enumerate(docs.columns)))
+
+
+def with_fields(fields: Iterable[StructField], more: str) -> StructType:
+    """A schema of the fields, whatever their names and types, and further ones as DDL."""
+    return StructType([*fields, *StructType.fromDDL(more).fields])
+
+
+def text_bytes(name: str) -> Column:
+    """Bytes of a value as text, as a bound for a row of it."""
+    return F.coalesce(F.octet_length(F.col(name).cast("string")), F.lit(0)) + 24
+
+
 def ranked(nodes: DataFrame, order: list[str]) -> DataFrame:
     """nodes(key, order, tie, others) with rank, from 0 in the key's order, and n, the key's number of nodes; `tie` parts equal rows.
 

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import LOWER_ALNUM, column, fresh, map_arrow, slices, small_side, stored, texts_of
+from .common import LOWER_ALNUM, column, fresh, map_arrow, masked, slices, small_side, stored, texts_of, with_fields
 
 #: Words of a window.
 WINDOW = 13
@@ -190,7 +190,8 @@ def find_matches(
     items = benchmark.select(F.col("item_id").cast("string").alias("i"), F.col("text").alias("t")).where("t is not null")
     size = items.agg(F.coalesce(F.sum(F.octet_length("t")), F.lit(0))).first()[0]
     blocks = max(1, -(-size // BLOCK_BYTES) * (2 if size > BLOCK_BYTES else 1))
-    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema), *(f"`{n}` {k}" for n, k in zip(names, ("long", MATCH, SPANS), strict=True))])
+    more_fields = ", ".join(f"`{n}` {k}" for n, k in zip(names, ("long", MATCH, SPANS), strict=True))
+    schema = with_fields(docs.schema.fields, more_fields)
 
     def block(b: int) -> list[tuple]:
         mine = items if blocks == 1 else items.where(F.pmod(F.xxhash64("i", "t"), F.lit(blocks)) == b)
@@ -207,7 +208,7 @@ def find_matches(
     more = more.groupBy("k").agg(F.flatten(F.collect_list("m")).alias(more_m), F.flatten(F.collect_list("h")).alias(more_h))
     more = small_side(stored(more.withColumnRenamed("k", k), "decontam-hits"), 64 + 64 * F.size(more_m))
     n, m, h = names
-    schema = schema.replace(f"`{n}` long", f"`{key}` long, `{n}` long", 1)
+    schema = with_fields(keyed.schema.fields, more_fields)
     out = map_arrow(keyed, _scan(block(0), text, window, names), schema)
     out = out.join(more, out[key] == more[k], "left")
     both = lambda old, new: F.when(F.col(k).isNull(), F.col(old)).otherwise(new)
@@ -224,9 +225,9 @@ def contaminated(words: str = "__words", spans: str = "__spans") -> Column:
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """docs without the contaminated ones; its columns as they were, whatever their names."""
-    names = tuple(fresh(docs, "__words", "__matches", "__spans"))
-    return find_matches(docs, benchmark, names=names).where(~contaminated(names[0], names[2])).select(*docs.columns)
+    """docs without the contaminated ones; its columns as they were, whatever their names and types."""
+    work = masked(docs, text="text")
+    return find_matches(work, benchmark).where(~contaminated()).select(*work.columns).toDF(*docs.columns)
 
 
 def op1_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import column, map_arrow, slices, train_fold
+from .common import column, map_arrow, quoted, slices, train_fold, with_fields
 
 SAMPLE_PER_LANGUAGE = 400
 SHORT_BYTES, SAMPLE_BYTES = 200, 8192
@@ -201,8 +201,8 @@ def _predict(model: bytes):
 def identify(docs: DataFrame, model: Model) -> DataFrame:
     """docs(text, others) -> the others with lang_pred and score."""
     other = [f for f in docs.schema if f.name not in ("text", "lang_pred", "score")]
-    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in other), "lang_pred string", "score double"])
-    return map_arrow(docs.select(*(f.name for f in other), "text"), _predict(pickle.dumps(model)), schema)
+    schema = with_fields(other, "lang_pred string, score double")
+    return map_arrow(docs.select(*(quoted(f.name) for f in other), "text"), _predict(pickle.dumps(model)), schema)
 
 
 def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:

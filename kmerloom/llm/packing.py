@@ -24,8 +24,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructField, StructType
 
-from .common import column, map_arrow, slices, small_side, stored
+from .common import column, map_arrow, masked, slices, small_side, stored
 
 #: Most queues of which each task holds a share and a total; with more, windows come from a distributed sort.
 MAX_QUEUES = 1024
@@ -108,7 +109,7 @@ class Schedule:
 def encode_documents(docs: DataFrame, tokenizer: str, end_id: int) -> DataFrame:
     """Stored table: part, queue, doc_id, ids (little-endian, `width` bytes each), n_tokens, before (tokens of the queue
     ahead in this part)."""
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.col("source").cast("string").alias("source"))
+    rows = masked(docs, doc_id="doc_id", text="text", source="source").select("doc_id", "text", F.col("source").cast("string").alias("source"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
@@ -140,9 +141,14 @@ def encode_documents(docs: DataFrame, tokenizer: str, end_id: int) -> DataFrame:
                 names=["part", "queue", "doc_id", "ids", "width", "n_tokens", "before"],
             )
 
-    return stored(
-        map_arrow(rows, run, "part int, queue string, doc_id long, ids binary, width int, n_tokens long, before long"), "pack-ids"
-    )
+    kinds = "part int, queue string, doc_id long, ids binary, width int, n_tokens long, before long"
+    return stored(map_arrow(rows, run, with_id(kinds, rows)), "pack-ids")
+
+
+def with_id(schema: str, docs: DataFrame) -> StructType:
+    """The schema with doc_id of the type that it has in docs."""
+    own = docs.schema["doc_id"].dataType
+    return StructType([StructField(f.name, own if f.name == "doc_id" else f.dataType) for f in StructType.fromDDL(schema)])
 
 
 def _cut(queues: list, totals: list[int], shares: list[float], size: int):
@@ -256,13 +262,13 @@ def _cut_many(placed: DataFrame, totals: DataFrame, targets: dict | None, size:
                         (doc, source, c["at"], c["length"], zlib.crc32(ids[c["at"] : c["at"] + c["length"]]), n, c["window"], c["offset"])
                         for c in cuts
                     ]
-                kinds = [pa.int64(), pa.string(), *[pa.int64()] * 6]
+                kinds = [column(batch, "doc_id").type, pa.string(), *[pa.int64()] * 6]
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(v, kind) for v, kind in zip(zip(*out, strict=True), kinds, strict=True)],
                     names=["doc_id", "source", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"],
                 )
 
-    return map_arrow(whole, run, PIECES)
+    return map_arrow(whole, run, with_id(PIECES, placed))
 
 
 PIECES = "doc_id long, source string, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
@@ -270,7 +276,7 @@ PIECES = "doc_id long, source string, start long, length long, ids_crc32 long, d
 
 def pack_documents(docs: DataFrame, tokenizer: str, end_id: int = 1, size: int = 2048, targets: dict | None = None) -> DataFrame:
     """Pieces of documents in windows of `size` tokens: doc_id, source, start, length, ids_crc32, doc_tokens,
-    sequence_id, offset.  targets: shares by source (any positive numbers); sources without one share by their tokens."""
+    sequence_id, offset.  Ids may be of any type.  targets: shares by source (any positive numbers); sources without one share by their tokens."""
     spark = docs.sparkSession
     ids = encode_documents(docs, tokenizer, end_id)
     parts = ids.groupBy("part", "queue").agg(F.sum("n_tokens").alias("n"))
@@ -288,7 +294,8 @@ def pack_documents(docs: DataFrame, tokenizer: str, end_id: int = 1, size: int =
     found = sorted(totals.collect(), key=lambda r: (r["queue"] is not None, r["queue"]))
     queues, sums = [r["queue"] for r in found], [r["n"] for r in found]
     shares = [float((targets or {}).get(q, n / max(1, sum(sums)))) for q, n in zip(queues, sums, strict=True)]
-    return map_arrow(placed, _cut(queues, sums, shares, size), PIECES) if queues else spark.createDataFrame([], PIECES)
+    schema = with_id(PIECES, ids)
+    return map_arrow(placed, _cut(queues, sums, shares, size), schema) if queues else spark.createDataFrame([], schema)
 
 
 def op4_mixture_packing(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -17,7 +17,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import BLANK, small_side, stored
+from .common import BLANK, masked, small_side, stored, text_bytes
 
 #: KLL parameter k: a group of at most so many documents has exact quantiles.
 SKETCH = 4096
@@ -139,12 +139,13 @@ def measured_table(docs: DataFrame, *keep: str) -> DataFrame:
 
 
 def apply_rules(docs: DataFrame, id_col: str = "doc_id") -> DataFrame:
-    """docs that are kept; columns as they were.  Rows are found again by id; where ids are null or repeated, by id and text."""
-    work = docs.select(F.col(id_col).alias("__id"), F.xxhash64("text").alias("__t"), "text", "lang", "source")
+    """docs that are kept; columns as they were, whatever their names and types.  Rows are found again by id and text."""
+    named = masked(docs, doc_id=id_col, text="text", lang="lang", source="source")
+    work = named.select(F.col("doc_id").alias("__id"), F.xxhash64("text").alias("__t"), "text", "lang", "source")
     bad = stored(judged(measured_table(work, "__id", "__t")).where("not kept").select("__id", "__t"), "rejected").distinct()
-    bad = small_side(bad, 24)
-    same = docs[id_col].eqNullSafe(bad["__id"]) & (F.xxhash64(docs["text"]) == bad["__t"])
-    return docs.join(bad, same, "left_anti")
+    bad = small_side(bad, text_bytes("__id"))
+    same = named["doc_id"].eqNullSafe(bad["__id"]) & (F.xxhash64(named["text"]) == bad["__t"])
+    return named.join(bad, same, "left_anti").toDF(*docs.columns)
 
 
 def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -25,7 +25,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import LOWER, fresh, map_arrow, slices, small_side, stored, texts_of
+from .common import LOWER, map_arrow, masked, slices, small_side, stored, text_bytes, texts_of, with_fields
 from .components import components
 
 BITS, SEGMENTS, DISTANCE = 64, 4, 3
@@ -67,8 +67,7 @@ def _add_fingerprints(text: str, name: str):
 def fingerprints(docs: DataFrame, text: str = "text", name: str = "__fp") -> DataFrame:
     """Stored table of docs' other columns and the fingerprint; a column of docs with its name must not be there."""
     other = [f for f in docs.schema if f.name != text]
-    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in other), f"`{name}` long"])
-    return stored(map_arrow(docs, _add_fingerprints(text, name), schema), "fingerprints")
+    return stored(map_arrow(docs, _add_fingerprints(text, name), with_fields(other, f"`{name}` long")), "fingerprints")
 
 
 def _turned(value: Column, i: int) -> Column:
@@ -110,19 +109,22 @@ def near_groups(prints: DataFrame, id_col: str = "doc_id") -> DataFrame:
 
 
 def near_dedup(docs: DataFrame, id_col: str = "doc_id", text: str = "text") -> DataFrame:
-    """docs with one row of each near-duplicate component: that with the smallest id; its columns as they were."""
-    prints = fingerprints(docs.select(id_col, text), text)
-    groups = near_groups(prints, id_col)
-    rows, ids = prints.agg(F.count("*"), F.count_distinct(id_col)).first()
+    """docs with one row of each near-duplicate component: that with the smallest id; its columns as they were.
+
+    Ids may be of any type that has an order; other columns may have any names and types.
+    """
+    work = masked(docs, doc_id=id_col, text=text)
+    prints = fingerprints(work.select("doc_id", "text"))
+    groups = near_groups(prints)
+    rows, ids = prints.agg(F.count("*"), F.count_distinct("doc_id")).first()
     if rows == ids:
-        lost = prints.select(id_col, "__fp").join(groups, "__fp").where(F.col(id_col) != F.col("component_id")).select(id_col)
-        return docs.join(small_side(stored(lost, "near-copies"), 16), id_col, "left_anti").select(*docs.columns)
-    # Null or repeated ids: rows carry their fingerprint themselves, and one row of each component is kept.
-    copy, fp, root, component = fresh(docs, "__text", "__fp", "__root", "__component")
-    carried = fingerprints(docs.withColumn(copy, F.col(text)), copy, fp)
-    groups = groups.select(F.col("__fp").alias(fp), F.col("root").alias(root), F.col("component_id").alias(component))
-    kept = carried.join(groups, fp).where(F.col(id_col).eqNullSafe(F.col(component))).dropDuplicates([root])
-    return kept.select(*docs.columns)
+        lost = prints.select("doc_id", "__fp").join(groups, "__fp").where(F.col("doc_id") != F.col("component_id")).select("doc_id")
+        kept = work.join(small_side(stored(lost, "near-copies"), text_bytes("doc_id")), "doc_id", "left_anti")
+    else:
+        # Null or repeated ids: rows carry their fingerprint themselves, and one row of each component is kept.
+        carried = fingerprints(work.withColumn("__text", F.col("text")), "__text")
+        kept = carried.join(groups, "__fp").where(F.col("doc_id").eqNullSafe(F.col("component_id"))).dropDuplicates(["root"])
+    return kept.select(*work.columns).toDF(*docs.columns)
 
 
 def op3_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

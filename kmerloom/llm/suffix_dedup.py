@@ -32,8 +32,9 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from .common import column, fresh, join_counted, map_arrow, slices, small_side, stored, texts_of
+from .common import column, fresh, join_counted, map_arrow, masked, slices, small_side, stored, texts_of
 
 #: Bytes of text of which anchors are found at once.
 STRETCH = 1 << 20
@@ -434,7 +435,8 @@ def with_spans(
 ) -> DataFrame:
     """docs with one more column: the byte ranges of their texts to remove, null for none."""
     (key,) = fresh(docs, "__key")
-    rows, ids = docs.agg(F.count("*"), F.count_distinct(id_col)).first()
+    whole = isinstance(docs.schema[id_col].dataType, T.IntegralType)
+    rows, ids = docs.agg(F.count("*"), F.count_distinct(id_col)).first() if whole else (1, 0)
     if rows == ids:
         docs = docs.withColumn(key, F.col(id_col).cast("long"))
     else:
@@ -458,11 +460,12 @@ def cut(text: bytes, spans: list[dict] | None) -> bytes:
 def suffix_dedup(docs: DataFrame, length: int = 400, keep: str = "first", text: str = "text") -> DataFrame:
     """docs with later copies (or, keep="none", all copies) cut out of the text; other columns as they were.
 
-    A character that a cut splits is dropped whole, so texts stay valid UTF-8.
+    A character that a cut splits is dropped whole, so texts stay valid UTF-8.  Rows are known by their ids if these are whole numbers
+    and all different, else by numbers of their own; other columns may have any names and types.
     """
-    (name,) = fresh(docs, "__spans")
-    marked = with_spans(docs, text=text, length=length, keep=keep, name=name)
-    at = marked.columns.index(text)
+    work, name = masked(docs, doc_id="doc_id", text=text), "__spans"
+    marked = with_spans(work, length=length, keep=keep, name=name).select(*work.columns, name)
+    at, text = work.columns.index("text"), "text"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, text):
@@ -473,8 +476,7 @@ def suffix_dedup(docs: DataFrame, length: int = 400, keep: str = "first", text:
             arrays = [pa.array(new, pa.string()) if i == at else batch.column(i) for i in range(batch.num_columns - 1)]
             yield pa.RecordBatch.from_arrays(arrays, names=batch.schema.names[:-1])
 
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
-    return map_arrow(marked, run, schema)
+    return map_arrow(marked, run, work.schema).toDF(*docs.columns)
 
 
 def _digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

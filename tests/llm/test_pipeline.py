@@ -79,3 +79,36 @@ def test_odd_tables(spark, sf, tmp_path):
     frame.limit(0).write.parquet(f"{tmp_path}/none/documents.parquet")
     spark.createDataFrame(items, "item_id long, text string").write.parquet(f"{tmp_path}/none/benchmark.parquet")
     assert corpus_pipeline.run(spark, f"{tmp_path}/none").count() == 0
+
+
+@pytest.mark.parametrize("ids", ["string", "double", "long"])
+def test_odd_names_and_types(spark, tmp_path, ids):
+    """Names with dots, backticks and blanks, by case alone different, nested ones too; maps; ids that aren't whole numbers, null or repeated."""
+    import random
+
+    rng = random.Random(8)
+    passage, texts = prose(rng, 80), [prose(rng, 120) for _ in range(30)]
+    value = {"string": lambda i: f"doc/{i:03}", "double": lambda i: i + 0.25, "long": lambda i: i}[ids]
+    rows = [(value(i), f"{t} {passage}" if i in (4, 9) else t, "en", "s1") for i, t in enumerate(texts)]
+    rows += [(value(40), texts[0], "en", "s1"), (value(5), texts[1] + " more", "en", "s1"), (None, prose(rng, 100), "en", None)]
+    frame = spark.createDataFrame([(*r, len(r[1]), i) for i, r in enumerate(rows)], f"doc_id {ids}, text string, lang string, source string, n_chars long, row long")
+    row = F.col("row")
+    more = {"meta.url": row, "a`b": row, "c d": row, "Text": row, "s": F.struct(row.alias("a b"), F.struct(row.alias("x.y")).alias("n")), "m": F.create_map(F.lit("k k"), row)}
+    frame = frame.select("*", *(c.alias(n) for n, c in more.items()))
+    spark.conf.set("spark.sql.caseSensitive", "true")  # only so that the table of the test can be written and read by name
+    try:
+        frame.repartition(3).write.parquet(f"{tmp_path}/documents.parquet")
+        spark.createDataFrame([(1, texts[7][:200])], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+        docs = spark.read.parquet(f"{tmp_path}/documents.parquet")
+        for name, stage in corpus_pipeline.STAGES[:-1]:
+            docs = stored(stage(spark, docs, str(tmp_path)), "odd-names")
+            assert docs.columns == frame.columns and docs.schema.simpleString() == frame.schema.simpleString(), name
+            for r in docs.collect():
+                assert {r["meta.url"], r["a`b"], r["c d"], r["Text"], r["s"]["a b"], r["s"]["n"]["x.y"], r["m"]["k k"]} == {r["row"]}
+        left = {r["row"]: r for r in docs.collect()}
+        assert 7 not in left and len({0, 30} & left.keys()) == 1 and 32 in left and sum(passage in r["text"] for r in left.values()) == 1
+        pieces = corpus_pipeline.STAGES[-1][1](spark, docs, str(tmp_path))
+        assert pieces.schema["doc_id"].dataType == frame.schema["doc_id"].dataType
+        assert {p.doc_id for p in pieces.collect()} == {r["doc_id"] for r in left.values()}
+    finally:
+        spark.conf.unset("spark.sql.caseSensitive")
