@@ -51,21 +51,60 @@ def sum_expanded(df: DataFrame, keys: list[str]) -> DataFrame:
     return spread.groupBy(*keys, "kmer").agg(F.sum("cnt").alias("cnt"))
 
 
+def count_canonical(df: DataFrame, keys: list[str], width: int, semantics: str = "reference") -> DataFrame:
+    """df(keys, win) -> keys, kmer, n: places at which a k-mer or its reverse complement stands, by the lesser of the two.
+
+    Each window is turned once, so that both are slices of bytes.
+    """
+    short = 2 if semantics == "reference" else 0
+    text = F.col("win").cast("string")
+    whole = df.where(F.length("win") >= width + short).select(*keys, "win", revcomp(text).cast("binary").alias("back"))
+    last = F.length("win") - (width + short) + 1
+    at = whole.select(*keys, "win", "back", F.explode(F.sequence(F.lit(1), last)).alias("pos"))
+    both = F.least(F.expr(f"substring(win, pos, {width})"), F.expr(f"substring(back, length(win) - pos - {width - 2}, {width})"))
+    return at.select(*keys, both.cast("string").alias("kmer")).groupBy(*keys, "kmer").agg(F.count("*").alias("n"))
+
+
+def both_strands(df: DataFrame, keys: list[str]) -> DataFrame:
+    """count_canonical() -> keys, kmer, cnt: each k-mer's count and its reverse complement's, added."""
+    row = lambda k, n: F.struct(k.alias("kmer"), n.alias("cnt"))
+    turned = revcomp(F.col("kmer"))
+    own = F.when(turned == F.col("kmer"), F.array(row(F.col("kmer"), 2 * F.col("n")))).otherwise(F.array(row(F.col("kmer"), F.col("n")), row(turned, F.col("n"))))
+    return df.select(*keys, F.inline(own))
+
+
 def kmer_profile(
     wins: DataFrame, keys: list[str], k: int, pattern: list[int], semantics: str = "reference", deal: list[str] | None = None
 ) -> DataFrame:
     """wins(keys, win) -> keys, kmer, cnt: the full counter.
 
-    Windows are dealt once, by their keys or by `deal`, some of these; every aggregate after that finds its rows in place,
-    so this is one exchange.
+    Windows are dealt once, by their keys or by `deal`, some of these; every aggregate after that finds its rows in place.
+    In a window without the one letter that shares its complement with another (U), a k-mer and its reverse complement belong to each
+    other alone, so both strands are counted in one aggregate.  Windows with it, and masks in the reference semantics, where the last of
+    several k-mers counts, take the general way; each way is one exchange of its own windows.
     """
     if sum(pattern) != k:
         raise ValueError("a pattern keeps as many places as k")
-    dealt = deal_windows(wins.select(*keys, "win"), *(deal or keys))
-    counted = count_kmers(kmers(dealt, len(pattern), semantics), keys)
-    merged = apply_pattern_counts(merge_strands(counted, keys, semantics), keys, pattern, semantics)
-    out = sum_expanded(drop_homopolymers(merged, k), keys)
-    return drop_homopolymers(out, k) if semantics == "clean" else out
+    rows = wins.select(*keys, "win")
+    paired = F.instr(F.col("win").cast("string"), "U") == 0
+    simple = 0 not in pattern or semantics == "clean"
+
+    def finished(merged: DataFrame) -> DataFrame:
+        out = sum_expanded(drop_homopolymers(merged, k), keys)
+        return drop_homopolymers(out, k) if semantics == "clean" else out
+
+    def general(some: DataFrame) -> DataFrame:
+        dealt = deal_windows(some, *(deal or keys))
+        counted = count_kmers(kmers(dealt, len(pattern), semantics), keys)
+        return finished(apply_pattern_counts(merge_strands(counted, keys, semantics), keys, pattern, semantics))
+
+    if not simple:
+        return general(rows)
+    dealt = deal_windows(rows.where(paired), *(deal or keys))
+    merged = both_strands(count_canonical(dealt, keys, len(pattern), semantics), keys)
+    if 0 in pattern:
+        merged = merged.withColumn("kmer", pattern_filter(F.col("kmer"), pattern)).groupBy(*keys, "kmer").agg(F.sum("cnt").alias("cnt"))
+    return finished(merged).unionByName(general(rows.where(~paired)))
 
 
 def add_counters(a: DataFrame, b: DataFrame, keys: list[str]) -> DataFrame:

@@ -20,7 +20,7 @@ from ..operators import windows as w
 from ..operators.storage import shared_path, stored
 from ..sources import fasta, tables
 from . import pipelines
-from .params import Params
+from .params import Params, accepted
 
 SIZE, K = 300, 4
 MASK = [1, 1, 0, 1, 1]
@@ -60,8 +60,8 @@ def named(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def probs(spark: SparkSession, sf: str) -> DataFrame:
-    e = F.transform(F.slice("embedding", 1, 6), lambda x: F.round(x * 1000).cast("bigint"))
-    q = F.transform(e, lambda x: x * x)
+    e = F.transform("embedding", lambda x: F.round(x * 1000).cast("bigint"))
+    q = F.transform(e, lambda x: x * x * x * x)
     total = F.aggregate(q, F.lit(0).cast("bigint"), lambda a, y: a + y).cast("double")
     return spark.read.parquet(f"{sf}/embeddings.parquet").select(
         F.expr("vec_id div 10").alias("read_id"), (F.col("vec_id") % 10).alias("win_idx"), F.transform(q, lambda x: x.cast("double") / total).alias("p")
@@ -168,7 +168,7 @@ SQL_TREE = f"""{SQL_PAIRS}, nodes as (select level_idx, level, lower(name) as ke
 SQL_CODES = f"""{SQL_PAIRS}, codes as (select level, name, (row_number() over (partition by level order by first_ord, name) - 1)::int as code
  from (select level, name, min(ord) as first_ord from pairs group by all))"""
 SQL_PROBS = """probs as (select vec_id // 10 as read_id, vec_id % 10 as win_idx, list_transform(q, lambda x: x::double / list_sum(q)::double) as p
- from (select vec_id, list_transform(embedding[1:6], lambda x: (round(x * 1000)::bigint) * (round(x * 1000)::bigint)) as q from embeddings))"""
+ from (select vec_id, list_transform(list_transform(embedding, lambda x: round(x * 1000)::bigint), lambda x: x * x * x * x) as q from embeddings))"""
 
 
 def sql_consensus(func: str, t: float = 0.8) -> str:
@@ -612,6 +612,20 @@ def s6(spark, sf):
     return tables.read_manifest(spark, path)
 
 
+# ---- parameters -------------------------------------------------------------------------------------------------------
+@query("p0_params", """with sets as (select doc_id, (n_chars % 12)::int as read_size, (doc_id % 5 + 1)::int as ksize, (doc_id % 7 - 1)::int as sampling,
+  list_transform(range(doc_id % 6 + 1), lambda i: case when doc_id % 11 = 0 and i = 1 then 2 else ((doc_id // (2 ** i)::bigint) % 2)::int end) as pattern from documents)
+ select *, list_sum(pattern) = ksize and len(list_filter(pattern, lambda x: x not in (0, 1))) = 0 and sampling > 0 and read_size >= len(pattern) + 2 as ok from sets""")
+def p0(spark, sf):
+    """Parameter sets of the documents' numbers, and whether the guard takes them."""
+    bit = lambda i: F.when((F.col("doc_id") % 11 == 0) & (i == 1), 2).otherwise(F.floor(F.col("doc_id") / F.pow(F.lit(2), i)) % 2).cast("int")
+    sets = docs(spark, sf).select(
+        "doc_id", (F.col("n_chars") % 12).cast("int").alias("read_size"), (F.col("doc_id") % 5 + 1).cast("int").alias("ksize"),
+        (F.col("doc_id") % 7 - 1).cast("int").alias("sampling"), F.transform(F.sequence(F.lit(0).cast("long"), F.col("doc_id") % 6), bit).alias("pattern"),
+    )
+    return sets.withColumn("ok", accepted(*(F.col(c) for c in ("read_size", "ksize", "pattern", "sampling"))))
+
+
 # ---- commands ----------------------------------------------------------------------------------------------------------
 PARAMS = Params(read_size=SIZE, ksize=K, sampling=MANY, semantics="clean")
 #: Databases built in this process, by session and input.

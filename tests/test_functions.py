@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from kmerloom.functions import names, scores, sequence
 from kmerloom.operators import consensus, manifest, profile, taxonomy, windows
-from kmerloom.plans.params import Params
+from kmerloom.plans.params import Params, accepted
 
 
 def one(spark, column, **values):
@@ -92,9 +92,26 @@ def test_profile_against_a_model(spark, mask, semantics):
 
 
 def test_profile_is_one_exchange(spark):
+    """One for windows whose strands pair up, and one for those with U."""
     frame = spark.createDataFrame([(1, bytearray(b"ACGTACGTAC"))], "id int, win binary")
-    plan = profile.kmer_profile(frame, ["id"], 4, [1, 1, 1, 1])._jdf.queryExecution().executedPlan().toString()
-    assert plan.count("Exchange hashpartitioning") == 1
+    plans = [profile.count_map(profile.with_codes(profile.kmer_profile(frame, ["id"], 4, p, s)), ["id"])._jdf.queryExecution().executedPlan().toString()
+             for p, s in (([1, 1, 1, 1], "reference"), ([1, 1, 0, 1, 1], "clean"), ([1, 1, 0, 1, 1], "reference"))]
+    assert [p.count("Exchange hashpartitioning") for p in plans] == [2, 2, 1]
+
+
+@pytest.mark.parametrize("semantics", ["reference", "clean"])
+def test_strands_counted_at_once(spark, semantics):
+    """Windows with and without U give what the general way gives."""
+    rng = random.Random(11)
+    words = ["".join(rng.choice(letters) for _ in range(rng.choice([3, 6, 40, 60]))) for letters in ("ACGT", "ACGTRYKMSWBVDHN", "ACGTU", "ACGTURYN", "A") for _ in range(12)]
+    frame = spark.createDataFrame([(i, bytearray(w.encode())) for i, w in enumerate(words)], "id int, win binary")
+    for pattern in ([1, 1, 1, 1], [1, 1, 0, 1, 1]):
+        got = profile.kmer_profile(frame, ["id"], 4, pattern, semantics)
+        counted = profile.count_kmers(profile.kmers(frame, len(pattern), semantics), ["id"])
+        want = profile.apply_pattern_counts(profile.merge_strands(counted, ["id"], semantics), ["id"], pattern, semantics)
+        want = profile.sum_expanded(profile.drop_homopolymers(want, 4), ["id"])
+        want = profile.drop_homopolymers(want, 4) if semantics == "clean" else want
+        assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect()))
 
 
 def total(p):
@@ -184,6 +201,23 @@ def test_params_guard():
             Params(**bad)
 
 
+def test_params_of_a_table(spark):
+    rng = random.Random(4)
+    rows = [(rng.randrange(12), rng.randrange(1, 5), [rng.choice([0, 1, 1, 1, 2][: 4 + i % 2]) for _ in range(rng.randrange(6))], rng.randrange(-1, 4)) for i in range(400)]
+    rows += [(6, 4, [1, 1, 1, 1], 1), (5, 4, [1, 1, 1, 1], 1)]
+    frame = spark.createDataFrame(rows, "read_size int, ksize int, pattern array<int>, sampling int")
+    got = [r.ok for r in frame.select(accepted(*(frame[c] for c in frame.columns)).alias("ok")).collect()]
+
+    def taken(read_size, ksize, pattern, sampling):
+        try:
+            Params(read_size=read_size, ksize=ksize, pattern=pattern, sampling=sampling)
+        except ValueError:
+            return False
+        return True
+
+    assert got == [taken(*r) for r in rows] and any(got)
+
+
 def test_taxonomy_conflicts(spark):
     rows = [(0, "A", "P", "G", "O", "F"), (1, "B", "p", "G", "O2", "F2"), (2, "A", "Q", "H", "O3", "F3")]
     frame = spark.createDataFrame(rows, "file_ord int, domain string, phylum string, `group` string, order string, family string")
