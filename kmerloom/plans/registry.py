@@ -60,11 +60,13 @@ def named(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def probs(spark: SparkSession, sf: str) -> DataFrame:
+    """Probabilities of eight classes from all elements of a vector: an element's class is its place modulo eight."""
+    add = lambda v: F.aggregate(v, F.lit(0).cast("bigint"), lambda a, y: a + y)
     e = F.transform("embedding", lambda x: F.round(x * 1000).cast("bigint"))
     q = F.transform(e, lambda x: x * x * x * x)
-    total = F.aggregate(q, F.lit(0).cast("bigint"), lambda a, y: a + y).cast("double")
+    parts = F.transform(F.sequence(F.lit(0), F.lit(7)), lambda c: add(F.filter(q, lambda _, i: i % 8 == c)))
     return spark.read.parquet(f"{sf}/embeddings.parquet").select(
-        F.expr("vec_id div 10").alias("read_id"), (F.col("vec_id") % 10).alias("win_idx"), F.transform(q, lambda x: x.cast("double") / total).alias("p")
+        F.expr("vec_id div 10").alias("read_id"), (F.col("vec_id") % 10).alias("win_idx"), F.transform(parts, lambda x: x.cast("double") / add(q).cast("double")).alias("p")
     )
 
 
@@ -167,8 +169,9 @@ SQL_TREE = f"""{SQL_PAIRS}, nodes as (select level_idx, level, lower(name) as ke
   union all select 0, 'root', 'root_root', 'Root', null, null)"""
 SQL_CODES = f"""{SQL_PAIRS}, codes as (select level, name, (row_number() over (partition by level order by first_ord, name) - 1)::int as code
  from (select level, name, min(ord) as first_ord from pairs group by all))"""
-SQL_PROBS = """probs as (select vec_id // 10 as read_id, vec_id % 10 as win_idx, list_transform(q, lambda x: x::double / list_sum(q)::double) as p
- from (select vec_id, list_transform(list_transform(embedding, lambda x: round(x * 1000)::bigint), lambda x: x * x * x * x) as q from embeddings))"""
+SQL_PROBS = """probs as (select vec_id // 10 as read_id, vec_id % 10 as win_idx, list_transform(s, lambda x: x::double / list_sum(q)::double) as p
+ from (select vec_id, q, [coalesce(list_sum([q[i] for i in range(c + 1, len(q) + 1, 8)]), 0) for c in range(8)] as s
+ from (select vec_id, list_transform(list_transform(embedding, lambda x: round(x * 1000)::bigint), lambda x: x * x * x * x) as q from embeddings)))"""
 
 
 def sql_consensus(func: str, t: float = 0.8) -> str:
@@ -494,9 +497,9 @@ def f6(spark, sf):
     return consensus.keep_taxa(votes, ["read_id"], 0.3)
 
 
-@query("q3_zero_class", f"with {sql_consensus('min_max', 0.2)} select read_id, vote, votes from votes where counts and vote = 0")
+@query("q3_zero_class", f"with {sql_consensus('delta_sum', 0.2)} select read_id, vote, votes from votes where counts and vote = 0")
 def q3(spark, sf):
-    voted = consensus.consensus(probs(spark, sf), ["read_id"], "min_max", 0.2)
+    voted = consensus.consensus(probs(spark, sf), ["read_id"], "delta_sum", 0.2)
     return consensus.count_votes(voted, ["read_id"]).where("vote = 0")
 
 
