@@ -1,6 +1,7 @@
 """Operators 2, 7, 8, 9 and 10: brute force, held-out accuracy and SQL."""
 
 import math
+import random
 import re
 import zlib
 from collections import Counter
@@ -195,3 +196,43 @@ def test_licenses(spark, sf):
     assert rows.keys() == docs.keys()
     for d, text in docs.items():
         assert rows[d].own_license in ({lines[x] for x in text.split("\n") if x in lines} or {None})
+
+
+def test_language_regression_by_brute_force():
+    """Kernel by sets of n-grams, Nystroem features by a singular value decomposition, regression as stacked least squares."""
+    import numpy as np
+
+    rng = random.Random(12)
+    letters = {"aa": "abcdefgh", "bb": "efghijkl", "cc": "klmnopqe"}
+    make = lambda lang: " ".join("".join(rng.choice(letters[lang]) for _ in range(rng.randrange(1, 7))) for _ in range(rng.randrange(1, 12)))
+    texts = [make(lang) for lang in letters for _ in range(14)]
+    langs = [lang for lang in letters for _ in range(14)]
+    new = [make(lang) for lang in letters for _ in range(10)] + ["E f G", "éa ß", "123", "", None]
+    ridge = langid.RIDGE
+
+    def grams(text):
+        s = " " + " ".join("".join(c if c.isalpha() else " " for c in text.lower()).split()) + " "
+        return {s[i : i + n] for n in (1, 2, 3) for i in range(len(s) - n + 1)} if s.strip() else set()
+
+    def kernel(a, b):
+        return np.array([[len(x & y) / (max(1, len(x)) * max(1, len(y))) ** 0.5 for y in b] for x in a])
+
+    sets = [grams(t) for t in texts]
+    for landmarks in (len(texts), 9):
+        model = langid.Model(texts, langs, landmarks=landmarks)
+        order = [i for row in zip(*([i for i, x in enumerate(langs) if x == lang] for lang in letters), strict=True) for i in row][:landmarks]
+        marks = [sets[i] for i in order]
+        u, size, _ = np.linalg.svd(kernel(marks, marks), hermitian=True)
+        ok = size > 1e-6 * size.max()
+        root = u[:, ok] / np.sqrt(size[ok])
+        z = np.hstack([kernel(sets, marks) @ root, np.ones((len(sets), 1))])
+        y = np.array([[1.0 if x == lang else -1.0 for lang in letters] for x in langs])
+        w = np.linalg.lstsq(np.vstack([z, np.sqrt(ridge * len(z)) * np.eye(z.shape[1])]), np.vstack([y, np.zeros((z.shape[1], 3))]), rcond=None)[0]
+        seen = [grams(t or "") for t in new]
+        f = np.hstack([kernel(seen, marks) @ root, np.ones((len(seen), 1))]) @ w
+        got, scores = model.predict(new)
+        for i, s in enumerate(seen):
+            want = max(f[i]) if s else -1
+            assert abs(scores[i] - min(1, max(0, (want + 1) / 2))) < 2e-3
+            close = np.sort(f[i])[-1] - np.sort(f[i])[-2] < 4e-3
+            assert got[i] == (list(letters)[int(f[i].argmax())] if s else "und") or (s and close)
