@@ -46,6 +46,11 @@ def clamp_threshold(t: float | None) -> float:
     return min(1.0, max(0.01, float(t)))
 
 
+def clamped(t: Column) -> Column:
+    """clamp_threshold() of a column."""
+    return F.least(F.lit(1.0), F.greatest(F.lit(0.01), t))
+
+
 def ladder(t: float, step: float = 0.05) -> list[float]:
     """Thresholds tried in turn, by repeated subtraction, while positive."""
     out, t = [], min(t, 1.0)

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from ..functions import names as fn
 from ..functions import sequence as fs
-from ..functions.scores import accepts, argmax, clamp_threshold, ladder
+from ..functions.scores import accepts, argmax, clamp_threshold, clamped, ladder
 from ..operators import classify, consensus, ensembles, manifest, models, profile, relational, report, taxonomy
 from ..operators import windows as w
 from ..operators.storage import shared_path, stored
@@ -174,7 +174,7 @@ SQL_PROBS = """probs as (select vec_id // 10 as read_id, vec_id % 10 as win_idx,
  from (select vec_id, list_transform(list_transform(embedding, lambda x: round(x * 1000)::bigint), lambda x: x * x * x * x) as q from embeddings)))"""
 
 
-def sql_consensus(func: str, t: float = 0.8) -> str:
+def sql_consensus(func: str, t: float = 0.8, semantics: str = "reference") -> str:
     rungs = "[" + ", ".join(f"{x!r}::double" for x in ladder(t)) + "]"
     total, top = "list_reduce(p, lambda a, x: a + x)", "list_max(p)"
     second = f"list_max(list_filter(p, lambda x: x <> {top}))"
@@ -184,12 +184,16 @@ def sql_consensus(func: str, t: float = 0.8) -> str:
         "delta_sum": f"{top} > ({total} - {top}) + t",
     }[func]
     flat = f"{second} is null" if func == "min_max" else "false"
+    least = "min(step) filter (class <> 0) over g" if semantics == "reference" else "min(step) over g"
+    votes = """select read_id, case when vote is null or vote = 0 then 0 else vote end as vote, count(*) as votes, arg_min(vote is not null, win_idx) as counts
+  from voted group by read_id, case when vote is null or vote = 0 then 0 else vote end"""
+    if semantics == "clean":
+        votes = "select read_id, vote, count(*) as votes, true as counts from voted where vote is not null group by all"
     return f"""{SQL_PROBS}, stepped as (select read_id, win_idx, (list_position(p, {top}) - 1)::int as class,
   nullif(coalesce(list_position(list_transform({rungs}, lambda t: {test}), true), 0), 0) as step, {flat} as flat from probs),
- voted as (select read_id, win_idx, class, case when bool_or(flat) over g or min(step) filter (class <> 0) over g is null
-  or step <= min(step) filter (class <> 0) over g then class end as vote from stepped window g as (partition by read_id)),
- votes as (select read_id, case when vote is null or vote = 0 then 0 else vote end as vote, count(*) as votes, arg_min(vote is not null, win_idx) as counts
-  from voted group by read_id, case when vote is null or vote = 0 then 0 else vote end)"""
+ voted as (select read_id, win_idx, class, case when bool_or(flat) over g or {least} is null
+  or step <= {least} then class end as vote from stepped window g as (partition by read_id)),
+ votes as ({votes})"""
 
 
 LEVEL_COLUMNS = ['domain', 'phylum', '"group"', '"order"', 'family']
@@ -322,6 +326,11 @@ def e12(spark, sf):
     return probs(spark, sf).select("read_id", "win_idx", accepts("delta_sum", F.col("p"), F.lit(0.2)).alias("ok"))
 
 
+@query("e13_clamp", f"with {SQL_PROBS} select read_id, win_idx, least(1.0::double, greatest(0.01::double, p[1] * 8 - 0.5::double)) as t from probs")
+def e13(spark, sf):
+    return probs(spark, sf).select("read_id", "win_idx", clamped(F.get("p", F.lit(0)) * 8 - F.lit(0.5)).alias("t"))
+
+
 SQL_MANIFEST = """lines as (select page_id as i, concat_ws(chr(9), concat('GCF_', page_id), case when page_id % 3 = 0 then 'representative genome' else 'na' end,
  concat('https://ftp.example.org/all/GCF_', page_id, '_v', page_id % 4)) as line from pages)"""
 
@@ -490,6 +499,12 @@ def a8(spark, sf):
     return consensus.share_of_parent(votes, ["read_id"])
 
 
+@query("a8_votes_clean", f"with {sql_consensus('delta_mean', 0.8, 'clean')} select read_id, vote, votes from votes")
+def a8_clean(spark, sf):
+    voted = consensus.consensus(probs(spark, sf), ["read_id"], semantics="clean")
+    return consensus.count_votes(voted, ["read_id"], "clean")
+
+
 @query("f6_keep", f"""with {sql_consensus('delta_mean')} select * from (select read_id, vote, votes, (sum(votes) over (partition by read_id))::bigint as total
  from votes where counts) where votes > 0.3::double * total""")
 def f6(spark, sf):
@@ -732,9 +747,9 @@ def _report(spark, sf):
     return classify.report_levels(votes, reads)
 
 
-def _flows(spark, sf):
+def _flows(spark, sf, show_rejected=True):
     rows, taxa = _report(spark, sf), taxonomy.taxa_tree(named(spark, sf))
-    return report.flows(report.report_rows(rows), rows, taxa, cutoff=2, reads_per_sample=MANY, show_rejected=True), taxa
+    return report.flows(report.report_rows(rows), rows, taxa, cutoff=2, reads_per_sample=MANY, show_rejected=show_rejected), taxa
 
 
 @query("p3_flows", f"with {SQL_FLOWS} select *, value / {MANY}.0::double * 100 as percent from flow")
@@ -742,6 +757,11 @@ def p3(spark, sf):
     return _flows(spark, sf)[0]
 
 
+@query("p3_flows_accepted", f"with {SQL_FLOWS} select *, value / {MANY}.0::double * 100 as percent from flow where target <> 'REJECTED'")
+def p3_accepted(spark, sf):
+    return _flows(spark, sf, show_rejected=False)[0]
+
+
 @query("a10_totals", f"with {SQL_FLOWS} select * from totals")
 def a10(spark, sf):
     return report.taxon_totals(*_flows(spark, sf))
