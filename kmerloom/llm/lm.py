@@ -45,6 +45,8 @@ ADD = 0.1
 PART_TOKENS = 2 << 20
 #: Tokens of the corpus to a bucket.
 BUCKET_TOKENS = 2 << 20
+#: Most tasks of a step; with more parts or buckets a task takes several, one after another.
+MOST_TASKS = 20_000
 #: Bits of an n-gram's hash beyond those that number the corpus's tokens.
 ERROR_BITS = 24
 #: No word holds a space, so these stand for no word.
@@ -312,11 +314,11 @@ def score_documents(docs: DataFrame, priors: tuple = PRIORS, least: int = LEAST,
 
     def totals_of(table: DataFrame, kinds: tuple) -> DataFrame:
         rows = map_arrow(table, _bucket_rows(kinds, bits, level, least), _ENTRIES)
-        rows = rows.repartition(1 << level, "bucket").sortWithinPartitions("bucket", "kind", "part")
+        rows = rows.repartition(min(MOST_TASKS, 1 << level), "bucket").sortWithinPartitions("bucket", "kind", "part")
         return stored(map_arrow(rows, _add_up, _TOTALS), "lm-totals")
 
-    # As many tasks as parts, so that a task's share doesn't grow with the corpus.
-    by_part = lambda df: df.repartition(max(1, n_parts), "part").groupBy("part")
+    # A task holds one part at a time, so its memory doesn't grow with the corpus.
+    by_part = lambda df: df.repartition(max(1, min(MOST_TASKS, n_parts)), "part").groupBy("part")
     totals = totals_of(parts, (0, 1))
     n, v = totals.where("kind = 0").agg(F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.sum("v"), F.lit(0))).first()
     answers = totals.select("part", "kind", "bucket", "totals")
