@@ -104,12 +104,14 @@ def text_bytes(name: str) -> Column:
     return F.coalesce(F.octet_length(F.col(name).cast("string")), F.lit(0)) + 24
 
 
-def ranked(nodes: DataFrame, order: list[str]) -> DataFrame:
+def ranked(nodes: DataFrame, order: list[str], parts: int | None = None) -> DataFrame:
     """nodes(key, order, tie, others) with rank, from 0 in the key's order, and n, the key's number of nodes; `tie` parts equal rows.
+    parts: ranges, if not the session's number.
 
     Rows are sorted by range; a rank is the place in its range and the counts of the ranges before, one row per range and key.
     """
-    placed = nodes.repartitionByRange("key", *order, "tie").sortWithinPartitions("key", *order, "tie")
+    keys = ["key", *order, "tie"]
+    placed = (nodes.repartitionByRange(parts, *keys) if parts else nodes.repartitionByRange(*keys)).sortWithinPartitions(*keys)
     placed = stored(placed.withColumn("part", F.spark_partition_id()).withColumn("spot", F.monotonically_increasing_id()), "ranked")
     runs = placed.groupBy("key", "part").agg(F.min("spot").alias("first"), F.count("*").alias("many"))
     whole = Window.partitionBy("key")

@@ -11,13 +11,16 @@ Within a queue, documents stand in the order of the stored table.  Cuts are free
 All windows but the last are full.
 Null text: no ids but the end id.  Null source: a queue of its own.  Repeated rows: packed each.  No rows: no pieces.
 Shares default to the queues' tokens, so that all run dry together; targets for some queues may be given.
-Every source is a queue of its own.  Beyond MAX_QUEUES of them no task holds all: tokens, as (queue, number) rows, are sorted by due time
-in ranges, their ranks give each window's runs of each queue, and these are joined with the documents by stretches of the queue.
+Every source is a queue of its own.  Beyond MAX_QUEUES of them no task holds all.  Queues with more than a MAX_QUEUES-th of the tokens or
+of the shares, at most twice MAX_QUEUES, are still served in closed form.  The tokens of the others, of which a window has one or two a queue, are
+rows that are sorted by due time; the closed form gives the large queues' tokens before each.  So the windows know how many of
+their tokens are the small queues', and the rest is the large ones'.  Runs are joined with the documents by stretches of the queue.
 """
 
 from __future__ import annotations
 
 import zlib
+from bisect import bisect_left
 from collections.abc import Iterator
 
 import numpy as np
@@ -26,24 +29,26 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructField, StructType
 
-from .common import column, map_arrow, masked, slices, small_side, stored
+from .common import column, map_arrow, masked, ranked, slices, small_side, stored
 
-#: Most queues of which each task holds a share and a total; with more, windows come from a distributed sort.
+#: With more queues than these, the small ones' tokens are sorted, and each task holds shares and totals of the large ones only.
 MAX_QUEUES = 1024
 #: Windows of a block, whose states are worked out at once for all queues; bytes of blocks that a task keeps.
 WINDOWS = 256
 KEEP_BYTES = 32 << 20
 #: Tokens between two documents of a batch beyond which the windows between them are not looked at.
 GAP = 1 << 14
+#: Tokens of small queues that are placed among those of large ones at once.
+AT_ONCE = 512
 
 
 class DeficitRoundRobin:
-    """Where each queue stands at any window, for queue totals and shares of equal length."""
+    """Where each queue stands at any window, for queue totals and shares of equal length.  whole: the shares' sum, if these aren't all queues."""
 
-    def __init__(self, totals, shares, size: int):
+    def __init__(self, totals, shares, size: int, whole: float | None = None):
         self.totals, self.size = np.asarray(totals, dtype=np.int64), size
         p = np.asarray(shares, dtype=np.float64)
-        self.p = np.where(self.totals > 0, p / p.sum(), 1.0)
+        self.p = np.where(self.totals > 0, p / (p.sum() if whole is None else whole), 1.0)
         self.all = int(self.totals.sum())
         self.end = float(np.max((self.totals + 1) / self.p, initial=1.0)) * 2
 
@@ -54,7 +59,10 @@ class DeficitRoundRobin:
 
     def sent(self, windows: np.ndarray) -> np.ndarray:
         """Tokens that each queue has sent before each window: windows x queues, rows summing to window * size."""
-        want = np.minimum(np.asarray(windows, dtype=np.int64) * self.size, self.all)
+        return self.sent_of(np.minimum(np.asarray(windows, dtype=np.int64) * self.size, self.all))
+
+    def sent_of(self, want: np.ndarray) -> np.ndarray:
+        """Tokens that each queue has sent when all have sent as many as wanted."""
         lo, hi = np.zeros(len(want)), np.where(want > 0, self.end, 0.0)
         while True:  # lo: fewer than wanted are due; hi: enough are
             mid = (lo + hi) / 2
@@ -71,6 +79,28 @@ class DeficitRoundRobin:
         taken = np.clip(left[:, None] - (np.cumsum(extra, 1) - extra), 0, extra)
         return below + taken
 
+    def before(self, due: np.ndarray, place: np.ndarray) -> np.ndarray:
+        """Tokens of these queues that go before others, due at these times, of queues that stand behind the first `place` of these."""
+        out, order, queues = np.zeros(len(due), dtype=np.int64), np.lexsort((place, due)), np.arange(len(self.p))
+        for some in (order[i : i + AT_ONCE] for i in range(0, len(order), AT_ONCE)):
+            v, k = due[some], place[some]
+            low = np.maximum(self._due(v[:1])[0] - 1, 0)
+            many = np.minimum(self._due(v[-1:])[0] + 1, self.totals) - low
+            if many.sum() * 8 <= len(v) * len(queues):  # few are due in this time: all are put in order
+                q = np.repeat(queues, many)
+                t = np.arange(len(q)) - np.repeat(np.cumsum(many) - many, many) + low[q]
+                both = np.lexsort((np.concatenate([2 * q + 1, 2 * k]), np.concatenate([(t + 0.5) / self.p[q], v])))
+                ahead = np.cumsum(both < len(q))
+                out[some[both[both >= len(q)] - len(q)]] = low.sum() + ahead[both >= len(q)]
+                continue
+            n = self._due(v)
+            last, following = (n - 0.5) / self.p, (n + 0.5) / self.p
+            v, behind = v[:, None], queues[None, :] >= k[:, None]
+            n -= (n > 0) & ((last > v) | ((last == v) & behind))
+            n += (n < self.totals) & ((following < v) | ((following == v) & ~behind))
+            out[some] = n.sum(1)
+        return out
+
     def windows(self) -> int:
         return -(-self.all // self.size)
 
@@ -204,8 +234,71 @@ def _pieces(batch: pa.RecordBatch, plan: Schedule, index: dict) -> pa.RecordBatc
     )
 
 
-#: Tokens of a queue to a row while queues are spread out, and to a stretch by which documents meet runs.
+#: Tokens of a queue to a row while queues are spread out.
 BLOCK = 4096
+#: Tokens of a stretch, by which documents meet runs.
+STRETCH = 256
+#: Blocks of windows whose states are filled in together.
+GROUP = 4096
+
+
+def _small_tokens(shares: DataFrame, whole: float, drr: DeficitRoundRobin, names: list) -> DataFrame:
+    """shares(queue, n, share) of small queues -> stored (queue, t, rank, window), a row for each of their tokens: rank is
+    its place among all these tokens, window what follows from it and from the large queues' tokens before it."""
+    spark = shares.sparkSession
+    blocks = F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("n") - 1) / BLOCK)))
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-(shares.agg(F.sum("n").alias("n")).first()["n"] or 0) // 4_000_000))
+    blocks = shares.select("queue", "n", (F.col("share") / F.lit(whole)).alias("p"), blocks.alias("b")).repartition(parts)
+    tokens = F.sequence(F.col("b") * BLOCK, F.least(F.col("n"), (F.col("b") + 1) * BLOCK) - 1)
+    tokens = blocks.select("queue", "p", F.explode(tokens).alias("tie"))
+    tokens = tokens.select(F.lit("").alias("key"), "queue", "tie", ((F.col("tie") + 0.5) / F.col("p")).alias("due"))
+    tokens = ranked(tokens, ["due", "queue"], parts).select("queue", F.col("tie").alias("t"), "due", "rank")
+    size, keys = drr.size, [(q is not None, q) for q in names]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            coded = column(batch, "queue").dictionary_encode()
+            place = np.array([*(bisect_left(keys, (True, q)) for q in coded.dictionary.to_pylist()), 0])
+            place = place[coded.indices.fill_null(len(place) - 1).to_numpy()]  # a null queue is the first
+            rank = column(batch, "rank").to_numpy()
+            window = (rank + drr.before(column(batch, "due").to_numpy(), place)) // size
+            yield pa.RecordBatch.from_arrays([column(batch, "queue"), column(batch, "t"), pa.array(rank), pa.array(window)], names=["queue", "t", "rank", "window"])
+
+    return stored(map_arrow(tokens, run, "queue string, t long, rank long, window long"), "pack-small")
+
+
+def _large_runs(small: DataFrame, every: int, drr: DeficitRoundRobin, names: list) -> DataFrame:
+    """runs(queue, window, start, count) of the large queues, of which a window holds what the small ones leave."""
+    spark, size = small.sparkSession, drr.size
+    last = -(-every // size)
+    counts = small.groupBy("window").agg(F.count("*").alias("n"), F.min("rank").alias("first"))
+    counts = counts.groupBy(F.floor(F.col("window") / WINDOWS).alias("block")).agg(F.min("first").alias("first"), F.collect_list(F.struct("window", "n")).alias("counts"))
+    blocks = spark.range(-(-last // WINDOWS)).withColumnRenamed("id", "block").join(counts, "block", "left").withColumn("group", F.floor(F.col("block") / GROUP))
+    blocks = stored(blocks, "pack-blocks")
+    # A block without small tokens has before it all that go before the next one there is; one row a group of blocks is in one place.
+    behind = lambda w: w.rowsBetween(1, Window.unboundedFollowing)
+    groups = blocks.groupBy("group").agg(F.min("first").alias("f"))
+    groups = groups.select("group", F.min("f").over(behind(Window.orderBy("group"))).alias("later"))
+    near = F.min("first").over(behind(Window.partitionBy("group").orderBy("block")))
+    blocks = blocks.withColumn("near", near).join(groups, "group")
+    blocks = blocks.select("block", F.coalesce("first", "near", "later", F.lit(every - drr.all)).alias("ahead"), "counts")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for block, ahead, counts in zip(*(column(batch, c).to_pylist() for c in ("block", "ahead", "counts")), strict=True):
+                windows = np.arange(block * WINDOWS, min(last, (block + 1) * WINDOWS) + 1)
+                mine = np.zeros(len(windows), dtype=np.int64)
+                for c in counts or ():
+                    mine[c["window"] - windows[0] + 1] = c["n"]
+                sent = drr.sent_of(np.minimum(windows * size, every) - ahead - np.cumsum(mine))
+                part = np.diff(sent, axis=0)
+                at, queue = np.nonzero(part)
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(names, pa.string()).take(pa.array(queue)), *(pa.array(x) for x in (windows[at], sent[at, queue], part[at, queue]))],
+                    names=["queue", "window", "start", "count"],
+                )
+
+    return map_arrow(blocks, run, "queue string, window long, start long, count long")
 
 
 def _queue_runs(totals: DataFrame, targets: dict | None, size: int) -> DataFrame:
@@ -215,24 +308,14 @@ def _queue_runs(totals: DataFrame, targets: dict | None, size: int) -> DataFrame
     given = spark.createDataFrame([(q, float(x)) for q, x in (targets or {}).items()], "q string, share double")
     shares = totals.join(F.broadcast(given), F.col("queue").eqNullSafe(F.col("q")), "left")
     shares = stored(shares.select("queue", "n", F.coalesce("share", F.col("n") / F.lit(float(every))).alias("share")), "pack-shares")
-    p = F.col("share") / F.lit(shares.agg(F.sum("share").alias("s")).first()["s"])
-    blocks = shares.select("queue", "n", p.alias("p"), F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("n") - 1) / BLOCK))).alias("b"))
-    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-every // 4_000_000))
-    blocks = blocks.repartition(parts)
-    tokens = F.sequence(F.col("b") * BLOCK, F.least(F.col("n"), (F.col("b") + 1) * BLOCK) - 1)
-    tokens = blocks.select("queue", "p", F.explode(tokens).alias("t")).select("queue", "t", ((F.col("t") + 0.5) / F.col("p")).alias("due"))
-    order = ["due", F.asc_nulls_first("queue"), "t"]
-    tokens = tokens.repartitionByRange(parts, *order).sortWithinPartitions(*order)
-    # The id's upper bits are the range, its lower 33 the place in it.
-    tokens = stored(tokens.select("queue", "t", F.monotonically_increasing_id().alias("id")), "pack-order")
-    part, place = F.shiftright("id", 33), F.col("id").bitwiseAND(F.lit((1 << 33) - 1))
-    ahead, starts = 0, []
-    for r in sorted(tokens.groupBy(part.alias("part")).agg(F.count("*").alias("n")).collect()):  # one row for each range
-        starts.append((r["part"], ahead))
-        ahead += r["n"]
-    starts = F.broadcast(spark.createDataFrame(starts, "part long, ahead long"))
-    ranked = tokens.withColumn("part", part).join(starts, "part").select("queue", "t", F.floor((place + F.col("ahead")) / size).alias("window"))
-    runs = ranked.groupBy("window", "queue").agg(F.min("t").alias("start"), F.count("*").alias("count"))
+    whole = shares.agg(F.sum("share").alias("s")).first()["s"]
+    is_large = (F.col("n") * MAX_QUEUES > every) | (F.col("share") * MAX_QUEUES > whole)
+    large = sorted(shares.where(is_large).collect(), key=lambda r: (r["queue"] is not None, r["queue"]))  # at most 2 * MAX_QUEUES
+    names, drr = [r["queue"] for r in large], DeficitRoundRobin([r["n"] for r in large], [r["share"] for r in large], size, whole)
+    small = _small_tokens(shares.where(~is_large), whole, drr, names)
+    runs = small.groupBy("window", "queue").agg(F.min("t").alias("start"), F.count("*").alias("count"))
+    if large:
+        runs = runs.unionByName(_large_runs(small, every, drr, names))
     before = Window.partitionBy("window").orderBy(F.asc_nulls_first("queue")).rowsBetween(Window.unboundedPreceding, -1)
     return stored(runs.withColumn("offset", F.coalesce(F.sum("count").over(before), F.lit(0).cast("long"))), "pack-runs")
 
@@ -240,12 +323,12 @@ def _queue_runs(totals: DataFrame, targets: dict | None, size: int) -> DataFrame
 def _cut_many(placed: DataFrame, totals: DataFrame, targets: dict | None, size: int) -> DataFrame:
     """What _cut() gives, for any number of queues.  A document is known by its queue and first token, as each has a token."""
     runs = _queue_runs(totals, targets, size)
-    stretches = lambda at, n: F.explode(F.sequence(F.floor(at / BLOCK), F.floor((at + n - 1) / BLOCK))).alias
+    stretches = lambda at, n: F.explode(F.sequence(F.floor(at / STRETCH), F.floor((at + n - 1) / STRETCH))).alias
     docs = placed.select("queue", "first", "n_tokens", stretches(F.col("first"), F.col("n_tokens"))("b"))
     runs = runs.select(F.col("queue").alias("q"), "window", "start", "count", "offset", stretches(F.col("start"), F.col("count"))("rb"))
     begin, end = F.greatest("first", "start"), F.least(F.col("first") + F.col("n_tokens"), F.col("start") + F.col("count"))
     # Both meet in each stretch that they share; the one where their common part begins counts.
-    met = docs.join(runs, docs["queue"].eqNullSafe(runs["q"]) & (docs["b"] == runs["rb"])).where((begin < end) & (F.col("b") == F.floor(begin / BLOCK)))
+    met = docs.join(runs, docs["queue"].eqNullSafe(runs["q"]) & (docs["b"] == runs["rb"])).where((begin < end) & (F.col("b") == F.floor(begin / STRETCH)))
     piece = F.struct((begin - F.col("first")).alias("at"), (end - begin).alias("length"), "window", (F.col("offset") + begin - F.col("start")).alias("offset"))
     cuts = met.groupBy(F.col("queue").alias("q"), F.col("first").alias("f")).agg(F.collect_list(piece).alias("cuts"))
     whole = placed.join(cuts, placed["queue"].eqNullSafe(cuts["q"]) & (placed["first"] == cuts["f"])).drop("q", "f")

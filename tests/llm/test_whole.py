@@ -1,5 +1,6 @@
 """The corpus operators on what they once left out."""
 
+import numpy as np
 import pytest
 
 pytest.importorskip("public_tokenizers")
@@ -86,15 +87,48 @@ def test_packing_keeps_every_source_a_queue(spark, monkeypatch):
     docs = docs.checkpoint()
     targets = {"host1": 0.5, "host2": 0.2, None: 0.1}
     key = lambda ps: sorted(map(str, ps))
-    for given in (None, targets):
+    for given, bounds in ((None, (1, 4)), (targets, (12,))):  # no large queue, some of both kinds, few small ones
         want = packing.pack_documents(docs, tok, size=64, targets=given).collect()
-        with monkeypatch.context() as m:
-            m.setattr(packing, "MAX_QUEUES", 4)
-            m.setattr(packing, "BLOCK", 128)
-            got = packing.pack_documents(docs, tok, size=64, targets=given).collect()
-        check_pieces(docs.collect(), got, 64)
-        assert {(p.doc_id, p.source) for p in got} == {(d, s) for d, _, s in rows}
-        assert key(got) == key(want)
+        for most in bounds:
+            with monkeypatch.context() as m:
+                for name, value in (("MAX_QUEUES", most), ("BLOCK", 128), ("STRETCH", 32), ("WINDOWS", 4), ("GROUP", 8)):
+                    m.setattr(packing, name, value)
+                got = packing.pack_documents(docs, tok, size=64, targets=given).collect()
+            check_pieces(docs.collect(), got, 64)
+            assert {(p.doc_id, p.source) for p in got} == {(d, s) for d, _, s in rows}
+            assert key(got) == key(want)
+
+
+def test_small_queues_tokens_are_the_rows_that_are_sorted(spark, monkeypatch):
+    """A hot source beside rare ones: no rows for its tokens; windows without a rare one are filled by it."""
+    sizes = [("hot", 200_000), (None, 90_000), *((f"rare{i}", 1 + i % 3) for i in range(40))]
+    totals = spark.createDataFrame(sizes, "queue string, n long")
+    seen = []
+    whole = packing._small_tokens
+    monkeypatch.setattr(packing, "_small_tokens", lambda *a: seen.append(whole(*a)) or seen[-1])
+    for name, value in (("MAX_QUEUES", 20), ("WINDOWS", 4), ("GROUP", 3)):
+        monkeypatch.setattr(packing, name, value)
+    runs = packing._queue_runs(totals, None, 64).collect()
+    assert seen[0].count() == sum(n for q, n in sizes if q and q.startswith("rare"))
+    order = sorted((q for q, _ in sizes), key=lambda q: (q is not None, q or ""))
+    n = [dict(sizes)[q] for q in order]
+    drr = packing.DeficitRoundRobin(n, n, 64)
+    sent = drr.sent(np.arange(drr.windows() + 1))
+    want = {(order[q], w): (sent[w, q], sent[w + 1, q] - sent[w, q]) for w, q in zip(*np.nonzero(np.diff(sent, axis=0)), strict=True)}
+    assert {(r["queue"], r["window"]): (r["start"], r["count"]) for r in runs} == want
+    assert all(r["offset"] == sum(c for (q, w), (_, c) in want.items() if w == r["window"] and order.index(q) < order.index(r["queue"])) for r in runs[:200])
+
+
+def test_tokens_before_a_time():
+    rng = np.random.default_rng(5)
+    for queues, others in ((3, 2000), (300, 40), (0, 5)):
+        n = rng.integers(1, 60, queues)
+        drr = packing.DeficitRoundRobin(n, n, 64, float(n.sum()) + 100)
+        every = [((t + 0.5) / drr.p[q], q) for q in range(queues) for t in range(n[q])]
+        due = np.concatenate([rng.uniform(0, float(n.sum()) + 200, others), [d for d, _ in every[:: max(1, len(every) // 200)]]])
+        place = rng.integers(0, queues + 1, len(due))
+        want = [sum(d < v or (d == v and q < k) for d, q in every) for v, k in zip(due, place, strict=True)]
+        assert drr.before(due, place).tolist() == want
 
 
 def test_every_language_has_a_landmark():
