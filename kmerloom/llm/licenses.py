@@ -8,7 +8,7 @@ document frequencies over all files.  A unit takes the template of the highest c
 takes its best unit's if the cosine reaches CUT.
 
 The whole texts of licence files are also held against whole LICENCES, by the cosine over all words; one that reaches CUT goes
-before notices, which licences share.
+before notices, which licences share.  read_licences() takes further ones from a folder.
 
 Prefix filtering: per template, words in falling weight are set aside until the rest can't reach CUT alone; a unit
 without any word set aside by some template can't match and goes no further.  So few lines are exploded, however many there are.
@@ -31,7 +31,7 @@ import re
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import small_side, stored
+from .common import BROADCAST_BYTES, small_side, stored
 
 #: Licence notices by SPDX id; several texts for an id are several templates.
 TEMPLATES = (
@@ -104,6 +104,18 @@ CUT = 0.75
 LICENSE_NAME = "(?i)^(licen[sc]e|copying|notice)"
 
 
+def read_licences(spark: SparkSession, folder: str) -> list[tuple[str, str]]:
+    """Whole licences, to be given to scan() beside LICENCES: a file each, its name the SPDX id, with or without `.txt`.
+
+    They are broadcast, so a folder of more than BROADCAST_BYTES is refused.
+    """
+    name = F.regexp_replace("_metadata.file_name", r"\.txt$", "")
+    files = spark.read.text(folder, wholetext=True).select(name.alias("name"), F.col("value").alias("text"))
+    if (files.agg(F.sum(F.octet_length("text"))).first()[0] or 0) > BROADCAST_BYTES:
+        raise ValueError(f"{folder} holds more than licences")
+    return sorted(tuple(r) for r in files.collect())
+
+
 def words(text: str) -> list[str]:
     return re.findall("[a-z0-9]+", "".join(c.lower() if c.isascii() else c for c in text))
 

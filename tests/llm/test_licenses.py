@@ -1,6 +1,8 @@
 """Operator 10 against a plain version, and on the usual layouts of licence files."""
 
 import math
+import os
+import shutil
 import textwrap
 from collections import Counter
 
@@ -10,7 +12,7 @@ pytest.importorskip("kmerloom.llm")
 from kmerloom.llm import licenses as lic  # noqa: E402
 
 
-def brute_scan(files):
+def brute_scan(files, licences=lic.LICENCES):
     """files (path, text) -> (path, own licence, score, licence, directory it is inherited from) of each."""
     vocab = {w for _, t in lic.TEMPLATES for w in lic.words(t)}
     bags = [lic.words(t or "") for _, t in files]
@@ -29,10 +31,10 @@ def brute_scan(files):
         return round(sum(v * template.get(w, 0.0) for w, v in inner.items()) / norm / unit, 6) if norm else 0.0
 
     templates = [(k, name, len(lic.words(t)), weigh(lic.words(t), idf, other)[0]) for k, (name, t) in enumerate(lic.TEMPLATES)]
-    whole_words = [lic.words(t) for _, t in lic.LICENCES]
+    whole_words = [lic.words(t) for _, t in licences]
     whole_idf = {w: math.log((len(whole_words) + 1) / (sum(w in set(v) for v in whole_words) + 1)) + 1 for v in whole_words for w in v}
-    wholes = [(len(templates) + k, name, {w: n * whole_idf[w] for w, n in Counter(v).items()}) for k, ((name, _), v) in enumerate(zip(lic.LICENCES, whole_words, strict=True))]
-    out = []
+    wholes = [(len(templates) + k, name, {w: n * whole_idf[w] for w, n in Counter(v).items()}) for k, ((name, _), v) in enumerate(zip(licences, whole_words, strict=True))]
+    out, known = [], {}
     for (path, text), bag in zip(files, bags, strict=True):
         named = path is not None and path.rsplit("/", 1)[-1].lower().startswith(("license", "licence", "copying", "notice"))
         found = []
@@ -43,9 +45,11 @@ def brute_scan(files):
                 found += [(0, cosine(v, t), -k, name) for k, name, _, t in templates]
         for k, name, n, t in templates:
             for s in range(max(1, len(bag) - n + 1)):
-                run = bag[s : s + n]
-                if sum(w in t for w in run) * 3 >= len(run) > 0:  # others are far below the cut
-                    found.append((0, cosine(weigh(run, idf, other), t), -k, name))
+                run = tuple(bag[s : s + n])
+                if not t.keys().isdisjoint(run):  # others have cosine 0
+                    if (k, run) not in known:
+                        known[k, run] = cosine(weigh(run, idf, other), t)
+                    found.append((0, known[k, run], -k, name))
         if named:
             c = Counter(bag)
             norm = math.sqrt(sum((n * whole_idf.get(w, 1.0)) ** 2 for w, n in c.items()))
@@ -69,10 +73,10 @@ def brute_scan(files):
     return rows
 
 
-def check(spark, files):
+def check(spark, files, licences=lic.LICENCES):
     frame = spark.createDataFrame([(i, *f) for i, f in enumerate(files)], "id long, path string, text string").repartition(3)
-    got = {r.id: (r.path, r.own_license, r.score, r.license, r.inherited_from) for r in lic.scan(frame).collect()}
-    want = brute_scan(files)
+    got = {r.id: (r.path, r.own_license, r.score, r.license, r.inherited_from) for r in lic.scan(frame, licences=licences).collect()}
+    want = brute_scan(files, licences)
     assert len(got) == len(files)
     for i, w in enumerate(want):
         assert got[i][:2] + got[i][3:] == w[:2] + w[3:] and got[i][2] == (None if w[2] is None else pytest.approx(w[2], abs=2e-6)), i
@@ -104,3 +108,22 @@ def test_layouts(spark):
         a, b, c = (got[3 * k + j] for j in range(3))
         assert a[1] == c[1] == name and b[3:] == (name, f"p{k}")
     assert got[len(files) - 1][1] == "MIT"
+
+
+SYSTEM = "/usr/share/common-licenses"
+
+
+@pytest.mark.skipif(not os.path.isdir(SYSTEM), reason="the system has no licence texts")
+def test_licences_of_a_folder(spark, tmp_path):
+    """Long licences, and those that share most of their words, are told apart by whole texts under any layout."""
+    names = [("Apache-2.0", "Apache-2.0"), ("GPL-2.0", "GPL-2"), ("GPL-3.0", "GPL-3"), ("LGPL-2.1", "LGPL-2.1"), ("MPL-2.0", "MPL-2.0")]
+    for k, (name, file) in enumerate(names):
+        shutil.copyfile(f"{SYSTEM}/{file}", tmp_path / (name + ".txt" * (k % 2)))
+    licences = (*lic.LICENCES, *lic.read_licences(spark, str(tmp_path)))
+    assert [n for n, _ in licences[len(lic.LICENCES) :]] == sorted(n for n, _ in names)
+    files = []
+    for name, text in licences[len(lic.LICENCES) :]:
+        files += [(f"{name}/LICENSE", textwrap.fill(text, 50)), (f"{name}/a.c", "int main;"), (f"{name}/part/COPYING", text[: len(text) * 9 // 10])]
+    got = check(spark, files, licences)
+    for i, (path, _) in enumerate(files):
+        assert got[i][3] == path.split("/")[0]
