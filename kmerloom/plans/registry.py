@@ -62,7 +62,8 @@ def named(spark: SparkSession, sf: str) -> DataFrame:
 def probs(spark: SparkSession, sf: str) -> DataFrame:
     """Probabilities of eight classes from all elements of a vector: an element's class is its place modulo eight."""
     add = lambda v: F.aggregate(v, F.lit(0).cast("bigint"), lambda a, y: a + y)
-    e = F.transform("embedding", lambda x: F.round(x * 1000).cast("bigint"))
+    # A float by a float: by an integer the product would be a double here, and near a half it would round the other way than in SQL.
+    e = F.transform("embedding", lambda x: F.round(x * F.lit(1000).cast("float")).cast("bigint"))
     q = F.transform(e, lambda x: x * x * x * x)
     parts = F.transform(F.sequence(F.lit(0), F.lit(7)), lambda c: add(F.filter(q, lambda _, i: i % 8 == c)))
     return spark.read.parquet(f"{sf}/embeddings.parquet").select(
