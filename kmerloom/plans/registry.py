@@ -8,6 +8,7 @@ from __future__ import annotations
 
 from functools import reduce
 
+import numpy as np
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -15,7 +16,7 @@ from pyspark.sql import functions as F
 from ..functions import names as fn
 from ..functions import sequence as fs
 from ..functions.scores import accepts, argmax, clamp_threshold, clamped, ladder
-from ..operators import classify, consensus, ensembles, manifest, models, profile, relational, report, taxonomy
+from ..operators import classify, consensus, ensembles, kernel, manifest, models, profile, relational, report, taxonomy
 from ..operators import windows as w
 from ..operators.storage import shared_path, stored
 from ..sources import fasta, tables
@@ -80,6 +81,30 @@ def dealt(spark: SparkSession, sf: str, fold: str = "plain") -> DataFrame:
     return w.deal(wins(spark, sf, fold).select(*KEYS, "win"), *KEYS)
 
 
+def own_ids(spark: SparkSession, sf: str) -> bool:
+    """Whether no two documents share an id, so that a document's windows have keys of their own."""
+    return not docs(spark, sf).groupBy("doc_id").count().where("count > 1").limit(1).count()
+
+
+def texts(spark: SparkSession, sf: str, *names: str) -> DataFrame:
+    """Documents dealt by id."""
+    return w.deal(docs(spark, sf).select("doc_id", "text", *names), "doc_id")
+
+
+def in_rows(spark: SparkSession, sf: str, fold: str, columns: str, f) -> DataFrame:
+    """doc_id, win_idx and f's columns of the windows' blocks; ids have to be own_ids()."""
+    return kernel.mapped(texts(spark, sf), kernel.Texts(fold, SIZE, MANY), ["doc_id"], columns, f, numbered=True)
+
+
+def word_counts(r: kernel.Rows) -> tuple:
+    return r.row, [kernel.spelled(r.words.spelled(r.code)), r.cnt]
+
+
+def plain_counts(row, rank, cnt, code: bool = False) -> tuple:
+    word, number = kernel.plain_words(rank, K)
+    return row, [word, cnt, number] if code else [word, cnt]
+
+
 # ---- SQL pieces --------------------------------------------------------------------------------------------------------
 def sql_dna(fold: str = "plain") -> str:
     return f"""dna as (select doc_id, translate(upper(regexp_replace(text, '[^A-Za-z]', '', 'g')),
@@ -259,6 +284,16 @@ def e2(spark, sf):
 @query("e3_kmers", f"""with {sql_kmers()} select doc_id, win_idx, count(*) as n, count(distinct kmer) as kinds, arg_min(kmer, pos) as first_kmer,
  arg_max(kmer, pos) as last_kmer, max(pos) as last_pos from kmers group by all""")
 def e3(spark, sf):
+    if own_ids(spark, sf):
+        def f(b):
+            r = kernel.counted(b.wins, b.length, K)
+            n = np.bincount(r.row, r.cnt, len(b.wins)).astype(np.int64)
+            some = np.flatnonzero(n)
+            last = (n[some, None] - 1) + np.arange(K)
+            ends = kernel.spelled(b.wins[some, :K]), kernel.spelled(np.take_along_axis(b.wins[some], last, 1))
+            return some, [n[some], np.bincount(r.row, minlength=len(b.wins))[some], *ends, n[some].astype(np.int32)]
+
+        return in_rows(spark, sf, "plain", "n bigint, kinds bigint, first_kmer string, last_kmer string, last_pos int", f)
     return w.kmers(wins(spark, sf), K).groupBy(*KEYS).agg(
         F.count("*").alias("n"), F.count_distinct("kmer").alias("kinds"), F.min_by("kmer", "pos").alias("first_kmer"),
         F.max_by("kmer", "pos").alias("last_kmer"), F.max("pos").alias("last_pos"),
