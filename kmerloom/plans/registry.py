@@ -476,6 +476,10 @@ for _s in ("reference", "clean"):
     query(f"a3_pattern_{_s}", f"with {sql_masked(MASK, 'plain', MANY, _s)} select doc_id, win_idx, kmer, cnt from masked")(_a3(_s))
 
 
+def _a5(spark, sf, *how):
+    return in_rows(spark, sf, "iupac", "kmer string, cnt bigint, code bigint", lambda b: plain_counts(*kernel.profiled(b.wins, b.length, *how), True))
+
+
 @query("a5_profile", f"with {sql_profile('iupac', MANY)} select doc_id, win_idx, kmer, cnt, code from profile")
 def a5(spark, sf):
     return profile.with_codes(doc_profile(spark, sf, "iupac", MANY))
@@ -483,6 +487,8 @@ def a5(spark, sf):
 
 @query("a5_profile_clean", f"with {sql_profile('iupac', MANY, MASK, 'clean')} select doc_id, win_idx, kmer, cnt, code from profile")
 def a5_clean(spark, sf):
+    if own_ids(spark, sf):
+        return _a5(spark, sf, MASK, "clean")
     return profile.with_codes(doc_profile(spark, sf, "iupac", MANY, MASK, "clean"))
 
 

@@ -8,6 +8,7 @@ from test_queries import value
 
 NAMES = [
     "e3_kmers",
+    "a5_profile_clean",
 ]
 
 
