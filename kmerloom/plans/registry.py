@@ -466,6 +466,9 @@ def a2(spark, sf):
 
 def _a3(semantics):
     def run(spark, sf):
+        if own_ids(spark, sf):
+            both = lambda b: kernel.stranded(b.wins, b.length, len(MASK), semantics, semantics == "reference")
+            return in_rows(spark, sf, "plain", "kmer string, cnt bigint", lambda b: word_counts(kernel.masked(both(b), MASK, semantics)))
         c = profile.count_kmers(w.kmers(dealt(spark, sf), len(MASK), semantics), KEYS)
         return profile.apply_pattern_counts(profile.merge_strands(c, KEYS, semantics), KEYS, MASK, semantics)
 

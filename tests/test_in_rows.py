@@ -9,6 +9,8 @@ from test_queries import value
 NAMES = [
     "e3_kmers",
     "a5_profile_clean",
+    "a3_pattern_reference",
+    "a3_pattern_clean",
 ]
 
 
