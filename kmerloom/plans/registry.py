@@ -485,6 +485,8 @@ def _a5(spark, sf, *how):
 
 @query("a5_profile", f"with {sql_profile('iupac', MANY)} select doc_id, win_idx, kmer, cnt, code from profile")
 def a5(spark, sf):
+    if own_ids(spark, sf):
+        return _a5(spark, sf, [1] * K)
     return profile.with_codes(doc_profile(spark, sf, "iupac", MANY))
 
 

@@ -11,6 +11,7 @@ NAMES = [
     "a5_profile_clean",
     "a3_pattern_reference",
     "a3_pattern_clean",
+    "a5_profile",
 ]
 
 
