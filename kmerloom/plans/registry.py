@@ -430,6 +430,12 @@ def e19(spark, sf):
 @query("e20_vector", f"""with {sql_profile()}, {SQL_ENCODER} select doc_id, win_idx, sum(code_rank * cnt)::bigint as ranked, sum(cnt * cnt)::bigint as squares
  from profile join words using (code) group by all""")
 def e20(spark, sf):
+    if own_ids(spark, sf):
+        def f(b):
+            row, x = kernel.dense(*kernel.profiled(b.wins, b.length, [1] * K), K)
+            return row, [x @ np.arange(4**K), (x * x).sum(axis=1)]
+
+        return in_rows(spark, sf, "plain", "ranked bigint, squares bigint", f)
     vec = relational.vectors(profile.with_codes(doc_profile(spark, sf)), KEYS, K)
     total = lambda f: F.aggregate(F.transform("x", f), F.lit(0).cast("long"), lambda a, b: a + b)
     return vec.select(*KEYS, total(lambda x, i: x * i).alias("ranked"), total(lambda x, i: x * x).alias("squares"))

@@ -12,6 +12,7 @@ NAMES = [
     "a3_pattern_reference",
     "a3_pattern_clean",
     "a5_profile",
+    "e20_vector",
 ]
 
 
