@@ -330,6 +330,8 @@ def e7(spark, sf):
 
 @query("e8_iupac", f"""with {sql_counts(K, 'iupac')}, {sql_expanded('counted')} select doc_id, win_idx, kmer, cnt from expanded""")
 def e8(spark, sf):
+    if own_ids(spark, sf):
+        return in_rows(spark, sf, "iupac", "kmer string, cnt bigint", lambda b: plain_counts(*kernel.expanded(kernel.counted(b.wins, b.length, K))))
     c = profile.count_kmers(w.kmers(dealt(spark, sf, "iupac"), K), KEYS)
     return profile.sum_expanded(c, KEYS)
 

@@ -13,6 +13,7 @@ NAMES = [
     "a3_pattern_clean",
     "a5_profile",
     "e20_vector",
+    "e8_iupac",
 ]
 
 
