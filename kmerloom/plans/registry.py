@@ -468,6 +468,8 @@ def a1(spark, sf):
 
 @query("a2_strands", f"with {sql_merged(K, 'iupac')} select doc_id, win_idx, kmer, cnt from merged")
 def a2(spark, sf):
+    if own_ids(spark, sf):
+        return in_rows(spark, sf, "iupac", "kmer string, cnt bigint", lambda b: word_counts(kernel.stranded(b.wins, b.length, K)))
     c = profile.count_kmers(w.kmers(dealt(spark, sf, "iupac"), K), KEYS)
     return profile.merge_strands(c, KEYS).drop("ord")
 

@@ -14,6 +14,7 @@ NAMES = [
     "a5_profile",
     "e20_vector",
     "e8_iupac",
+    "a2_strands",
 ]
 
 
