@@ -15,6 +15,7 @@ NAMES = [
     "e20_vector",
     "e8_iupac",
     "a2_strands",
+    "f3_homopolymer",
 ]
 
 
