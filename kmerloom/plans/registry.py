@@ -423,6 +423,12 @@ def e16(spark, sf):
 
 @query("e19_count_map", f"with {sql_profile()} select doc_id, win_idx, count(*) as entries, sum(cnt)::bigint as total, sum(code * cnt)::bigint as weighted from profile group by all")
 def e19(spark, sf):
+    if own_ids(spark, sf):
+        # A window's map is made where it is counted, and its sums are taken from the map.
+        maps = in_rows(spark, sf, "plain", "cells array<struct<code:bigint,cnt:bigint>>", lambda b: kernel.listed(*kernel.profiled(b.wins, b.length, [1] * K), K))
+        maps = maps.select(*KEYS, F.map_from_entries("cells").alias("counts"))
+        sum_ = lambda f: F.aggregate(F.map_entries("counts"), F.lit(0).cast("long"), lambda a, e: a + f(e))
+        return maps.select(*KEYS, F.size("counts").cast("long").alias("entries"), sum_(lambda e: e["value"]).alias("total"), sum_(lambda e: e["key"] * e["value"]).alias("weighted"))
     maps = profile.count_map(profile.with_codes(doc_profile(spark, sf)), KEYS)
     return profile.explode_map(maps, KEYS).groupBy(*KEYS).agg(
         F.count("*").alias("entries"), F.sum("cnt").alias("total"), F.sum(F.col("code") * F.col("cnt")).alias("weighted")

@@ -16,6 +16,7 @@ NAMES = [
     "e8_iupac",
     "a2_strands",
     "f3_homopolymer",
+    "e19_count_map",
 ]
 
 
