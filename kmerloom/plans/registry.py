@@ -47,17 +47,17 @@ def _n():
     return F.expr("cast(substr(source, 4) as int)")
 
 
-def genome_names(spark: SparkSession, sf: str) -> DataFrame:
-    """Names by language and source."""
+def genome_names(spark: SparkSession, sf: str, *others: str) -> DataFrame:
+    """Names by language and source, with other columns of the documents."""
     n, block = _n(), F.expr("doc_id div 20") % 2
     name = F.concat_ws("_", "lang", F.concat("lang", F.lit("p"), n % 2), F.concat("lang", F.lit("g"), n % 4), F.concat("lang", F.lit("o"), n),
                        F.concat("lang", F.lit("f"), n, F.lit("x"), block), F.concat(F.lit("sp"), "doc_id"))
-    return docs(spark, sf).select("doc_id", F.concat(F.lit("x/"), name, F.lit(".fna")).alias("path"))
+    return docs(spark, sf).select("doc_id", F.concat(F.lit("x/"), name, F.lit(".fna")).alias("path"), *others)
 
 
-def named(spark: SparkSession, sf: str) -> DataFrame:
-    got = genome_names(spark, sf).select("doc_id", F.col("doc_id").alias("file_ord"), fn.parse_taxonomy(F.col("path")).alias("t"))
-    return got.select("doc_id", "file_ord", "t.*")
+def named(spark: SparkSession, sf: str, *others: str) -> DataFrame:
+    got = genome_names(spark, sf, *others).select("doc_id", F.col("doc_id").alias("file_ord"), fn.parse_taxonomy(F.col("path")).alias("t"), *others)
+    return got.select("doc_id", "file_ord", "t.*", *others)
 
 
 def probs(spark: SparkSession, sf: str) -> DataFrame:
@@ -591,11 +591,17 @@ def j4(spark, sf):
 
 # ---- models and pipelines ----------------------------------------------------------------------------------------------
 def _votes(spark, sf):
-    """Votes of the relational descent: windows are counted, packed and dealt by document once and stay there."""
+    """Votes of the relational descent: windows are counted where their document stands, once for the weights and once for the votes."""
+    if own_ids(spark, sf):
+        source = kernel.Texts("plain", SIZE, MANY)
+        rows = w.deal(named(spark, sf, "text"), "doc_id")
+        weights = relational.node_weights(relational.leaf_sums_in_rows(rows, source, K), K).checkpoint(eager=True)
+        if relational.small(weights):
+            return relational.descend_in_rows(texts(spark, sf).withColumnRenamed("doc_id", "read_id"), source, weights, 0.6, K).checkpoint(eager=True)
     prof = profile.with_codes(doc_profile(spark, sf, deal=["doc_id"]))
     packed = relational.vectors(prof, KEYS, K).withColumnRenamed("doc_id", "read_id").persist()
     rows = packed.join(named(spark, sf).withColumnRenamed("doc_id", "read_id"), "read_id")
-    weights = relational.node_weights(rows, K).checkpoint(eager=True)
+    weights = relational.node_weights(relational.leaf_sums(rows), K).checkpoint(eager=True)
     votes = relational.descend(packed, weights, 0.6)
     packed.unpersist()
     return votes
