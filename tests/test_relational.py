@@ -43,7 +43,7 @@ def test_a_window_meets_its_parents_scores_once():
     assert got == [(0, "Root", [0, 0, 1], ["a", "b", "b"], [1, 1, 1]), (1, "b", [1], ["c"], [1])]
 
 
-@pytest.mark.parametrize("name", ["m5_descent_relational", "p3_flows", "a10_totals", "j5_endpoints", "j6_hierarchy", "p3_flows_accepted", "k5_taxon_counts"])
+@pytest.mark.parametrize("name", ["m5_descent_relational", "p3_flows", "a10_totals", "j5_endpoints", "j6_hierarchy", "p3_flows_accepted", "k5_taxon_counts", "k3_report"])
 def test_texts_are_counted_where_they_stand(spark, sf, monkeypatch, name):
     """No query explodes its k-mers into rows."""
     monkeypatch.setattr(profile, "kmer_profile", None)
